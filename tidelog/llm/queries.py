@@ -36,5 +36,29 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_substring_dedup, op7_quality, op9_token_files)}
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm import mixing
+
+    return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm import decontaminate
+
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("key_")
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm import fingerprint
+
+    return fingerprint.compare(_table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm import secrets
+
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_substring_dedup, op4_decontaminate, op6_fingerprint, op7_quality, op8_secrets, op9_token_files)}
 ORACLES: dict[str, str] = {}
