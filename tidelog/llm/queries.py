@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +47,12 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("key_")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm import lines
+
+    return lines.dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm import fingerprint
 
@@ -60,5 +65,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_substring_dedup, op4_decontaminate, op6_fingerprint, op7_quality, op8_secrets, op9_token_files)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidelog.llm import jaccard
+
+    return jaccard.join(_table(spark, sf_dir, "documents"), threshold=0.8, size=5)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mix_sources, op3_substring_dedup, op4_decontaminate, op5_fuzzy_lines, op6_fingerprint, op7_quality, op8_secrets, op9_token_files, op10_jaccard_join)}
 ORACLES: dict[str, str] = {}
