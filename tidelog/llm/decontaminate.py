@@ -99,3 +99,9 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
     items = F.array_sort(F.array_distinct(F.transform("spans", lambda s: s["item"])))
     out = found.select("doc_id", "n_words", cover.alias("n_hit"), items.alias("items"), "key_")
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "key_")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    bad = cut(report(docs, benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("id_"), F.col("key_").alias("k_")))
+    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("id_")) & (row_key() == F.col("k_")), "left_anti")

@@ -224,8 +224,8 @@ def apply(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -60, 60)))
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut_at: float = 0.5, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted and n_hits for every document.  Labels of fold ``held`` are not read."""
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, rows: int = SAMPLE_ROWS) -> tuple[Scorer, np.ndarray]:
+    """Terms and weights from at most ``rows`` labelled documents.  Labels of fold ``held`` are not read."""
     texts = cut(sample(docs, labels, "toxic", folds, held, rows))
     scorer = Scorer(learn_terms(texts))
 
@@ -236,12 +236,29 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut
     got = texts.mapInArrow(measure, "x array<double>, y int").orderBy("x", "y").toPandas()
     y = got.y.to_numpy()
     w = fit(np.array(got.x.tolist()).reshape(len(got), -1), y) if y.any() else np.r_[np.zeros(8), -60.0]
+    return scorer, w
+
+
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut_at: float = 0.5, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id, held_out, score and predicted for every document."""
+    scorer, w = train(docs, labels, folds, held, rows)
 
     def mark(batches):
         for b in batches:
-            x = scorer.features(b.column(2).to_pylist())
-            s = apply(w, x)
+            s = apply(w, scorer.features(b.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= cut_at).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows_in = docs.select("doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "text")
     return rows_in.mapInArrow(mark, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut_at: float = 0.5, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores below ``cut_at``.  No shuffle."""
+    scorer, w = train(docs, labels, folds, held, rows)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(apply(w, scorer.features(b.column(at).to_pylist())) < cut_at))
+
+    return docs.mapInArrow(keep, docs.schema)
