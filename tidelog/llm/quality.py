@@ -104,7 +104,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
     got = texts.mapInArrow(measure, "x array<double>, y int").toPandas()
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (got.x.iat[i].tolist(), got.y.iat[i]))]  # any order of tasks gives one model
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (list(got.x.iat[i]), got.y.iat[i]))]  # any order of tasks gives one model
     model = fit(np.array(got.x.tolist()).reshape(len(got), -1), got.y.to_numpy(), cut_at)
 
     def mark(batches):

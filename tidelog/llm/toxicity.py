@@ -234,7 +234,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, row
             yield pa.RecordBatch.from_arrays([pa.array(list(scorer.features(b.column(0).to_pylist())), pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
     got = texts.mapInArrow(measure, "x array<double>, y int").toPandas()
-    got = got.iloc[sorted(range(len(got)), key=lambda i: (got.x.iat[i].tolist(), got.y.iat[i]))]  # any order of tasks gives one model
+    got = got.iloc[sorted(range(len(got)), key=lambda i: (list(got.x.iat[i]), got.y.iat[i]))]  # any order of tasks gives one model
     y = got.y.to_numpy()
     w = fit(np.array(got.x.tolist()).reshape(len(got), -1), y) if y.any() else np.r_[np.zeros(8), -60.0]
     return scorer, w
