@@ -61,3 +61,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         last = state
+
+
+#: Bits of the map that :func:`marked` broadcasts: a constant 8 MB, whatever the input.
+MAP_BITS = 1 << 26
+
+
+def marked(rows: DataFrame, ids: DataFrame, column: str = "doc_id", name: str = "marked") -> DataFrame:
+    """``rows`` with a boolean that is true wherever ``column`` occurs in ``ids`` (and now and then elsewhere).
+
+    A bitmap of hashes of constant size is broadcast, so rows that a join would drop need not
+    be shuffled.  The more ids, the more rows pass; none is ever lost.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(MAP_BITS)) + 1
+    bits = ids.select(place(column).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("bucket_")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits_"))
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring(F.col("bits_"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("getbit", byte, (at % 8).cast("int")) == 1, F.lit(False))
+    joined = rows.join(F.broadcast(bits), F.bitmap_bucket_number(place(column)) == F.col("bucket_"), "left")
+    return joined.select(*(F.col(c) for c in rows.columns), hit.alias(name))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, cut
+from tidelog.llm.common import components, cut, marked
 from tidelog.llm.kernels import RADIX, U, Words, chunks, mix
 
 TREES, DEPTH, RECALL = 24, 8, 0.999
@@ -197,7 +197,8 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = TR
     members = cut(members.join(total, "root").select("root", "node", "c1", "c2", "copy_id", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "blocks"))
     # One text of each class: the first row with its copy_id and words.
     chosen = members.select("c1", "c2", "node", "root", "block", "blocks", F.col("copy_id").alias("id_"))
-    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("id_")), "inner")
+    near = marked(docs.select("doc_id", "text"), chosen.select(F.col("id_").alias("doc_id"))).where("marked").drop("marked")
+    texts = near.join(chosen, F.col("doc_id").eqNullSafe(F.col("id_")), "inner")
     sets = texts.select("text", "c1", "c2", F.col("root").alias("group"), "node", "block", "blocks").mapInArrow(_sets(size), "group long, node long, block int, blocks int, s array<long>")
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
     units = sets.select("group", F.explode(F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(other)).alias("u"), "node", "block", "s").select("group", F.col("u.i").alias("i"), F.col("u.j").alias("j"), "node", "block", "s")
