@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm.common import cut, row_key, small
+from tidelog.llm.common import cut, marked, row_key, small
 
 # What lies between words, and the letters that are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -74,8 +74,11 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     start = F.col("place") - F.col("at")
     candidates = found.join(small(prefix), "shingle").where((start >= 0) & (start + F.col("n") <= F.col("len"))).select("doc_id", "key_", start.alias("start"), "n", "body")
     by_doc = candidates.groupBy("doc_id", "key_").agg(F.collect_set(F.struct("start", "n", "body")).alias("c")).withColumnsRenamed({"doc_id": "id_", "key_": "k_"})
-    verified = docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")), "left").select(
-        "doc_id", "key_", F.size("w").cast("long").alias("n_words"),
+    by_doc = cut(by_doc)
+    # Words travel only where a candidate may be.
+    kept = marked(docs, by_doc.select(F.col("id_").alias("doc_id"))).select("doc_id", "key_", F.size("w").cast("long").alias("n_words"), F.when(F.col("marked"), F.col("w")).alias("w"))
+    verified = kept.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")), "left").select(
+        "doc_id", "key_", "n_words",
         F.filter(F.coalesce("c", F.array().cast("array<struct<start:int,n:int,body:string>>")), lambda c: F.array_join(F.slice("w", c["start"] + 1, c["n"]), " ") == c["body"]).alias("c"),
     )
     owners = small(each.groupBy("n", "body").agg(F.collect_set("item").alias("items")).select(F.col("n").alias("n_"), F.col("body").alias("body_"), "items"))
