@@ -69,7 +69,7 @@ def _signatures(size: int, trees: int, k: int):
     def sign(batches):
         for b in batches:
             ids = b.column(0)
-            for begin, texts in chunks(b.column(1).to_pylist(), 1 << 20):
+            for begin, texts in chunks(b.column(1)):
                 classes, bounds, hashes = shingles(texts, size)
                 some = np.flatnonzero(np.diff(bounds))
                 prefix = np.zeros((len(texts), trees), U)
@@ -90,7 +90,7 @@ def _signatures(size: int, trees: int, k: int):
 def _sets(size: int):
     def sets(batches):
         for b in batches:
-            for begin, texts in chunks(b.column(0).to_pylist()):
+            for begin, texts in chunks(b.column(0)):
                 classes, bounds, hashes = shingles(texts, size)
                 n = len(texts)
                 out = pa.RecordBatch.from_arrays([*(c.slice(begin, n) for c in b.columns[3:]), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["group", "node", "block", "blocks", "s"])

@@ -11,7 +11,8 @@ import numpy as np
 U = np.uint64
 #: Odd multipliers of the polynomial hashes; any odd numbers serve.
 RADIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-CHUNK = 2 << 20
+#: Bytes of a chunk of texts, about; bounds a worker's memory (a longer text is a chunk of its own).
+CHUNK = 1 << 19
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -74,15 +75,19 @@ class Runs:
         return mix((self.sums[start + n] - self.sums[start]) * self.down[start] + np.asarray(n).astype(U))
 
 
-def chunks(texts: list, limit: int = CHUNK):
-    """(first index, texts as bytes) for consecutive texts of about ``limit`` bytes; null is empty."""
+def chunks(texts, limit: int = CHUNK):
+    """(first index, texts as bytes) for consecutive texts of about ``limit`` bytes; null is empty.
+
+    texts: an Arrow array, of which a few rows at a time become Python strings.
+    """
     out, size, begin = [], 0, 0
-    for i, t in enumerate(texts):
-        t = (t or "").encode("utf-8", "surrogatepass")
-        if out and size + len(t) > limit:
-            yield begin, out
-            out, size, begin = [], 0, i
-        out.append(t)
-        size += len(t)
+    for at in range(0, len(texts), 128):
+        for i, t in enumerate(texts.slice(at, 128).to_pylist(), at):
+            t = (t or "").encode("utf-8", "surrogatepass")
+            if out and size + len(t) > limit:
+                yield begin, out
+                out, size, begin = [], 0, i
+            out.append(t)
+            size += len(t)
     if out:
         yield begin, out

@@ -83,11 +83,11 @@ def blocks_of(texts: list[bytes], length: int, gram: int):
     return doc, grams[at[new]].view(np.int64), full.view(np.int64), place
 
 
-def _emit(length: int, gram: int, size: int):
+def _emit(length: int, gram: int):
     def blocks(batches):
         for b in batches:
             keys = b.column(0)
-            for begin, texts in chunks(b.column(1).to_pylist(), size):
+            for begin, texts in chunks(b.column(1)):
                 got = blocks_of(texts, length, gram)
                 if got is not None:
                     doc, mini, full, place = got
@@ -101,7 +101,7 @@ def _windows(length: int):
         """Of the blocks to check: a row for each window."""
         for b in batches:
             keys, spans = b.column(0), b.column(2).to_pylist()
-            for begin, texts in chunks(b.column(1).to_pylist()):
+            for begin, texts in chunks(b.column(1)):
                 words = Words(texts)
                 runs, other = words.runs(0), words.runs(1)
                 starts, docs, places = [], [], []
@@ -124,7 +124,7 @@ def duplicate_spans(docs: DataFrame, length: int = 20, gram: int = GRAM) -> Data
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"mini long, full long, doc_id {kind}, place long"
     texts = docs.select("doc_id", "text")
-    blocks = texts.mapInArrow(_emit(length, gram, 2 << 20), schema)
+    blocks = texts.mapInArrow(_emit(length, gram), schema)
     # One exchange by minimizer serves both rankings: equal blocks have equal minimizers.
     ranked = blocks.repartition("mini").withColumn("rank", F.row_number().over(Window.partitionBy("mini", "full").orderBy("doc_id", "place")))
     meeting = ranked.withColumn("kinds", F.sum((F.col("rank") == 1).cast("long")).over(Window.partitionBy("mini")))
