@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut
-from tidelog.llm.labelled import SAMPLE_ROWS, fold, sample
+from tidelog.llm.labelled import SAMPLE_ROWS, fold, in_slices, sample
 
 #: Byte classes: letters in lower and upper case, digits, white space, other ASCII, beyond ASCII.
 _CLASS = np.full(256, 5, np.int8)
@@ -100,7 +100,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut
 
     def measure(batches):
         for b in batches:
-            x = features(b.column(0).to_pylist())
+            x = in_slices(features, b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
     got = texts.mapInArrow(measure, "x array<double>, y int").toPandas()
@@ -109,7 +109,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut
 
     def mark(batches):
         for b in batches:
-            s = apply(model, features(b.column(2).to_pylist()))
+            s = apply(model, in_slices(features, b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= cut_at).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows_in = docs.select("doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "text")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut
-from tidelog.llm.labelled import SAMPLE_ROWS, fold, sample
+from tidelog.llm.labelled import SAMPLE_ROWS, fold, in_slices, sample
 from tidelog.llm.quality import _logistic
 
 EDGE = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—*_~`|#$%&"
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, row
 
     def measure(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(scorer.features(b.column(0).to_pylist())), pa.list_(pa.float64())), b.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(in_slices(scorer.features, b.column(0))), pa.list_(pa.float64())), b.column(1)], ["x", "y"])
 
     got = texts.mapInArrow(measure, "x array<double>, y int").toPandas()
     got = got.iloc[sorted(range(len(got)), key=lambda i: (list(got.x.iat[i]), got.y.iat[i]))]  # any order of tasks gives one model
@@ -246,7 +246,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut
 
     def mark(batches):
         for b in batches:
-            s = apply(w, scorer.features(b.column(2).to_pylist()))
+            s = apply(w, in_slices(scorer.features, b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= cut_at).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows_in = docs.select("doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "text")
@@ -260,6 +260,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0
 
     def keep(batches):
         for b in batches:
-            yield b.filter(pa.array(apply(w, scorer.features(b.column(at).to_pylist())) < cut_at))
+            yield b.filter(pa.array(apply(w, in_slices(scorer.features, b.column(at))) < cut_at))
 
     return docs.mapInArrow(keep, docs.schema)
