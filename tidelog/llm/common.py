@@ -63,8 +63,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = state
 
 
-#: Bits of the map that :func:`marked` broadcasts: a constant 8 MB, whatever the input.
-MAP_BITS = 1 << 26
+#: Bits of the map that :func:`marked` broadcasts: a constant 2 MB, whatever the input.
+MAP_BITS = 1 << 24
 
 
 def marked(rows: DataFrame, ids: DataFrame, column: str = "doc_id", name: str = "marked") -> DataFrame:
