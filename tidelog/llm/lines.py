@@ -1,12 +1,13 @@
 """Line dedup: exact and fuzzy, in DataFrame operations only.
 
 1. A line is normalised: lower case, white space collapsed and trimmed.  Equal normalised lines are one class.
-2. A class has a 64-bit SimHash of its distinct words.  The counters of all bits are summed in packed form, four
+2. A line has a 64-bit SimHash of its distinct words.  The counters of all bits are summed in packed form, four
    16-bit counters to a long.
 3. Classes at most ``DISTANCE`` bits apart agree on two of five blocks of bits whatever bits differ
    (pigeonhole), so a join on each pair of blocks finds every such pair; of several tables, only the first on which a
    pair agrees gives it.
-4. Pairs are verified by edit similarity of the normalised lines: 1 - distance / longer length.
+4. Pairs are verified by edit similarity over words: 1 - distance / words of the longer line.  Each word becomes one
+   character (20 bits of its hash), so that the distance of strings is the distance in words.
 5. Of each connected group of classes the first occurrence stays, by doc_id, then line number.
 
 Lines with fewer than ``WORDS`` distinct words are matched exactly only.  Blank lines always stay.  Recall of step 3 against all pairs at the similarity is measured in
@@ -23,7 +24,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import components, cut, row_key, small
+from tidelog.llm.common import components, cut, marked, row_key
 
 DISTANCE, WORDS, SIMILARITY = 3, 4, 0.8
 #: Bit blocks of a SimHash: five, of which any three may differ.
@@ -31,38 +32,49 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 
 
 def normalised(line: Column) -> Column:
-    spaced = F.translate(F.lower(line), "\t\n\x0b\f\r", "     ")
-    return F.trim(F.regexp_replace(spaced, " {2,}", " "))
+    low = F.lower(line)
+    other = low.contains("\t") | low.contains("\r") | low.contains("\x0b") | low.contains("\f")
+    spaced = F.when(other, F.translate(low, "\t\x0b\f\r", "    ")).otherwise(low)
+    return F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
 
 
 def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("bigint")
 
 
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of an array of distinct words."""
+#: Distinct words that 16-bit counters can count.
+FEW = (1 << 16) - 1
 
-    def packed(width: int) -> Column:
-        """Bit b of all hashes is counted in field b // width of the long b % width."""
-        mask = _long(sum(1 << f for f in range(0, 64, width)))
-        hashes = F.transform(words, lambda w: F.xxhash64(w))
-        zero = F.struct(*(F.lit(0).cast("bigint").alias(f"k{k}") for k in range(width)))
-        # A field holds the count of a bit; it cannot overflow for fewer than 2**width words.
-        add = lambda acc, h: F.struct(*((acc[f"k{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(mask)).alias(f"k{k}") for k in range(width)))
-        half = F.size(words) / 2
-        field = _long((1 << width) - 1)
 
-        def bits(acc: Column) -> Column:
-            out = F.lit(0).cast("bigint")
-            for k in range(width):
-                for f in range(64 // width):
-                    count = F.shiftrightunsigned(acc[f"k{k}"], f * width).bitwiseAND(field)
-                    out = out.bitwiseOR(F.when(count > half, _long(1 << (k + f * width))).otherwise(_long(0)))
-            return out
+def _bits(width: int, over) -> Column:
+    """64 bits from counters: bit b is field b // width of the sum b % width."""
+    out = _long(0)
+    for k in range(width):
+        for f in range(64 // width):
+            out = out.bitwiseOR(F.when(over(k, f), _long(1 << (k + width * f))).otherwise(_long(0)))
+    return out
 
-        return F.aggregate(hashes, zero, add, bits)
 
-    return F.when(F.size(words) < 1 << 15, packed(16)).otherwise(packed(32))
+def _mask_of(width: int) -> Column:
+    return _long(sum(1 << f for f in range(0, 64, width)))
+
+
+def _long_line(words: Column) -> Column:
+    """The SimHash of a line of very many words, with 32-bit counters, within its row."""
+    zero = F.struct(*(F.lit(0).cast("bigint").alias(f"k{k}") for k in range(32)))
+    add = lambda acc, w: F.struct(*((acc[f"k{k}"] + F.shiftrightunsigned(w, k).bitwiseAND(_mask_of(32))).alias(f"k{k}") for k in range(32)))
+    return F.aggregate(words, zero, add, lambda acc: _bits(32, lambda k, f: F.shiftrightunsigned(acc[f"k{k}"], 32 * f).bitwiseAND(_long((1 << 32) - 1)) * 2 > F.size(words)))
+
+
+def simhashes(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """``ids`` and h, the 64-bit SimHash of the distinct words of each row's ``words`` (64-bit hashes).
+
+    ids must name one row.  Words are exploded and counted in generated code, and combined before the shuffle, which moves a
+    row of counters for each line.
+    """
+    each = rows.select(*ids, F.size("words").alias("n"), F.when(F.size("words") > FEW, _long_line(F.col("words"))).alias("hl"), F.explode("words").alias("w"))
+    counted = each.groupBy(*ids, "n", "hl").agg(*(F.sum(F.shiftrightunsigned("w", k).bitwiseAND(_mask_of(16))).alias(f"k{k}") for k in range(16)))
+    return counted.select(*ids, F.coalesce("hl", _bits(16, lambda k, f: F.shiftrightunsigned(F.col(f"k{k}"), 16 * f).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("n"))).alias("h"))
 
 
 def _key(h: Column, pair: tuple[int, int]) -> Column:
@@ -81,40 +93,64 @@ def lines(docs: DataFrame) -> DataFrame:
     return norm.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
 
 
+def index(docs: DataFrame) -> DataFrame:
+    """A slim row for each line, written once: (doc_id, key_, no, h1, h2, size, h); h is null where only exact matches count."""
+    words = F.transform(F.array_distinct(F.split("norm", " ")), lambda w: F.xxhash64(w))
+    slim = lines(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "key_", "no", "h1", "h2", F.length("norm").alias("size"), words.alias("words"))
+    ids = ["row", "doc_id", "key_", "no", "h1", "h2", "size"]
+    fuzzy = simhashes(slim.where(F.size("words") >= WORDS), ids)
+    return cut(fuzzy.unionByName(slim.where(F.size("words") < WORDS).select(*ids, F.lit(None).cast("bigint").alias("h"))).drop("row"))
+
+
 def classes(all_lines: DataFrame) -> DataFrame:
-    """(node, h1, h2, first, size, h, n) of each class of equal lines; h is null where only exact matches count."""
-    words = F.array_distinct(F.split("norm", " "))
-    hashed = all_lines.select("h1", "h2", F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "key_", "no").alias("first"), F.length("norm").alias("size"), words.alias("w"))
-    hashed = hashed.select("h1", "h2", "first", "size", F.when(F.size("w") >= WORDS, simhash(F.col("w"))).alias("h"))
-    return hashed.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("size").alias("size"), F.first("h").alias("h")).withColumn("node", F.xxhash64("h1", "h2"))
+    """(node, h1, h2, first, size, h) of each class of equal lines."""
+    first = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "key_", "no")
+    return all_lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("h").alias("h")).withColumn("node", F.xxhash64("h1", "h2"))
 
 
-def candidates(found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, size) of the pairs of classes within DISTANCE bits whose lengths allow the similarity."""
+def near_hashes(hashes: DataFrame) -> DataFrame:
+    """(ha, hb), ha < hb: the pairs of SimHashes 1 to DISTANCE bits apart."""
     tables = list(combinations(range(len(BLOCKS)), 2))
-    keys = F.posexplode(F.array(*(_key(F.col("h"), t) for t in tables))).alias("t", "k")
-    placed = found.where("h is not null").select("node", "h", "size", keys)
-    a = placed.select("t", "k", F.col("node").alias("a"), F.col("h").alias("ha"), F.col("size").alias("sa"))
-    b = placed.select("t", "k", F.col("node").alias("b"), F.col("h").alias("hb"), F.col("size").alias("sb"))
+    keys = F.explode(F.array(*(F.call_function("shiftleft", F.lit(t).cast("bigint"), F.lit(26)).bitwiseOR(_key(F.col("h"), p)) for t, p in enumerate(tables)))).alias("k")
+    placed = hashes.select("h", keys)
+    a, b = placed.withColumnRenamed("h", "ha"), placed.withColumnRenamed("h", "hb")
     x = F.col("ha").bitwiseXOR(F.col("hb"))
-    first = F.coalesce(*(F.when(x.bitwiseAND(_mask(t)) == 0, F.lit(i)) for i, t in enumerate(tables)))
-    near = (F.bit_count(x) <= DISTANCE) & (F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")) & (first == F.col("t_"))
-    return a.withColumnRenamed("t", "t_").join(b, (F.col("t_") == b["t"]) & (a["k"] == b["k"]) & (F.col("a") < F.col("b")) & near).select("a", "b", F.greatest("sa", "sb").alias("size"))
+    first = F.coalesce(*(F.when(x.bitwiseAND(_mask(p)) == 0, F.lit(t)) for t, p in enumerate(tables)))
+    near = (F.col("ha") < F.col("hb")) & (F.bit_count(x) <= DISTANCE) & (first == F.shiftright(a["k"], 26))
+    return a.join(b, (a["k"] == b["k"]) & near).select("ha", "hb")
+
+
+def candidates(found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, size) of the pairs of classes within DISTANCE bits whose lengths allow the similarity."""
+    fuzzy = found.where("h is not null")
+    pairs = near_hashes(fuzzy.select("h").distinct())
+    shared = fuzzy.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"))
+    a = fuzzy.select(F.col("h").alias("ha"), F.col("node").alias("a"), F.col("size").alias("sa"))
+    b = fuzzy.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("size").alias("sb"))
+    both = pairs.union(shared).join(a, "ha").join(b, "hb").where((F.col("ha") < F.col("hb")) | (F.col("a") < F.col("b")))
+    return both.where(F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")).select("a", "b", F.greatest("sa", "sb").alias("size"))
+
+
+def coded(norm: Column) -> Column:
+    """A string with one character for each word: a 20-bit hash beyond the basic plane, so edits of words are edits of characters."""
+    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1 << 20)) + 0x10000), 8, "0")), "")), "UTF-32")
 
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h1, h2, first) of each class of equal lines: the first occurrence in its group."""
-    all_lines = lines(docs)
     found = cut(classes(all_lines))
     pairs = cut(candidates(found, similarity))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # The text of each class in a pair, from one line of it.
-    firsts = found.join(small(wanted), "node", "left_semi").select("node", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"), F.col("first.no").alias("no_"))
-    texts = cut(all_lines.join(small(firsts), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")) & (F.col("no") == F.col("no_"))).select("node", "norm").dropDuplicates(["node"]))
-    ta, tb = texts.select(F.col("node").alias("a"), F.col("norm").alias("na")), texts.select(F.col("node").alias("b"), F.col("norm").alias("nb"))
-    limit = F.floor((1 - similarity) * F.col("size") + 1e-9).cast("int")
-    distance = F.call_function("levenshtein", "na", "nb", limit)
-    verified = pairs.join(ta, "a").join(tb, "b").where(distance.between(0, limit)).select("a", "b")
+    # The text of each class in a pair, from its first line.
+    firsts = cut(found.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"), F.col("first.no").alias("no_")))
+    by_doc = firsts.groupBy("id_", "k_").agg(F.collect_list(F.struct("no_", "node")).alias("want"))
+    near = marked(docs.where("text is not null").select("doc_id", row_key().alias("key_"), "text"), firsts.select(F.col("id_").alias("doc_id"))).where("marked")
+    held = near.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_"))).select(F.split("text", "\n", -1).alias("all_"), F.explode("want").alias("x"))
+    texts = cut(held.select(F.col("x.node").alias("node"), coded(normalised(F.get("all_", F.col("x.no_")))).alias("code")).dropDuplicates(["node"]))
+    ta, tb = texts.select(F.col("node").alias("a"), F.col("code").alias("ca")), texts.select(F.col("node").alias("b"), F.col("code").alias("cb"))
+    both = pairs.join(ta, "a").join(tb, "b")
+    limit = F.floor((1 - similarity) * F.greatest(F.length("ca"), F.length("cb")) + 1e-9).cast("int")
+    verified = both.where(F.call_function("levenshtein", "ca", "cb", limit).between(F.lit(0), limit)).select("a", "b")
     roots = components(verified)
     named = found.select("node", "h1", "h2", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(F.min("first").alias("first"))
@@ -123,13 +159,14 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, kept (the text without the removed lines) and kept_sha256 of each document."""
-    first = groups(docs, similarity)
-    gone = lines(docs).drop("norm").join(first, ["h1", "h2"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key_") == F.col("first.key_")) & (F.col("no") == F.col("first.no"))))
-    by_doc = gone.groupBy("doc_id", "key_").agg(F.collect_set("no").alias("gone")).withColumnsRenamed({"doc_id": "id_", "key_": "k_"})
+    all_lines = index(docs)
+    first = groups(docs, all_lines, similarity)
+    placed = all_lines.select("doc_id", "key_", "no", "h1", "h2").distinct().join(first, ["h1", "h2"])
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key_") == F.col("first.key_")) & (F.col("no") == F.col("first.no"))
+    by_doc = placed.groupBy("doc_id", "key_").agg(F.count("*").alias("n_lines"), F.collect_set(F.when(~stays, F.col("no"))).alias("gone")).withColumnsRenamed({"doc_id": "id_", "key_": "k_"})
     base = docs.select("doc_id", row_key().alias("key_"), "text")
-    joined = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    joined = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     all_ = F.split("text", "\n", -1)
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("gone")), lambda i: F.get(all_, i)), "\n"))
-    count = F.size(F.filter(all_, lambda x: normalised(x) != "")).cast("long")
-    out = joined.select("doc_id", count.alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), kept.alias("kept"))
+    out = joined.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), kept.alias("kept"))
     return out.select("*", F.sha2("kept", 256).alias("kept_sha256"))
