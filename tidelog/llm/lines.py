@@ -1,11 +1,12 @@
 """Line dedup: exact and fuzzy, in DataFrame operations only.
 
 1. A line is normalised: lower case, white space collapsed and trimmed.  Equal normalised lines are one class.
-2. A line has a 64-bit SimHash of its distinct words.  The counters of all bits are summed in packed form, four
-   16-bit counters to a long.
+2. A line has a 60-bit SimHash of its distinct words.  The counters of all bits are summed in packed form, four
+   counters to a long.
 3. Classes at most ``DISTANCE`` bits apart agree on two of five blocks of bits whatever bits differ
-   (pigeonhole), so a join on each pair of blocks finds every such pair; of several tables, only the first on which a
-   pair agrees gives it.
+   (pigeonhole), so a join on each pair of blocks finds every such pair.  Each class is first held against the least of its
+   bucket; after that only pairs that are not connected yet are made, once, in the first table they share.  So a hot
+   group of n variants gives rows in proportion to n, and connectivity is that of all pairs.
 4. Pairs are verified by edit similarity over words: 1 - distance / words of the longer line.  Each word becomes one
    character (20 bits of its hash), so that the distance of strings is the distance in words.
 5. Of each connected group of classes the first occurrence stays, by doc_id, then line number.
@@ -28,7 +29,8 @@ from tidelog.llm.common import components, cut, marked, row_key
 
 DISTANCE, WORDS, SIMILARITY = 3, 4, 0.8
 #: Bit blocks of a SimHash: five, of which any three may differ.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+BLOCKS = ((0, 12), (12, 12), (24, 12), (36, 12), (48, 12))
+TABLES = tuple(combinations(range(len(BLOCKS)), 2))
 
 
 def normalised(line: Column) -> Column:
@@ -42,44 +44,49 @@ def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("bigint")
 
 
-#: Distinct words that 16-bit counters can count.
-FEW = (1 << 16) - 1
+#: Distinct words that the packed counters can hold: four fields of 15 bits, the last of which is left for the comparison.
+FEW = (1 << 14) - 1
+FIELDS = 1 | 1 << 15 | 1 << 30 | 1 << 45
 
 
-def _bits(width: int, over) -> Column:
-    """64 bits from counters: bit b is field b // width of the sum b % width."""
-    out = _long(0)
-    for k in range(width):
-        for f in range(64 // width):
-            out = out.bitwiseOR(F.when(over(k, f), _long(1 << (k + width * f))).otherwise(_long(0)))
-    return out
+def _long_line(words: Column) -> Column:
+    """The SimHash of a line of very many words, with 31-bit counters, within its row."""
+    zero = F.struct(*(F.lit(0).cast("bigint").alias(f"k{k}") for k in range(30)))
+    add = lambda acc, w: F.struct(*((acc[f"k{k}"] + _pair(w, k)).alias(f"k{k}") for k in range(30)))
 
+    def _pair(w: Column, k: int) -> Column:
+        """Bits k and k + 30 of a hash, 31 bits apart."""
+        return F.shiftrightunsigned(w, k).bitwiseAND(_long(1)).bitwiseOR(F.call_function("shiftleft", F.shiftrightunsigned(w, k + 30).bitwiseAND(_long(1)), F.lit(31)))
 
-def _mask_of(width: int) -> Column:
-    return _long(sum(1 << f for f in range(0, 64, width)))
+    def bits(acc: Column) -> Column:
+        out = _long(0)
+        for k in range(30):
+            for f in range(2):
+                over = F.shiftrightunsigned(acc[f"k{k}"], 31 * f).bitwiseAND(_long((1 << 31) - 1)) * 2 > F.size(words)
+                out = out.bitwiseOR(F.when(over, _long(1 << (k + 30 * f))).otherwise(_long(0)))
+        return out
 
-
-def _long_line(words: Column) -> Column:
-    """The SimHash of a line of very many words, with 32-bit counters, within its row."""
-    zero = F.struct(*(F.lit(0).cast("bigint").alias(f"k{k}") for k in range(32)))
-    add = lambda acc, w: F.struct(*((acc[f"k{k}"] + F.shiftrightunsigned(w, k).bitwiseAND(_mask_of(32))).alias(f"k{k}") for k in range(32)))
-    return F.aggregate(words, zero, add, lambda acc: _bits(32, lambda k, f: F.shiftrightunsigned(acc[f"k{k}"], 32 * f).bitwiseAND(_long((1 << 32) - 1)) * 2 > F.size(words)))
+    return F.aggregate(words, zero, add, bits)
 
 
 def simhashes(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """``ids`` and h, the 64-bit SimHash of the distinct words of each row's ``words`` (64-bit hashes).
+    """``ids`` and h, the 60-bit SimHash of the distinct words of each row's ``words`` (64-bit hashes).
 
     ids must name one row.  Words are exploded and counted in generated code, and combined before the shuffle, which moves a
-    row of counters for each line.
+    row of counters for each line.  All four counters of a sum are compared with half the words by one addition.
     """
     each = rows.select(*ids, F.size("words").alias("n"), F.when(F.size("words") > FEW, _long_line(F.col("words"))).alias("hl"), F.explode("words").alias("w"))
-    counted = each.groupBy(*ids, "n", "hl").agg(*(F.sum(F.shiftrightunsigned("w", k).bitwiseAND(_mask_of(16))).alias(f"k{k}") for k in range(16)))
-    return counted.select(*ids, F.coalesce("hl", _bits(16, lambda k, f: F.shiftrightunsigned(F.col(f"k{k}"), 16 * f).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("n"))).alias("h"))
+    counted = each.groupBy(*ids, "n", "hl").agg(*(F.sum(F.shiftrightunsigned("w", k).bitwiseAND(_long(FIELDS))).alias(f"k{k}") for k in range(15)))
+    counted = counted.withColumn("c", (F.lit(1 << 14) - F.floor(F.least("n", F.lit(FEW)) / 2) - 1).cast("bigint") * _long(FIELDS))
+    out = _long(0)
+    for k in range(15):
+        out = out.bitwiseOR(F.shiftrightunsigned((F.col(f"k{k}").bitwiseAND(_long(FIELDS * FEW)) + F.col("c")).bitwiseAND(_long(FIELDS << 14)), 14 - k))
+    return counted.select(*ids, F.coalesce("hl", out).alias("h"))
 
 
 def _key(h: Column, pair: tuple[int, int]) -> Column:
     parts = [F.shiftrightunsigned(h, BLOCKS[b][0]).bitwiseAND(_long((1 << BLOCKS[b][1]) - 1)) for b in pair]
-    return F.call_function("shiftleft", parts[0], F.lit(13)).bitwiseOR(parts[1])
+    return F.call_function("shiftleft", parts[0], F.lit(12)).bitwiseOR(parts[1])
 
 
 def _mask(pair: tuple[int, int]) -> Column:
@@ -108,27 +115,25 @@ def classes(all_lines: DataFrame) -> DataFrame:
     return all_lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("h").alias("h")).withColumn("node", F.xxhash64("h1", "h2"))
 
 
-def near_hashes(hashes: DataFrame) -> DataFrame:
-    """(ha, hb), ha < hb: the pairs of SimHashes 1 to DISTANCE bits apart."""
-    tables = list(combinations(range(len(BLOCKS)), 2))
-    keys = F.explode(F.array(*(F.call_function("shiftleft", F.lit(t).cast("bigint"), F.lit(26)).bitwiseOR(_key(F.col("h"), p)) for t, p in enumerate(tables)))).alias("k")
-    placed = hashes.select("h", keys)
-    a, b = placed.withColumnRenamed("h", "ha"), placed.withColumnRenamed("h", "hb")
-    x = F.col("ha").bitwiseXOR(F.col("hb"))
-    first = F.coalesce(*(F.when(x.bitwiseAND(_mask(p)) == 0, F.lit(t)) for t, p in enumerate(tables)))
-    near = (F.col("ha") < F.col("hb")) & (F.bit_count(x) <= DISTANCE) & (first == F.shiftright(a["k"], 26))
-    return a.join(b, (a["k"] == b["k"]) & near).select("ha", "hb")
+def buckets(found: DataFrame) -> DataFrame:
+    """(k, node, h, size, leader, hl, sl) of the classes that share a table's key with others; the leader is the least of them."""
+    keys = F.explode(F.array(*(F.call_function("shiftleft", F.lit(t).cast("bigint"), F.lit(24)).bitwiseOR(_key(F.col("h"), p)) for t, p in enumerate(TABLES)))).alias("k")
+    placed = found.where("h is not null").select("node", "h", "size", keys)
+    leaders = placed.groupBy("k").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = found.select(F.col("node").alias("leader"), F.col("h").alias("hl"), F.col("size").alias("sl"))
+    return cut(placed.join(leaders, "k").join(own, "leader").select("k", "node", "h", "size", "leader", "hl", "sl"))
 
 
-def candidates(found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, size) of the pairs of classes within DISTANCE bits whose lengths allow the similarity."""
-    fuzzy = found.where("h is not null")
-    pairs = near_hashes(fuzzy.select("h").distinct())
-    shared = fuzzy.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("ha"), F.col("h").alias("hb"))
-    a = fuzzy.select(F.col("h").alias("ha"), F.col("node").alias("a"), F.col("size").alias("sa"))
-    b = fuzzy.select(F.col("h").alias("hb"), F.col("node").alias("b"), F.col("size").alias("sb"))
-    both = pairs.union(shared).join(a, "ha").join(b, "hb").where((F.col("ha") < F.col("hb")) | (F.col("a") < F.col("b")))
-    return both.where(F.least("sa", "sb") >= similarity * F.greatest("sa", "sb")).select("a", "b", F.greatest("sa", "sb").alias("size"))
+def _near(ha: str, hb: str, sa: str, sb: str, similarity: float) -> Column:
+    """Within DISTANCE bits; lengths in characters allow the similarity in words only roughly, so they bound it loosely."""
+    x = F.col(ha).bitwiseXOR(F.col(hb))
+    return (F.bit_count(x) <= DISTANCE) & (F.least(sa, sb) >= similarity / 2 * F.greatest(sa, sb))
+
+
+def _first_table(ha: str, hb: str) -> Column:
+    """The first table in which two SimHashes share a key."""
+    x = F.col(ha).bitwiseXOR(F.col(hb))
+    return F.coalesce(*(F.when(x.bitwiseAND(_mask(p)) == 0, F.lit(t)) for t, p in enumerate(TABLES)))
 
 
 def coded(norm: Column) -> Column:
@@ -136,22 +141,39 @@ def coded(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1 << 20)) + 0x10000), 8, "0")), "")), "UTF-32")
 
 
-def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, h2, first) of each class of equal lines: the first occurrence in its group."""
-    found = cut(classes(all_lines))
-    pairs = cut(candidates(found, similarity))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # The text of each class in a pair, from its first line.
-    firsts = cut(found.join(wanted, "node", "left_semi").select("node", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"), F.col("first.no").alias("no_")))
+def codes(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, code) of classes, from the text of each class's first line."""
+    firsts = cut(found.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"), F.col("first.no").alias("no_")))
     by_doc = firsts.groupBy("id_", "k_").agg(F.collect_list(F.struct("no_", "node")).alias("want"))
     near = marked(docs.where("text is not null").select("doc_id", row_key().alias("key_"), "text"), firsts.select(F.col("id_").alias("doc_id"))).where("marked")
     held = near.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_"))).select(F.split("text", "\n", -1).alias("all_"), F.explode("want").alias("x"))
-    texts = cut(held.select(F.col("x.node").alias("node"), coded(normalised(F.get("all_", F.col("x.no_")))).alias("code")).dropDuplicates(["node"]))
+    return cut(held.select(F.col("x.node").alias("node"), coded(normalised(F.get("all_", F.col("x.no_")))).alias("code")).dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose edit similarity over words reaches the threshold."""
     ta, tb = texts.select(F.col("node").alias("a"), F.col("code").alias("ca")), texts.select(F.col("node").alias("b"), F.col("code").alias("cb"))
-    both = pairs.join(ta, "a").join(tb, "b")
     limit = F.floor((1 - similarity) * F.greatest(F.length("ca"), F.length("cb")) + 1e-9).cast("int")
-    verified = both.where(F.call_function("levenshtein", "ca", "cb", limit).between(F.lit(0), limit)).select("a", "b")
-    roots = components(verified)
+    return pairs.join(ta, "a").join(tb, "b").where(F.call_function("levenshtein", "ca", "cb", limit).between(F.lit(0), limit)).select("a", "b")
+
+
+def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(h1, h2, first) of each class of equal lines: the first occurrence in its group."""
+    found = cut(classes(all_lines))
+    shared = buckets(found)
+    other = shared.select(F.col("k").alias("k2"), F.col("node").alias("n2"), F.col("h").alias("h2_"), F.col("size").alias("s2"))
+    active = cut(shared.join(other, (F.col("k") == F.col("k2")) & (F.col("node") != F.col("n2")) & _near("h", "h2_", "size", "s2", similarity), "left_semi").select("node").distinct())
+    texts = codes(docs, found, active)
+    # First every class against the leader of its bucket: as many pairs as classes.
+    stars = shared.where((F.col("node") != F.col("leader")) & _near("h", "hl", "size", "sl", similarity)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    first = cut(verified(stars, texts, similarity))
+    # Then the pairs of a bucket that are not connected yet; a group that the stars connect gives none.
+    roots = components(first)
+    rest = shared.join(active, "node", "left_semi").join(roots, "node", "left").select("k", "node", "h", "size", F.coalesce("root", "node").alias("c"))
+    rest = cut(rest)
+    b = rest.select(F.col("k").alias("k2"), F.col("node").alias("n2"), F.col("h").alias("h2_"), F.col("size").alias("s2"), F.col("c").alias("c2"))
+    cross = rest.join(b, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("n2")) & (F.col("c") != F.col("c2")) & _near("h", "h2_", "size", "s2", similarity) & (_first_table("h", "h2_") == F.shiftright("k", 24))).select(F.col("node").alias("a"), F.col("n2").alias("b"))
+    roots = components(first.union(verified(cross, texts, similarity)))
     named = found.select("node", "h1", "h2", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(F.min("first").alias("first"))
     return named.select("root", "h1", "h2").join(kept, "root").select("h1", "h2", "first")
