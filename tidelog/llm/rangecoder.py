@@ -5,7 +5,7 @@ predicts the next id twice: order 2 (a hash of the two ids before) and order 1 (
 each with a confidence.  The two confidences pick an adaptive mixing slot that gives the
 probabilities of "order 2 is right", "order 1 is right" and "neither"; in the last case the id
 is coded with order-0 counts of its upper bits.  The arithmetic coder keeps a 48-bit range and
-emits 16 bits at a time; carries are settled at the end.
+emits 16 bits at a time; a carry is added to the words before at once.
 
 A block is one lane of a numpy array, so a step codes one id in every block at once.
 """
@@ -82,12 +82,12 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
     lens = np.array([len(b) for b in blocks], np.int64)
     order, running = _plan(lens)
     lanes, steps = len(blocks), len(running)
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.int32)
     for lane, b in enumerate(order):
         ids[: lens[b], lane] = blocks[b]
     model = _Model(lanes)
     low, size = np.zeros(lanes, U), np.full(lanes, 1 << 48, U)
-    out, at = np.zeros((lanes, 2 * steps + 8), np.uint32), np.zeros(lanes, np.int64)
+    out, at = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
     width = out.shape[1]
     flat, begin = out.reshape(-1), np.arange(lanes, dtype=np.int64) * width
     floor, mask = U(1 << 32), U((1 << 32) - 1)
@@ -95,7 +95,13 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
     def shift(i):
         """Emit 16 bits of the lanes i."""
         part = low[i]
-        flat[begin[i] + at[i]] = part >> U(32)
+        top, place = part >> U(32), begin[i] + at[i]
+        flat[place] = top & U(0xFFFF)
+        over = place[top > U(0xFFFF)]
+        while len(over):  # nearly always once
+            over = over - 1
+            flat[over] += np.uint16(1)
+            over = over[flat[over] == 0]
         at[i] += 1
         low[i] = (part & mask) << U(16)
         size[i] <<= U(16)
@@ -104,7 +110,7 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
     for t, a in enumerate(running):
         if t % REFRESH == 0:
             model.refresh(a)
-        x = ids[t, :a]
+        x = ids[t, :a].astype(np.int64)
         c1, c2 = model.predict(a)
         hit2 = c2 == x
         hit1 = (c1 == x) & ~hit2
@@ -132,11 +138,7 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
         model.update(a, x, hit1, hit2)
     for _ in range(3):
         shift(np.arange(lanes))
-    carry = np.zeros(lanes, np.uint32)
-    for j in range(int(at.max(initial=0)) - 1, -1, -1):
-        out[:, j] += carry
-        carry = out[:, j] >> 16
-    words, coded = out.astype("<u2"), [b""] * lanes
+    words, coded = out.astype("<u2", copy=False), [b""] * lanes
     for lane, b in enumerate(order):
         coded[b] = words[lane, : at[lane]].tobytes()
     return coded
@@ -151,7 +153,7 @@ def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int) -> list[n
         w = np.frombuffer(coded[b], "<u2")
         words[lane, : len(w)] = w
     flat, begin = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width
-    ids = np.zeros((steps, lanes), np.int64)
+    ids = np.zeros((steps, lanes), np.int32)
     model = _Model(lanes)
     w = words[:, :3].astype(U)
     code, size, at = w[:, 0] << U(32) | w[:, 1] << U(16) | w[:, 2], np.full(lanes, 1 << 48, U), np.full(lanes, 3, np.int64)

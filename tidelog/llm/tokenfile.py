@@ -24,9 +24,9 @@ from tidelog.llm import rangecoder
 from tidelog.llm.common import scratch
 
 #: Ids of a frame, about; and of the frames coded in lockstep.
-FRAME, TOGETHER = 1 << 20, 1 << 23
+FRAME, TOGETHER = 1 << 20, 1 << 22
 #: Words whose ids a Python worker keeps.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class Encoder:
@@ -55,30 +55,54 @@ class Encoder:
         self.tok, self.cache = Tokenizer.from_file(self.path), {}
         probe = "Ab c\ndé, f's 'll x"
         whole = self.tok.encode(probe, add_special_tokens=False).ids
-        self.pieces = whole == [i for w in probe.split() for i in self.tok.encode(w, add_special_tokens=False).ids]
+        self.pieces = whole == np.frombuffer(b"".join(self._encode(probe.split())), np.uint32).tolist()
 
     def __call__(self, texts: list) -> list[np.ndarray]:
         if self.tok is None:
             self.load()
         if not self.pieces:
             return [np.array([*e.ids, self.end_id], np.uint32) for e in self.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(cache)) if split else []
-        ends = {}
-        for w in new:  # letters and one mark are two pieces for any such tokenizer; fewer words go through the library
+        known = self.cache
+        new = [w for w in set().union(*split) if w not in known] if split else []
+        fresh = {}
+        for w in new:  # letters and one mark are two pieces for any such tokenizer, so fewer words go through the library
             if w[-1:] in (".", ",") and w[:-1].isascii() and w[:-1].isalpha():
-                ends[w] = w[:-1]
-        ask = list(set(new).difference(ends).union(ends.values(), ".,").difference(cache))
-        for w, e in zip(ask, self.tok.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, np.uint32).tobytes()
-        for w, head in ends.items():
-            cache[w] = cache[head] + cache[w[-1]]
+                fresh[w] = w[:-1]
+        ask = list({w for w in new if w not in fresh} | {w for w in (*fresh.values(), ".", ",") if w not in known})
+        got = dict(zip(ask, self._encode(ask), strict=True))
+        got = _Chain(got, known)
+        for w, head in fresh.items():
+            got[w] = got[head] + got[w[-1]]
+        if len(known) < CACHE:  # frequent words come early
+            known.update(got)
+        find = known.__getitem__ if len(known) < CACHE else got.__getitem__
         end = np.array([self.end_id], np.uint32).tobytes()
-        get = cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) + end, np.uint32) for words in split]
+        return [np.frombuffer(b"".join(map(find, words)) + end, np.uint32) for words in split]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: many words at once, told apart by the places of their ids."""
+        out = []
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            lens = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            at = np.searchsorted(np.fromiter((o[0] for o in e.offsets), np.int64, len(ids)), np.concatenate([[0], np.cumsum(lens)]))
+            raw, at = ids.tobytes(), (4 * at).tolist()
+            out += [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+        return out
+
+
+class _Chain(dict):
+    """A dict that asks another one for what it lacks."""
+
+    def __init__(self, first: dict, then: dict):
+        super().__init__(first)
+        self.then = then
+
+    def __missing__(self, key):
+        return self.then[key]
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int | None = None) -> None:

@@ -32,6 +32,8 @@ ADDRESS = frozenset("you your you're youre u du dich dein ihr tu toi te vous ust
 #: Beginnings of words that are counted while learning terms, and terms kept at most.
 SHORTEST, LONGEST, TERMS = 4, 12, 4_000
 WINDOW = 12
+#: Words whose match a Python worker keeps.
+CACHE = 100_000
 
 
 def allowed(length: int) -> int:
@@ -180,7 +182,7 @@ class Scorer:
         for w in set(words):
             m = cache.get(w, 0)
             if m == 0:
-                if len(cache) > 400_000:
+                if len(cache) > CACHE:
                     cache.clear()
                 m = cache[w] = match(w.strip(EDGE).lower())
             if m:
