@@ -119,7 +119,7 @@ def cdc_composite_key_merge(spark, sf_dir):
     return reconcile.merge(mirror, reconcile.latest(ch, keys), keys)
 
 
-@query(WITH + " SELECT id, op, c AS commit_lsn, l AS lsn FROM changes WHERE c >= printf('%016X', (SELECT max(event_id) FROM events) - 1000) AND op <> 't'")
+@query(WITH + " SELECT id, op, c AS commit_lsn, l AS lsn FROM changes WHERE c >= printf('%016X', greatest((SELECT max(event_id) FROM events) - 1000, 0)) AND op <> 't'")
 def cdc_prune_retention(spark, sf_dir):
     ch = fixtures.event_changes(spark, sf_dir)
     top = fixtures.table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
