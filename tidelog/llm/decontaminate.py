@@ -106,5 +106,5 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int =
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated."""
-    bad = cut(report(docs, benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("id_"), F.col("key_").alias("k_")))
-    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("id_")) & (row_key() == F.col("k_")), "left_anti")
+    bad = cut(report(docs, benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("tidelog__id"), F.col("key_").alias("tidelog__key")))
+    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("tidelog__id")) & (row_key() == F.col("tidelog__key")), "left_anti")

@@ -219,7 +219,7 @@ def dedup(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
     Rows with one doc_id and different words stay or go together.
     """
     found = cut(join(docs, threshold, size).select("doc_id", "class_id"))
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("id_")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("tidelog__id")).distinct()
+    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("tidelog__id")), "left_semi")
     repeats = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeats else kept

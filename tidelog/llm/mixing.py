@@ -152,7 +152,7 @@ def text_hash(seed: int) -> Column:
 
 def materialize(docs: DataFrame, mixed: DataFrame, seed: int = 11) -> DataFrame:
     """The mix itself: a row of ``docs`` for each draw, by shard and in the shard's own order."""
-    draws = mixed.select(F.col("doc_id").alias("id_"), "row_hash", F.explode("draws").alias("draw_")).distinct()
-    rows = docs.join(draws, F.col("doc_id").eqNullSafe(F.col("id_")) & (text_hash(seed) == F.col("row_hash")), "inner")
+    draws = mixed.select(F.col("doc_id").alias("tidelog__id"), F.col("row_hash").alias("tidelog__hash"), F.explode("draws").alias("tidelog__draw")).distinct()
+    rows = docs.join(draws, F.col("doc_id").eqNullSafe(F.col("tidelog__id")) & (text_hash(seed) == F.col("tidelog__hash")), "inner")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "draw_.shard").sortWithinPartitions("draw_.shard", "draw_.rank").select(*docs.columns)
+    return rows.repartition(n, "tidelog__draw.shard").sortWithinPartitions("tidelog__draw.shard", "tidelog__draw.rank").select(*docs.columns)

@@ -105,7 +105,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, cut
 
     got = texts.mapInArrow(measure, "x array<double>, y int").toPandas()
     got = got.iloc[sorted(range(len(got)), key=lambda i: (list(got.x.iat[i]), got.y.iat[i]))]  # any order of tasks gives one model
-    model = fit(np.array(got.x.tolist()).reshape(len(got), -1), got.y.to_numpy(), cut_at)
+    model = fit(np.array(got.x.tolist(), float).reshape(len(got), 12), got.y.to_numpy(), cut_at)
 
     def mark(batches):
         for b in batches:

@@ -105,6 +105,8 @@ class Automaton:
     def match(self, word: str):
         """(edits, term) of the best match, or None."""
         state, steps, letters, found = self.start, self.steps, self.letters, None
+        if state < 0:
+            return None  # no terms
         for ch in word:
             if ch not in letters:
                 ch = ""
@@ -238,7 +240,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, row
     got = texts.mapInArrow(measure, "x array<double>, y int").toPandas()
     got = got.iloc[sorted(range(len(got)), key=lambda i: (list(got.x.iat[i]), got.y.iat[i]))]  # any order of tasks gives one model
     y = got.y.to_numpy()
-    w = fit(np.array(got.x.tolist()).reshape(len(got), -1), y) if y.any() else np.r_[np.zeros(8), -60.0]
+    w = fit(np.array(got.x.tolist(), float).reshape(len(got), 8), y) if y.any() else np.r_[np.zeros(8), -60.0]
     return scorer, w
 
 
