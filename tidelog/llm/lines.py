@@ -73,9 +73,10 @@ def simhashes(rows: DataFrame, ids: list[str]) -> DataFrame:
     """``ids`` and h, the 60-bit SimHash of the distinct words of each row's ``words`` (64-bit hashes).
 
     ids must name one row.  Words are exploded and counted in generated code, and combined before the shuffle, which moves a
-    row of counters for each line.  All four counters of a sum are compared with half the words by one addition.
+    row of counters for each line.  All four counters of a sum are compared with half the words by one addition.  Lines of
+    fewer than WORDS words get a null.
     """
-    each = rows.select(*ids, F.size("words").alias("n"), F.when(F.size("words") > FEW, _long_line(F.col("words"))).alias("hl"), F.explode("words").alias("w"))
+    each = rows.select(*ids, F.size("words").alias("n"), F.when(F.size("words") > FEW, _long_line(F.col("words"))).alias("hl"), F.explode_outer(F.when(F.size("words") >= WORDS, F.col("words"))).alias("w"))
     counted = each.groupBy(*ids, "n", "hl").agg(*(F.sum(F.shiftrightunsigned("w", k).bitwiseAND(_long(FIELDS))).alias(f"k{k}") for k in range(15)))
     counted = counted.withColumn("c", (F.lit(1 << 14) - F.floor(F.least("n", F.lit(FEW)) / 2) - 1).cast("bigint") * _long(FIELDS))
     out = _long(0)
@@ -105,8 +106,7 @@ def index(docs: DataFrame) -> DataFrame:
     words = F.transform(F.array_distinct(F.split("norm", " ")), lambda w: F.xxhash64(w))
     slim = lines(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "key_", "no", "h1", "h2", F.length("norm").alias("size"), words.alias("words"))
     ids = ["row", "doc_id", "key_", "no", "h1", "h2", "size"]
-    fuzzy = simhashes(slim.where(F.size("words") >= WORDS), ids)
-    return cut(fuzzy.unionByName(slim.where(F.size("words") < WORDS).select(*ids, F.lit(None).cast("bigint").alias("h"))).drop("row"))
+    return cut(simhashes(slim, ids).drop("row"))
 
 
 def classes(all_lines: DataFrame) -> DataFrame:
@@ -115,13 +115,18 @@ def classes(all_lines: DataFrame) -> DataFrame:
     return all_lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("h").alias("h")).withColumn("node", F.xxhash64("h1", "h2"))
 
 
-def buckets(found: DataFrame) -> DataFrame:
-    """(k, node, h, size, leader, hl, sl) of the classes that share a table's key with others; the leader is the least of them."""
+def buckets(found: DataFrame, similarity: float) -> DataFrame:
+    """(k, node, h, size, leader, hl, sl): classes with a near class in the bucket of a table's key k; the leader is the least of them.
+
+    A semi-join looks for one near class in the bucket: no row is made for classes that meet by chance only.
+    """
     keys = F.explode(F.array(*(F.call_function("shiftleft", F.lit(t).cast("bigint"), F.lit(24)).bitwiseOR(_key(F.col("h"), p)) for t, p in enumerate(TABLES)))).alias("k")
     placed = found.where("h is not null").select("node", "h", "size", keys)
-    leaders = placed.groupBy("k").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = found.select(F.col("node").alias("leader"), F.col("h").alias("hl"), F.col("size").alias("sl"))
-    return cut(placed.join(leaders, "k").join(own, "leader").select("k", "node", "h", "size", "leader", "hl", "sl"))
+    other = placed.select(F.col("node").alias("n2"), F.col("h").alias("h2_"), F.col("size").alias("s2"), F.col("k").alias("k2"))
+    near = cut(placed.join(other, (F.col("k") == F.col("k2")) & (F.col("node") != F.col("n2")) & _near("h", "h2_", "size", "s2", similarity), "left_semi"))
+    leaders = near.groupBy("k").agg(F.min("node").alias("leader"))
+    own = near.select(F.col("node").alias("leader"), F.col("h").alias("hl"), F.col("size").alias("sl")).distinct()
+    return cut(near.join(leaders, "k").join(own, "leader").select("k", "node", "h", "size", "leader", "hl", "sl"))
 
 
 def _near(ha: str, hb: str, sa: str, sb: str, similarity: float) -> Column:
@@ -160,16 +165,15 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h1, h2, first) of each class of equal lines: the first occurrence in its group."""
     found = cut(classes(all_lines))
-    shared = buckets(found)
-    other = shared.select(F.col("k").alias("k2"), F.col("node").alias("n2"), F.col("h").alias("h2_"), F.col("size").alias("s2"))
-    active = cut(shared.join(other, (F.col("k") == F.col("k2")) & (F.col("node") != F.col("n2")) & _near("h", "h2_", "size", "s2", similarity), "left_semi").select("node").distinct())
+    shared = buckets(found, similarity)
+    active = shared.select("node").distinct()
     texts = codes(docs, found, active)
     # First every class against the leader of its bucket: as many pairs as classes.
     stars = shared.where((F.col("node") != F.col("leader")) & _near("h", "hl", "size", "sl", similarity)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     first = cut(verified(stars, texts, similarity))
     # Then the pairs of a bucket that are not connected yet; a group that the stars connect gives none.
     roots = components(first)
-    rest = shared.join(active, "node", "left_semi").join(roots, "node", "left").select("k", "node", "h", "size", F.coalesce("root", "node").alias("c"))
+    rest = shared.join(roots, "node", "left").select("k", "node", "h", "size", F.coalesce("root", "node").alias("c"))
     rest = cut(rest)
     b = rest.select(F.col("k").alias("k2"), F.col("node").alias("n2"), F.col("h").alias("h2_"), F.col("size").alias("s2"), F.col("c").alias("c2"))
     cross = rest.join(b, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("n2")) & (F.col("c") != F.col("c2")) & _near("h", "h2_", "size", "s2", similarity) & (_first_table("h", "h2_") == F.shiftright("k", 24))).select(F.col("node").alias("a"), F.col("n2").alias("b"))
