@@ -11,8 +11,8 @@
    character (20 bits of its hash), so that the distance of strings is the distance in words.
 5. Of each connected group of classes the first occurrence stays, by doc_id, then line number.
 
-Lines with fewer than ``WORDS`` distinct words are matched exactly only.  Blank lines always stay.  Recall of step 3 against all pairs at the similarity is measured in
-the tests; pairs found are exact.
+Lines with fewer than ``WORDS`` distinct words are matched exactly only.  Blank lines always stay. 
+Pairs more than DISTANCE bits apart are not found; pairs found are exact.
 
 Null and empty texts have no lines.  Null doc_ids come first; rows with one doc_id and different texts are ordered by a hash of
 the text; identical rows count as one document and get the same result.  An empty table gives no rows.
