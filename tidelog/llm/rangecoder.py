@@ -18,7 +18,7 @@ import zlib
 import numpy as np
 
 U = np.uint64
-BLOCK = 8192
+BLOCK = 4096
 SLOTS = 11  # bits of a prediction table's index
 HI, REFRESH, TOTAL = 256, 128, 16
 #: Header of a coded frame: magic, bits of an id's lower part, blocks, ids; then for each block its ids, 16-bit words and CRC-32.
@@ -30,13 +30,14 @@ class _Model:
     """Tables for every lane, and the parts of a step that coding and decoding share."""
 
     def __init__(self, lanes: int):
-        self.t = np.zeros((2, lanes << SLOTS), np.uint32)  # id << 4 | confidence, for order 1 and 2
+        self.t1, self.t2 = np.zeros(lanes << SLOTS, np.uint32), np.zeros(lanes << SLOTS, np.uint32)  # id << 4 | confidence
         self.base = np.arange(lanes, dtype=np.int64) << SLOTS
-        self.mix = np.empty((lanes * 256, 2), np.int32)  # of 2**16: order 2 is right; else order 1 is right
-        self.mix[:] = (1 << 14, 1 << 13)
+        # Of 2**16: order 2 is right; else order 1 is right.
+        self.m2, self.m1 = np.full(lanes << 8, 1 << 14, np.int64), np.full(lanes << 8, 1 << 13, np.int64)
         self.row = np.arange(lanes, dtype=np.int64) << 8
         self.count = np.ones((lanes, HI), np.int32)
         self.cum = np.empty((lanes, HI + 1), np.int32)
+        self.flat = self.cum.reshape(-1)
         self.p1 = np.zeros(lanes, np.int64)
         self.p2 = np.zeros(lanes, np.int64)
 
@@ -50,26 +51,38 @@ class _Model:
         p1, p2 = self.p1[:a], self.p2[:a]
         self.i1 = self.base[:a] + ((p1 * 0x9E3B1 >> 5) & ((1 << SLOTS) - 1))
         self.i2 = self.base[:a] + (((p1 * 0x2F0B5 + p2 * 0x6A09F) >> 7) & ((1 << SLOTS) - 1))
-        self.e1, self.e2 = self.t[0][self.i1], self.t[1][self.i2]
+        self.e1, self.e2 = self.t1.take(self.i1), self.t2.take(self.i2)
         self.slot = self.row[:a] + ((self.e2 & 15) << 4 | self.e1 & 15)
-        m = self.mix[self.slot]
-        self.f2 = m[:, 0]
+        self.f2, self.g1 = self.m2.take(self.slot), self.m1.take(self.slot)
         rest = (1 << TOTAL) - self.f2
-        self.f1 = np.clip(rest.astype(np.int64) * m[:, 1] >> TOTAL, 1, rest - 1)
+        self.f1 = np.minimum(np.maximum(rest * self.g1 >> TOTAL, 1), rest - 1)
         return self.e1 >> 4, self.e2 >> 4
 
-    def update(self, a: int, x, hit1, hit2):
-        s = self.slot
-        m = self.mix[s]
-        m[:, 0] += ((hit2 * 65000 + 300) - m[:, 0]) >> 5
-        m[:, 1] += np.where(hit2, 0, ((hit1 * 65000 + 300) - m[:, 1]) >> 5)
-        self.mix[s] = m
-        x32 = x.astype(np.uint32) << 4
-        for k, i, e, same in ((0, self.i1, self.e1, (self.e1 >> 4) == x), (1, self.i2, self.e2, (self.e2 >> 4) == x)):
+    def update(self, a: int, x, hit1, hit2, same1):
+        """Learn id x; hit1: order 1 coded it; same1: order 1 predicted it; hit2: order 2 did both."""
+        self.m2[self.slot] = self.f2 + (np.where(hit2, 65300, 300) - self.f2 >> 5)
+        self.m1[self.slot] = np.where(hit2, self.g1, self.g1 + (np.where(hit1, 65300, 300) - self.g1 >> 5))
+        new = x.astype(np.uint32) << 4 | np.uint32(1)
+        for t, i, e, same in ((self.t1, self.i1, self.e1, same1), (self.t2, self.i2, self.e2, hit2)):
             c = e & 15
-            self.t[k][i] = np.where(same, (e & ~np.uint32(15)) | np.minimum(c + 1, 15), np.where(c > 1, e - (c + 1 >> 1), x32 | 1))
+            t[i] = np.where(same, e + (c < 15), np.where(c > 1, e - (c + 1 >> 1), new))
         self.p2[:a], self.p1[:a] = self.p1[:a], x
 
+    def frequencies(self, i, hi):
+        """Cumulated order-0 frequencies before and after the upper part hi in the lanes i."""
+        place = i * (HI + 1) + hi
+        return self.flat.take(place).astype(np.int64), self.flat.take(place + 1).astype(np.int64)
+
+    def upper(self, i, u):
+        """The upper part whose frequencies hold u in each of the lanes i, by binary search."""
+        begin = i * (HI + 1)
+        at = begin
+        step = HI >> 1
+        while step:
+            at = at + (self.flat.take(at + step) <= u) * step
+            step >>= 1
+        return at - begin
+
 
 def _plan(lens: np.ndarray):
     """Lanes by falling length, and how many are still running at each step."""
@@ -112,8 +125,8 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
             model.refresh(a)
         x = ids[t, :a].astype(np.int64)
         c1, c2 = model.predict(a)
-        hit2 = c2 == x
-        hit1 = (c1 == x) & ~hit2
+        hit2, same1 = c2 == x, c1 == x
+        hit1 = same1 & ~hit2
         f2, f1 = model.f2, model.f1
         miss = ~(hit1 | hit2)
         cum = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
@@ -128,14 +141,14 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
         if len(i):
             xi = x[i]
             hi, lo = xi >> low_bits, xi & ((1 << low_bits) - 1)
-            from_, to = model.cum[i, hi].astype(np.int64), model.cum[i, hi + 1].astype(np.int64)
+            from_, to = model.frequencies(i, hi)
             r = size[i] >> lit_shift
             low[i] += r * ((from_ << low_bits) + lo * (to - from_)).astype(U)
             size[i] = r * (to - from_).astype(U)
             model.count[i, hi] += 24
             while len(i := i[size[i] < floor]):
                 shift(i)
-        model.update(a, x, hit1, hit2)
+        model.update(a, x, hit1, hit2, same1)
     for _ in range(3):
         shift(np.arange(lanes))
     words, coded = out.astype("<u2", copy=False), [b""] * lanes
@@ -164,7 +177,6 @@ def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int) -> list[n
         at[i] += 1
         size[i] <<= U(16)
 
-    steps16 = np.arange(0, HI, 16)
     for t, a in enumerate(running):
         if t % REFRESH == 0:
             model.refresh(a)
@@ -188,9 +200,8 @@ def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int) -> list[n
             r = size[i] >> lit_shift
             v = np.minimum((code[i] // r).astype(np.int64), (1 << (TOTAL + low_bits)) - 1)
             u = v >> low_bits
-            part = (model.cum[i[:, None], steps16] <= u[:, None]).sum(1) - 1 << 4
-            hi = part + (model.cum[i[:, None], part[:, None] + np.arange(16)] <= u[:, None]).sum(1) - 1
-            from_, to = model.cum[i, hi].astype(np.int64), model.cum[i, hi + 1].astype(np.int64)
+            hi = model.upper(i, u)
+            from_, to = model.frequencies(i, hi)
             lo = (v - (from_ << low_bits)) // (to - from_)
             code[i] -= r * ((from_ << low_bits) + lo * (to - from_)).astype(U)
             size[i] = r * (to - from_).astype(U)
@@ -199,7 +210,7 @@ def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int) -> list[n
             while len(i := i[size[i] < floor]):
                 shift(i)
         ids[t, :a] = x
-        model.update(a, x, hit1, hit2)
+        model.update(a, x, hit1, hit2, c1 == x)
     got: list = [None] * lanes
     for lane, b in enumerate(order):
         got[b] = ids[: lens[b], lane].astype(np.uint32)

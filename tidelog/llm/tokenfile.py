@@ -25,7 +25,7 @@ from tidelog.llm.common import scratch
 
 #: Ids of a frame, about; and of the frames coded in lockstep.
 FRAME, TOGETHER = 1 << 20, 1 << 22
-#: Words whose ids a Python worker keeps.
+#: Words of a generation; a Python worker keeps the ids of two.
 CACHE = 200_000
 
 
@@ -52,7 +52,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.cache = Tokenizer.from_file(self.path), {}
+        self.tok, self.cache, self.old = Tokenizer.from_file(self.path), {}, {}
         probe = "Ab c\ndé, f's 'll x"
         whole = self.tok.encode(probe, add_special_tokens=False).ids
         self.pieces = whole == np.frombuffer(b"".join(self._encode(probe.split())), np.uint32).tolist()
@@ -63,20 +63,21 @@ class Encoder:
         if not self.pieces:
             return [np.array([*e.ids, self.end_id], np.uint32) for e in self.tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        known = self.cache
+        if len(self.cache) > CACHE:  # words of the generation before move over when they occur again
+            self.cache, self.old = {}, self.cache
+        known, old = self.cache, self.old
         new = [w for w in set().union(*split) if w not in known] if split else []
+        known.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in known]
         fresh = {}
         for w in new:  # letters and one mark are two pieces for any such tokenizer, so fewer words go through the library
             if w[-1:] in (".", ",") and w[:-1].isascii() and w[:-1].isalpha():
                 fresh[w] = w[:-1]
         ask = list({w for w in new if w not in fresh} | {w for w in (*fresh.values(), ".", ",") if w not in known})
-        got = dict(zip(ask, self._encode(ask), strict=True))
-        got = _Chain(got, known)
+        known.update(zip(ask, self._encode(ask), strict=True))
         for w, head in fresh.items():
-            got[w] = got[head] + got[w[-1]]
-        if len(known) < CACHE:  # frequent words come early
-            known.update(got)
-        find = known.__getitem__ if len(known) < CACHE else got.__getitem__
+            known[w] = known[head] + known[w[-1]]
+        find = known.__getitem__
         end = np.array([self.end_id], np.uint32).tobytes()
         return [np.frombuffer(b"".join(map(find, words)) + end, np.uint32) for words in split]
 
@@ -94,17 +95,6 @@ class Encoder:
         return out
 
 
-class _Chain(dict):
-    """A dict that asks another one for what it lacks."""
-
-    def __init__(self, first: dict, then: dict):
-        super().__init__(first)
-        self.then = then
-
-    def __missing__(self, key):
-        return self.then[key]
-
-
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int | None = None) -> None:
     """Write ``docs`` as token ids to ``path``."""
     encoder = Encoder(tokenizer, end_id)
