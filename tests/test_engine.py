@@ -5,8 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tidelog.operators import claim, reconcile, routing
-from tidelog.sources import staging, store
-from tidelog.streaming import apply
+from tidelog.sources import lease, staging, store
+from tidelog.streaming import apply, metrics
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -130,3 +130,34 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert reconcile.APPLIED[0] in entry.entry(spark).columns
+
+
+def test_lease_fences_the_writer_that_lost_it(spark, tmp_path):
+    a, b = (store.TableStore(spark, f"file://{tmp_path}/t") for _ in range(2))
+    first = lease.acquire(a, "a", 10, now=0)
+    assert first.token == 1 and lease.acquire(b, "b", 10, now=5) is None
+    assert lease.acquire(a, "a", 10, now=5).token == 1
+    a.publish(a.state())
+    taken = lease.acquire(b, "b", 10, now=15)
+    assert taken.token == 2 and lease.acquire(a, "a", 10, now=16) is None
+    b.publish(b.state())
+    with pytest.raises(store.Conflict, match="later lease"):
+        a.publish(a.state())
+    assert not lease.release(a, first, now=17) and lease.release(b, taken, now=17)
+    assert lease.acquire(a, "a", 10, now=18).token == 3
+    assert a.publish(a.state())["step"] == 3
+
+
+def test_metrics(spark, tmp_path):
+    m = metrics.Metrics()
+    df, seen = metrics.observed(rows(spark, (1, "i", 1, "a"), (1, "u", 2, "b"), (2, "i", 3, "c")))
+    df.write.format("noop").mode("overwrite").save()
+    metrics.record(m, 'x"y', seen)
+    metrics.lags(m, spark.createDataFrame([("t", 7)], "table string, lag long"))
+    m.write(f"{tmp_path}/m")
+    text = open(f"{tmp_path}/m").read().splitlines()
+    assert "# TYPE changes_total counter" in text and 'changes_total{op="insert",table="x\\"y"} 2' in text and 'table_lag_bytes{table="t"} 7' in text
+    with pytest.raises(ValueError):
+        m.gauge("changes_total", 1)
+    with pytest.raises(ValueError):
+        m.count("changes_total", -1)

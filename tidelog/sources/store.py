@@ -19,14 +19,14 @@ class Conflict(RuntimeError):
 
 
 class TableStore:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, token: int = 0):
+        self.spark, self.path, self.token = spark, path.rstrip("/"), token
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _numbers(self) -> list[int]:
-        p = self._path(f"{self.path}/pointer")
+    def _numbers(self, folder: str = "pointer") -> list[int]:
+        p = self._path(f"{self.path}/{folder}")
         if not self._fs.exists(p):
             return []
         return sorted(int(s.getPath().getName().split(".")[0]) for s in self._fs.listStatus(p) if s.getPath().getName().endswith(".json"))
@@ -36,27 +36,37 @@ class TableStore:
         numbers = self._numbers()
         if not numbers:
             return {"step": 0, "epoch": 1, "schema_version": 1, "snapshot": None, "batches": [], "ledger": {}, "raw_appended": lsn.ZERO, "transformed": lsn.ZERO}
-        stream = self._fs.open(self._path(f"{self.path}/pointer/{numbers[-1]:012d}.json"))
+        return self.load(f"pointer/{numbers[-1]:012d}.json")
+
+    def load(self, name: str) -> dict:
+        stream = self._fs.open(self._path(f"{self.path}/{name}"))
         try:
-            text = bytes(stream.readAllBytes()).decode()
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        return json.loads(text)
 
     def publish(self, state: dict) -> dict:
         """Make ``state`` the next step; fails if another writer was faster."""
         if state["transformed"] > state["raw_appended"]:
             raise ValueError("transformed position beyond what was appended")
-        state = state | {"step": state["step"] + 1}
-        target = self._path(f"{self.path}/pointer/{state['step']:012d}.json")
-        draft = self._path(f"{self.path}/pointer/.draft-{state['step']}-{self.spark.sparkContext.applicationId}")
+        if state.get("token", 0) > self.token:
+            raise Conflict("a writer with a later lease has published")
+        state = state | {"step": state["step"] + 1, "token": self.token}
+        if not self.create(f"pointer/{state['step']:012d}.json", state):
+            raise Conflict(f"step {state['step']} is already published")
+        return state
+
+    def create(self, name: str, value: dict) -> bool:
+        """Write a small document if its name is free."""
+        target = self._path(f"{self.path}/{name}")
+        draft = self._path(f"{target.getParent().toString()}/.draft-{target.getName()}-{self.spark.sparkContext.applicationId}")
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(state).encode()))
+        out.write(bytearray(json.dumps(value).encode()))
         out.close()
         if self._fs.exists(target) or not self._fs.rename(draft, target):
             self._fs.delete(draft, False)
-            raise Conflict(f"step {state['step']} is already published")
-        return state
+            return False
+        return True
 
     def append(self, files: dict[str, DataFrame], position: str) -> dict:
         """Append the rows of new files (uri to rows) to the log, as one step.  Files in the ledger are skipped."""
