@@ -33,11 +33,13 @@ BLOCKS = ((0, 12), (12, 12), (24, 12), (36, 12), (48, 12))
 TABLES = tuple(combinations(range(len(BLOCKS)), 2))
 
 
-def normalised(line: Column) -> Column:
-    low = F.lower(line)
+def normalised(rows: DataFrame, line: str = "line", name: str = "norm") -> DataFrame:
+    """``rows`` with the normalised ``line`` in its place, in steps that are columns, so that none is evaluated twice."""
+    low = F.col("low_")
     other = low.contains("\t") | low.contains("\r") | low.contains("\x0b") | low.contains("\f")
-    spaced = F.when(other, F.translate(low, "\t\x0b\f\r", "    ")).otherwise(low)
-    return F.trim(F.when(spaced.contains("  "), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
+    rows = rows.withColumn("low_", F.lower(line)).drop(line)
+    rows = rows.withColumn("spaced_", F.when(other, F.translate(low, "\t\x0b\f\r", "    ")).otherwise(low)).drop("low_")
+    return rows.withColumn(name, F.trim(F.when(F.col("spaced_").contains("  "), F.regexp_replace("spaced_", " {2,}", " ")).otherwise(F.col("spaced_")))).drop("spaced_")
 
 
 def _long(x: int) -> Column:
@@ -76,7 +78,9 @@ def simhashes(rows: DataFrame, ids: list[str]) -> DataFrame:
     row of counters for each line.  All four counters of a sum are compared with half the words by one addition.  Lines of
     fewer than WORDS words get a null.
     """
-    each = rows.select(*ids, F.size("words").alias("n"), F.when(F.size("words") > FEW, _long_line(F.col("words"))).alias("hl"), F.explode_outer(F.when(F.size("words") >= WORDS, F.col("words"))).alias("w"))
+    # A select of its own before the explode, which would otherwise copy the array beside each of its words.
+    each = rows.select(*ids, F.size("words").alias("n"), F.when(F.size("words") > FEW, _long_line(F.col("words"))).alias("hl"), F.when(F.size("words") >= WORDS, F.col("words")).alias("words"))
+    each = each.select(*ids, "n", "hl", F.explode_outer("words").alias("w"))
     counted = each.groupBy(*ids, "n", "hl").agg(*(F.sum(F.shiftrightunsigned("w", k).bitwiseAND(_long(FIELDS))).alias(f"k{k}") for k in range(15)))
     counted = counted.withColumn("c", (F.lit(1 << 14) - F.floor(F.least("n", F.lit(FEW)) / 2) - 1).cast("bigint") * _long(FIELDS))
     out = _long(0)
@@ -96,14 +100,16 @@ def _mask(pair: tuple[int, int]) -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key_, no, norm, h1, h2) of every line that is not blank."""
-    each = docs.where("text is not null").select("doc_id", row_key().alias("key_"), F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    norm = each.select("doc_id", "key_", "no", normalised(F.col("line")).alias("norm")).where("norm <> ''")
+    # The outer form, as the other one adds a filter that splits the text again; a text has one line at least.
+    split = docs.where("text is not null").select("doc_id", row_key().alias("key_"), F.split("text", "\n", -1).alias("all_"))
+    each = split.select("doc_id", "key_", F.posexplode_outer("all_").alias("no", "line")).where(F.trim("line", F.lit(" \t\x0b\f\r")) != "")
+    norm = normalised(each)
     return norm.select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
 
 
 def index(docs: DataFrame) -> DataFrame:
     """A slim row for each line, written once: (doc_id, key_, no, h1, h2, size, h); h is null where only exact matches count."""
-    words = F.transform(F.array_distinct(F.split("norm", " ")), lambda w: F.xxhash64(w))
+    words = F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
     slim = lines(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "key_", "no", "h1", "h2", F.length("norm").alias("size"), words.alias("words"))
     ids = ["row", "doc_id", "key_", "no", "h1", "h2", "size"]
     return cut(simhashes(slim, ids).drop("row"))
@@ -151,8 +157,9 @@ def codes(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     firsts = cut(found.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"), F.col("first.no").alias("no_")))
     by_doc = firsts.groupBy("id_", "k_").agg(F.collect_list(F.struct("no_", "node")).alias("want"))
     near = marked(docs.where("text is not null").select("doc_id", row_key().alias("key_"), "text"), firsts.select(F.col("id_").alias("doc_id"))).where("marked")
-    held = near.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_"))).select(F.split("text", "\n", -1).alias("all_"), F.explode("want").alias("x"))
-    return cut(held.select(F.col("x.node").alias("node"), coded(normalised(F.get("all_", F.col("x.no_")))).alias("code")).dropDuplicates(["node"]))
+    held = near.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_"))).select("want", F.split("text", "\n", -1).alias("all_"))
+    held = held.select(F.transform("want", lambda x: F.struct(x["node"].alias("node"), F.get("all_", x["no_"]).alias("line"))).alias("want"))
+    return cut(normalised(held.select(F.inline("want"))).select("node", coded(F.col("norm")).alias("code")).dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -187,12 +194,13 @@ def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, kept (the text without the removed lines) and kept_sha256 of each document."""
     all_lines = index(docs)
     first = groups(docs, all_lines, similarity)
-    placed = all_lines.select("doc_id", "key_", "no", "h1", "h2").distinct().join(first, ["h1", "h2"])
+    placed = all_lines.select("doc_id", "key_", "no", "h1", "h2").join(first, ["h1", "h2"])
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key_") == F.col("first.key_")) & (F.col("no") == F.col("first.no"))
-    by_doc = placed.groupBy("doc_id", "key_").agg(F.count("*").alias("n_lines"), F.collect_set(F.when(~stays, F.col("no"))).alias("gone")).withColumnsRenamed({"doc_id": "id_", "key_": "k_"})
+    by_doc = placed.groupBy("doc_id", "key_").agg(F.size(F.collect_set("no")).alias("n_lines"), F.collect_set(F.when(~stays, F.col("no"))).alias("gone")).withColumnsRenamed({"doc_id": "id_", "key_": "k_"})
     base = docs.select("doc_id", row_key().alias("key_"), "text")
     joined = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    all_ = F.split("text", "\n", -1)
-    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("gone")), lambda i: F.get(all_, i)), "\n"))
+    # The lines are a column, so that they are not split again for each line that stays.
+    joined = joined.withColumn("all_", F.when(F.size("gone") > 0, F.split("text", "\n", -1)))
+    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("all_") - 1), F.col("gone")), lambda i: F.get("all_", i)), "\n"))
     out = joined.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), kept.alias("kept"))
     return out.select("*", F.sha2("kept", 256).alias("kept_sha256"))
