@@ -63,7 +63,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     known = small(each.select("shingle").distinct())
     found = None
     for k in sizes:
-        part = docs.select("doc_id", "key_", F.size("w").alias("len"), F.posexplode(_shingles(F.col("w"), k)).alias("place", "shingle")).join(known, "shingle", "inner")
+        # The shingles are a column before they are exploded, as all words would be copied beside each shingle otherwise.
+        part = docs.select("doc_id", "key_", F.size("w").alias("len"), _shingles(F.col("w"), k).alias("all_"))
+        part = part.select("doc_id", "key_", "len", F.posexplode_outer("all_").alias("place", "shingle")).join(known, "shingle", "inner")
         found = part if found is None else found.union(part)
     found = cut(found)
     rarity = found.groupBy("shingle").agg(F.count("*").alias("matches"))
