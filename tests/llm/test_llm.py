@@ -205,6 +205,45 @@ def test_lines_against_brute_force(spark):
     assert near > 0 and {i: r.n_removed for i, r in got.items() if r.n_removed} == gone
 
 
+def varied(n=40, seed=12):
+    """(kind, line, variant): lines of 5 to 100 words with words changed, or letters misspelt, and unrelated ones between them."""
+    rng = random.Random(seed)
+    syllables = [a + b for a in "b d f g k l m n p r s t v z".split() for b in "a e i o u an er is".split()]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.choice([1, 2, 3, 3])))
+    pool, out = [word() for _ in range(4000)], []
+    for size, changed in ((10, 1), (10, 2), (20, 1), (20, 4), (60, 1), (60, 12), (100, 5), (100, 20)):
+        for _ in range(n):
+            a = [rng.choice(pool) for _ in range(size)]
+            b = list(a)
+            for k in rng.sample(range(size), changed):
+                b[k] = word()
+            out.append((f"{changed} of {size}", " ".join(a), " ".join(b)))
+    return out
+
+
+def distance(a, b):
+    row = np.arange(len(b) + 1)
+    other, at = np.array([*map(ord, b)]), np.arange(len(b) + 1)
+    for i, p in enumerate(a):
+        step = np.empty_like(row)
+        step[0], step[1:] = i + 1, np.minimum(row[1:] + 1, row[:-1] + (other != ord(p)))
+        row = np.minimum.accumulate(step - at) + at
+    return int(row[-1])
+
+
+def test_lines_recall_without_a_bound_on_bits(spark):
+    made = varied()
+    d = docs(spark, [t for _, a, b in made for t in (a, b)])
+    gone = {r.doc_id for r in lines.dedup(d).where("n_removed > 0").collect()}
+    tally = {}
+    for i, (kind, a, b) in enumerate(made):
+        if 1 - distance(a, b) / max(len(a), len(b)) >= 0.8:
+            tally.setdefault(kind, []).append(2 * i + 1 in gone)
+    print({k: (sum(v), len(v)) for k, v in tally.items()})
+    assert len(tally) == 8 and all(np.mean(v) >= 0.9 for v in tally.values())
+    assert np.mean(sum(tally.values(), [])) >= 0.97 and all(x % 2 for x in gone)
+
+
 def test_fingerprint(spark):
     texts = corpus(80, seed=6)
     got = sorted(fingerprint.compare(docs(spark, texts)).collect())

@@ -3,16 +3,18 @@
 1. A line is normalised: lower case, white space collapsed and trimmed.  Equal normalised lines are one class.
 2. A line has a 60-bit SimHash of its distinct words.  The counters of all bits are summed in packed form, four
    counters to a long.
-3. Classes at most ``DISTANCE`` bits apart agree on two of five blocks of bits whatever bits differ
-   (pigeonhole), so a join on each pair of blocks finds every such pair.  Each class is first held against the least of its
-   bucket; after that only pairs that are not connected yet are made, once, in the first table they share.  So a hot
-   group of n variants gives rows in proportion to n, and connectivity is that of all pairs.
+3. A line also has 32 MinHashes of its distinct words; words of up to ``SHORT`` letters count for an eighth, as they
+   are common to lines that have nothing else in common.  Lines that agree on the three MinHashes of one of 16 tables, and whose SimHashes are at
+   most ``DISTANCE`` bits apart, are candidates.  SimHashes alone cannot find them: lines at the similarity are 12 to 14 of 60 bits
+   apart on average, too many for blocks of equal bits.  Each class is first held against the least of its
+   bucket; after that only pairs that are not connected yet are made.  So a hot
+   group of n variants gives rows in proportion to n, and connectivity is that of all candidates.
 4. Pairs are verified by edit similarity over words: 1 - distance / words of the longer line.  Each word becomes one
    character (20 bits of its hash), so that the distance of strings is the distance in words.
 5. Of each connected group of classes the first occurrence stays, by doc_id, then line number.
 
 Lines with fewer than ``WORDS`` distinct words are matched exactly only.  Blank lines always stay. 
-Pairs more than DISTANCE bits apart are not found; pairs found are exact.
+Candidates are found with a probability that falls with the share of words that differ (README gives it); pairs found are exact.
 
 Null and empty texts have no lines.  Null doc_ids come first; rows with one doc_id and different texts are ordered by a hash of
 the text; identical rows count as one document and get the same result.  An empty table gives no rows.
@@ -20,17 +22,20 @@ the text; identical rows count as one document and get the same result.  An empt
 
 from __future__ import annotations
 
-from itertools import combinations
+import random
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import components, cut, marked, row_key
 
-DISTANCE, WORDS, SIMILARITY = 3, 4, 0.8
-#: Bit blocks of a SimHash: five, of which any three may differ.
-BLOCKS = ((0, 12), (12, 12), (24, 12), (36, 12), (48, 12))
-TABLES = tuple(combinations(range(len(BLOCKS)), 2))
+DISTANCE, WORDS, SIMILARITY = 22, 4, 0.8
+#: Words of so many letters at most count for an eighth in MinHashes; they bear this bit, above the 60 of SimHashes.
+SHORT, MARK = 4, 1 << 60
+_rng = random.Random(5)
+SEEDS = tuple(_rng.getrandbits(62) for _ in range(32))
+#: The MinHashes of each table: 16 of three, all 32 used once before any is used twice.
+TABLES = tuple(zip(*[iter([*_rng.sample(range(32), 32), *_rng.sample(range(32), 16)])] * 3, strict=True))
 
 
 def normalised(rows: DataFrame, line: str = "line", name: str = "norm") -> DataFrame:
@@ -89,13 +94,20 @@ def simhashes(rows: DataFrame, ids: list[str]) -> DataFrame:
     return counted.select(*ids, F.coalesce("hl", out).alias("h"))
 
 
-def _key(h: Column, pair: tuple[int, int]) -> Column:
-    parts = [F.shiftrightunsigned(h, BLOCKS[b][0]).bitwiseAND(_long((1 << BLOCKS[b][1]) - 1)) for b in pair]
-    return F.call_function("shiftleft", parts[0], F.lit(12)).bitwiseOR(parts[1])
+def table_keys(words: Column) -> Column:
+    """The keys of a line in all tables, from its distinct words' hashes; MARK tells short words."""
+    kinds = F.struct(F.filter(words, lambda w: w < MARK).alias("long"), F.filter(words, lambda w: w >= MARK).alias("short"))
 
+    def least(ws: Column, seed: Column) -> Column:
+        return F.array_min(F.transform(ws, lambda w: F.xxhash64(w.bitwiseXOR(seed))))
 
-def _mask(pair: tuple[int, int]) -> Column:
-    return _long(sum(((1 << n) - 1) << at for at, n in (BLOCKS[b] for b in pair)))
+    def mins(kind: Column) -> Column:
+        # Hashes of short words are drawn into the uppermost eighth, so a long word mostly comes first.
+        return F.transform(F.array(*map(_long, SEEDS)), lambda c: F.least(least(kind["long"], c), F.shiftright(least(kind["short"], c), 3) + _long(7 << 60)))
+
+    keys = lambda m: F.array(*(F.hash(F.lit(t), *(m[i] for i in table)) for t, table in enumerate(TABLES)))
+    # A transform of one element evaluates what it is given once.
+    return F.transform(F.transform(F.array(kinds), mins), keys)[0]
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -108,17 +120,19 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """A slim row for each line, written once: (doc_id, key_, no, h1, h2, size, h); h is null where only exact matches count."""
-    words = F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)))
+    """A slim row for each line, written once: (doc_id, key_, no, h1, h2, size, keys, h); keys and h are null where only exact matches count."""
+    word = lambda w: F.xxhash64(w).bitwiseAND(_long(MARK - 1)).bitwiseOR(F.when(F.length(w) <= SHORT, _long(MARK)).otherwise(_long(0)))
+    words = F.array_distinct(F.transform(F.split("norm", " "), word))
     slim = lines(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "key_", "no", "h1", "h2", F.length("norm").alias("size"), words.alias("words"))
-    ids = ["row", "doc_id", "key_", "no", "h1", "h2", "size"]
+    slim = slim.withColumn("keys", F.when(F.size("words") >= WORDS, table_keys(F.col("words"))))
+    ids = ["row", "doc_id", "key_", "no", "h1", "h2", "size", "keys"]
     return cut(simhashes(slim, ids).drop("row"))
 
 
 def classes(all_lines: DataFrame) -> DataFrame:
-    """(node, h1, h2, first, size, h) of each class of equal lines."""
+    """(node, h1, h2, first, size, keys, h) of each class of equal lines."""
     first = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "key_", "no")
-    return all_lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("h").alias("h")).withColumn("node", F.xxhash64("h1", "h2"))
+    return all_lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("h").alias("h")).withColumn("node", F.xxhash64("h1", "h2"))
 
 
 def buckets(found: DataFrame, similarity: float) -> DataFrame:
@@ -126,8 +140,7 @@ def buckets(found: DataFrame, similarity: float) -> DataFrame:
 
     A semi-join looks for one near class in the bucket: no row is made for classes that meet by chance only.
     """
-    keys = F.explode(F.array(*(F.call_function("shiftleft", F.lit(t).cast("bigint"), F.lit(24)).bitwiseOR(_key(F.col("h"), p)) for t, p in enumerate(TABLES)))).alias("k")
-    placed = found.where("h is not null").select("node", "h", "size", keys)
+    placed = found.where("h is not null").select("node", "h", "size", F.explode("keys").alias("k"))
     other = placed.select(F.col("node").alias("n2"), F.col("h").alias("h2_"), F.col("size").alias("s2"), F.col("k").alias("k2"))
     near = cut(placed.join(other, (F.col("k") == F.col("k2")) & (F.col("node") != F.col("n2")) & _near("h", "h2_", "size", "s2", similarity), "left_semi"))
     leaders = near.groupBy("k").agg(F.min("node").alias("leader"))
@@ -141,12 +154,6 @@ def _near(ha: str, hb: str, sa: str, sb: str, similarity: float) -> Column:
     return (F.bit_count(x) <= DISTANCE) & (F.least(sa, sb) >= similarity / 2 * F.greatest(sa, sb))
 
 
-def _first_table(ha: str, hb: str) -> Column:
-    """The first table in which two SimHashes share a key."""
-    x = F.col(ha).bitwiseXOR(F.col(hb))
-    return F.coalesce(*(F.when(x.bitwiseAND(_mask(p)) == 0, F.lit(t)) for t, p in enumerate(TABLES)))
-
-
 def coded(norm: Column) -> Column:
     """A string with one character for each word: a 20-bit hash beyond the basic plane, so edits of words are edits of characters."""
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1 << 20)) + 0x10000), 8, "0")), "")), "UTF-32")
@@ -183,7 +190,7 @@ def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY
     rest = shared.join(roots, "node", "left").select("k", "node", "h", "size", F.coalesce("root", "node").alias("c"))
     rest = cut(rest)
     b = rest.select(F.col("k").alias("k2"), F.col("node").alias("n2"), F.col("h").alias("h2_"), F.col("size").alias("s2"), F.col("c").alias("c2"))
-    cross = rest.join(b, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("n2")) & (F.col("c") != F.col("c2")) & _near("h", "h2_", "size", "s2", similarity) & (_first_table("h", "h2_") == F.shiftright("k", 24))).select(F.col("node").alias("a"), F.col("n2").alias("b"))
+    cross = rest.join(b, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("n2")) & (F.col("c") != F.col("c2")) & _near("h", "h2_", "size", "s2", similarity)).select(F.col("node").alias("a"), F.col("n2").alias("b")).distinct()
     roots = components(first.union(verified(cross, texts, similarity)))
     named = found.select("node", "h1", "h2", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = named.groupBy("root").agg(F.min("first").alias("first"))
