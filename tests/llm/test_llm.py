@@ -244,6 +244,21 @@ def test_lines_recall_without_a_bound_on_bits(spark):
     assert np.mean(sum(tally.values(), [])) >= 0.97 and all(x % 2 for x in gone)
 
 
+def test_lines_similarity_is_of_characters(spark):
+    url = "https://example.org/" + "/".join(f"p{i}{i * i}" for i in range(40))
+    words = [f"word{i}" for i in range(30)]
+    texts = ["alphabetical misunderstanding notwithstanding circumstances", "alphabetical misunderstandimg notwithstanding circumstances"]
+    texts += [" ".join([*words, url]), " ".join([*words, url[::-1]])]
+    texts += [" ".join(f"lengthy{i}" for i in range(40, 80)), " ".join(f"lengthy{i}" if i % 4 else f"lenghty{i}" for i in range(40, 80))]
+    for a, b, same in ((0, 1, True), (2, 3, False), (4, 5, True)):
+        assert (1 - distance(texts[a], texts[b]) / max(len(texts[a]), len(texts[b])) >= 0.8) == same
+    pairs = spark.createDataFrame([(0, 1), (2, 3), (4, 5)], "a long, b long")
+    held = spark.createDataFrame(list(enumerate(texts)), "node long, norm string")
+    assert sorted(tuple(r) for r in lines.verified(pairs, held, 0.8).collect()) == [(0, 1), (4, 5)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup(docs(spark, texts)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
+
+
 def test_fingerprint(spark):
     texts = corpus(80, seed=6)
     got = sorted(fingerprint.compare(docs(spark, texts)).collect())

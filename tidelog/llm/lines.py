@@ -9,8 +9,8 @@
    apart on average, too many for blocks of equal bits.  Each class is first held against the least of its
    bucket; after that only pairs that are not connected yet are made.  So a hot
    group of n variants gives rows in proportion to n, and connectivity is that of all candidates.
-4. Pairs are verified by edit similarity over words: 1 - distance / words of the longer line.  Each word becomes one
-   character (20 bits of its hash), so that the distance of strings is the distance in words.
+4. Pairs are verified by edit similarity of the normalised lines: 1 - distance / longer length, in characters.  Where the
+   lines have as many words, the sum of distances word by word comes first: it is never below the distance.
 5. Of each connected group of classes the first occurrence stays, by doc_id, then line number.
 
 Lines with fewer than ``WORDS`` distinct words are matched exactly only.  Blank lines always stay. 
@@ -149,31 +149,30 @@ def buckets(found: DataFrame, similarity: float) -> DataFrame:
 
 
 def _near(ha: str, hb: str, sa: str, sb: str, similarity: float) -> Column:
-    """Within DISTANCE bits; lengths in characters allow the similarity in words only roughly, so they bound it loosely."""
+    """Within DISTANCE bits, and of lengths that allow the similarity."""
     x = F.col(ha).bitwiseXOR(F.col(hb))
-    return (F.bit_count(x) <= DISTANCE) & (F.least(sa, sb) >= similarity / 2 * F.greatest(sa, sb))
+    return (F.bit_count(x) <= DISTANCE) & (F.least(sa, sb) >= similarity * F.greatest(sa, sb) - 1e-9)
 
 
-def coded(norm: Column) -> Column:
-    """A string with one character for each word: a 20-bit hash beyond the basic plane, so edits of words are edits of characters."""
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(1 << 20)) + 0x10000), 8, "0")), "")), "UTF-32")
-
-
-def codes(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, code) of classes, from the text of each class's first line."""
+def texts_of(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, norm) of classes, from the text of each class's first line."""
     firsts = cut(found.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("id_"), F.col("first.key_").alias("k_"), F.col("first.no").alias("no_")))
     by_doc = firsts.groupBy("id_", "k_").agg(F.collect_list(F.struct("no_", "node")).alias("want"))
     near = marked(docs.where("text is not null").select("doc_id", row_key().alias("key_"), "text"), firsts.select(F.col("id_").alias("doc_id"))).where("marked")
     held = near.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_"))).select("want", F.split("text", "\n", -1).alias("all_"))
     held = held.select(F.transform("want", lambda x: F.struct(x["node"].alias("node"), F.get("all_", x["no_"]).alias("line"))).alias("want"))
-    return cut(normalised(held.select(F.inline("want"))).select("node", coded(F.col("norm")).alias("code")).dropDuplicates(["node"]))
+    return cut(normalised(held.select(F.inline("want"))).select("node", "norm").dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose edit similarity over words reaches the threshold."""
-    ta, tb = texts.select(F.col("node").alias("a"), F.col("code").alias("ca")), texts.select(F.col("node").alias("b"), F.col("code").alias("cb"))
-    limit = F.floor((1 - similarity) * F.greatest(F.length("ca"), F.length("cb")) + 1e-9).cast("int")
-    return pairs.join(ta, "a").join(tb, "b").where(F.call_function("levenshtein", "ca", "cb", limit).between(F.lit(0), limit)).select("a", "b")
+    """The pairs (a, b) whose edit similarity over characters reaches the threshold."""
+    ta, tb = texts.select(F.col("node").alias("a"), F.col("norm").alias("na")), texts.select(F.col("node").alias("b"), F.col("norm").alias("nb"))
+    limit = F.floor((1 - similarity) * F.greatest(F.length("na"), F.length("nb")) + 1e-9).cast("int")
+    # Null, so not at once, where one line has more words.
+    each = F.zip_with(F.split("na", " "), F.split("nb", " "), lambda x, y: F.when(x == y, 0).otherwise(F.levenshtein(x, y)))
+    at_once = F.coalesce(F.aggregate(each, F.lit(0), lambda acc, x: acc + x) <= F.col("limit"), F.lit(False))
+    exact = F.call_function("levenshtein", "na", "nb", F.col("limit")).between(F.lit(0), F.col("limit"))
+    return pairs.join(ta, "a").join(tb, "b").withColumn("limit", limit).where(F.when(at_once, True).otherwise(exact)).select("a", "b")
 
 
 def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -181,7 +180,7 @@ def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY
     found = cut(classes(all_lines))
     shared = buckets(found, similarity)
     active = shared.select("node").distinct()
-    texts = codes(docs, found, active)
+    texts = texts_of(docs, found, active)
     # First every class against the leader of its bucket: as many pairs as classes.
     stars = shared.where((F.col("node") != F.col("leader")) & _near("h", "hl", "size", "sl", similarity)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     first = cut(verified(stars, texts, similarity))
