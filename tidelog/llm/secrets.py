@@ -30,9 +30,9 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex")
 
 # Parts that count only beside a complementary part.
-LOGIN = r"""(?:(?i:access_?key_?id|client_?id|account|username|user|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}"""
+LOGIN = r"""(?:(?i:access_?key_?id|client_?id|account(?:_?name)?|username|user|login))["']?\x20*[:=]\x20*["']?[A-Za-z0-9@+/_.-]{3,}"""
 ENDPOINT = r"""(?:https?|s3|ftp|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"""
-KEY = r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,64}(?![A-Za-z0-9+/=])"
+KEY = r"(?<![A-Za-z0-9+/])(?=[A-Za-z+/]*[0-9])(?=[A-Z0-9+/]*[a-z])(?=[a-z0-9+/]*[A-Z])[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=])"
 WEAK = {"login": LOGIN, "endpoint": ENDPOINT, "key": KEY}
 #: Code points between complementary parts at most.
 SCOPE = 300
