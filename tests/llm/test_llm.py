@@ -157,6 +157,22 @@ def test_decontaminate_with_short_items(spark):
         assert (got[i].n_words, got[i].n_hit, got[i].n_items, got[i].items_sha256) == want
 
 
+def test_no_window_passes_the_filter(spark):
+    """Brute force over the whole text: a kept document holds no full window, a clean one stays."""
+    cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    words = lambda t: cut.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
+    for folder in ("sf0.001", "sf0.01"):
+        d, b = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "benchmark"))
+        wins = {tuple(w[j : j + 13]) for r in b.collect() for w in [words(r.text)] for j in range(len(w) - 12)}
+        holds = {r.doc_id for r in d.collect() for w in [words(r.text)] if any(tuple(w[j : j + 13]) in wins for j in range(len(w) - 12))}
+        kept = sorted(r.doc_id for r in decontaminate.clean(d, b).collect())
+        assert kept == sorted(r.doc_id for r in d.select("doc_id").collect() if r.doc_id not in holds)
+    long = " ".join(f"w{i}" for i in range(5000))
+    texts = [long, long + " " + " ".join(f"q{i}" for i in range(13)), "yes " + long, "yes no", "w1 w2"]
+    bench = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(20))), (2, "Yes")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.clean(docs(spark, texts), bench).collect()) == [0, 2, 4]
+
+
 def test_lines_against_brute_force(spark):
     texts = corpus(90, seed=4)
     got = {r.doc_id: r for r in lines.dedup(docs(spark, texts)).collect()}
@@ -397,7 +413,7 @@ def test_pipeline_against_its_operators(spark, tmp_path):
     bad = {r.doc_id for r in toxicity.score(all_docs, labels).where("predicted = 1").collect()}
     clean = all_docs.where(~F.col("doc_id").isin(list(bad))) if bad else all_docs
     kept = clean.join(jaccard.join(clean).where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
-    leaks = {r.doc_id for r in decontaminate.report(kept, spark.read.parquet(f"{d}/benchmark.parquet")).where("contaminated").collect()}
+    leaks = {r.doc_id for r in decontaminate.report(kept, spark.read.parquet(f"{d}/benchmark.parquet")).where("n_hit > 0").collect()}
     left = kept.where(~F.col("doc_id").isin(list(leaks))) if leaks else kept
     want = sorted(r.doc_id for r in mixing.mix(left.select(all_docs.columns)).select("doc_id", F.explode("draws")).collect())
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, d).collect()) == want
