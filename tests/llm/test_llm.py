@@ -52,7 +52,7 @@ LABELS = "doc_id long, quality int, toxic int, text string"
 @pytest.mark.parametrize("run", [
     lambda s, d: toxicity.score(d, s.createDataFrame([(1, 1, 0, ""), (None, 1, None, "")], LABELS)),
     lambda s, d: quality.score(d, s.createDataFrame([(1, 1, 0, ""), (None, None, 1, "")], LABELS)),
-    lambda s, d: mixing.mix(d, shards=3, blocks=4), lambda s, d: substring.dedup(d),
+    lambda s, d: mixing.mix(d, shards=3, least_blocks=4), lambda s, d: mixing.mix(d), lambda s, d: substring.dedup(d),
     lambda s, d: decontaminate.report(d, s.createDataFrame([(1, "two three four five", "e"), (None, "null item of some words", "e"), (2, None, "e"), (3, "", "e")], "item_id long, text string, w string")),
     lambda s, d: lines.dedup(d), lambda s, d: fingerprint.compare(d), lambda s, d: secrets.digest(d), lambda s, d: tokenfile.round_trip(d, TOKENS), lambda s, d: jaccard.join(d),
 ])
@@ -99,19 +99,67 @@ def test_classifiers_on_held_out_rows(spark):
 def test_mixing(spark):
     texts = ["w " * (i % 17) for i in range(400)]
     d = docs(spark, texts, [["a", "b", None, "c"][i % 4] if i % 3 else "a" for i in range(400)])
-    got = mixing.mix(d, shards=5, blocks=16).collect()
-    assert sorted(got) == sorted(mixing.mix(d, shards=5, blocks=16).collect())
+    kinds = {"shards": 5, "block_words": 40, "least_blocks": 8}
+    got = mixing.mix(d, **kinds).collect()
+    assert sorted(got) == sorted(mixing.mix(d.repartition(7, "text"), **kinds).collect())
     by = {}
     for r in got:
-        assert r.size == r.doc_id % 17 and r.taken <= 2 * r.size
+        assert r.size == r.doc_id % 17 and r.taken == r.size * len(r.draws) <= 2 * r.size
         by.setdefault(r.source, []).append(r)
     for rows in by.values():
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= 17 and sum(r.size for r in rows) == rows[0].source_size
-    assert mixing.targets({"a": 10, "b": 1000, None: 1000}) == {"a": 20, "b": pytest.approx(1997.5), None: pytest.approx(997.5)} or sum(mixing.targets({"a": 10, "b": 1000, None: 1000}).values()) == pytest.approx(3015)
-    table = mixing.split(np.array([7, 0, 30]), 4, np.random.default_rng(0))
-    assert table.sum(0).tolist() == [7, 0, 30] and table.min() >= 0 and table.sum(1).max() - table.sum(1).min() <= 1
-    out = mixing.materialize(d, mixing.mix(d, shards=5, blocks=16))
-    assert out.columns == d.columns and out.count() == sum(len(r.draws) for r in got)
+    out = mixing.materialize(d, mixing.mix(d, **kinds))
+    assert out.columns == d.columns and sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in got for _ in r.draws)
+    assert out.rdd.getNumPartitions() == 5
+
+
+def reference_targets(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
+    """One word at a time would be exact; water is poured in small steps instead."""
+    names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        got = {s: min(cap * sizes[s], mid * weights[i % len(weights)]) for i, s in enumerate(names)}
+        low, high = (mid, high) if sum(got.values()) < share * sum(sizes.values()) else (low, mid)
+    return got
+
+
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1000, None: 1000}, {"a": 0, "b": 7}, {None: 5}, {f"s{i:02}": 3 ** (i % 9) for i in range(40)} | {"": 11, "é": 900, "z": 2}, {"a": 0, None: 0}])
+def test_mixing_targets_by_pouring(spark, sizes):
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = reference_targets(sizes)
+    got = {r.source: r.target for r in mixing.targets(rows).collect()}
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s], abs=1e-6) for s in want)
+    if sizes == {"a": 10, "b": 1000, None: 1000}:
+        assert got == {"a": 20, "b": pytest.approx(2995 * 2 / 3), None: pytest.approx(2995 / 3)}
+
+
+def test_mixing_quotas(spark):
+    """Quotas add up by source and shard, whatever the number of shards, and are spread as draws without replacement are."""
+    blocks = {0: 700, 1: 0, 2: 31, 5: 1}
+    drawn = spark.createDataFrame(list(blocks.items()), "source_no long, n long")
+    for shards in (1, 3, 200):
+        rows = mixing.quotas(drawn, shards, 11).collect()
+        taken = {}
+        for r in rows:
+            taken.setdefault(r.source_no, []).extend(range(r.first, r.first + r.n))
+            assert r.n > 0 and 0 <= r.shard < shards
+        assert {s: sorted(v) for s, v in taken.items()} == {s: list(range(n)) for s, n in blocks.items() if n}
+        total = [sum(r.n for r in rows if r.shard == k) for k in range(shards)]
+        assert sum(total) == 732 and max(total) - min(total) <= 1 + int(np.log2(shards))
+    some = np.array([next((q.tolist() + [0, 0])[:2] for lo, _, s, _, q in mixing.branch(0, 2, np.array([0, 1]), np.zeros(2, np.int64), np.array([8, 8]), 1, seed) if lo == 0 and len(s) == 2) for seed in range(400)])
+    assert abs(some[:, 0].mean() - 4) < 0.2 and 0.7 < some[:, 0].var() < 1.5  # 16/15 for draws without replacement
+
+
+def test_mixing_writes_repeated_rows_for_their_own_draws(spark):
+    rows = [(1, "a b c d e f g h i", "en", "a", 0, "x")] * 60 + [(1, "a b c d e f g h i", "de", "b", 0, "y")] * 3 + [(2, "one", "en", "a", 0, "x"), (None, None, None, None, None, None)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    mixed = mixing.mix(d, shards=3, least_blocks=1)
+    got = mixed.collect()
+    out = mixing.materialize(d, mixed).collect()
+    assert sum(r.taken for r in got) == sum(len((r.text or "").split()) for r in out)
+    ofa = [r for r in got if r.source == "a"]
+    assert len(out) == sum(len(r.draws) for r in got) and len(ofa) == 61 and abs(sum(r.taken for r in ofa) - ofa[0].target) <= 9
 
 
 def test_substring(spark):

@@ -2,7 +2,7 @@
 
 1. Targets: a share of all words is divided by weight; no source gets more than ``cap`` times its words,
    and what it would have got beyond is shared by the others.
-2. Each source is dealt into blocks by a hash, and its blocks into a random order.  A target of 1.3
+2. Each source is dealt into blocks by a hash, as many as its words call for, and its blocks into a random order.  A target of 1.3
    times the source draws every block once and, in that order, blocks for the remaining 0.3;
    the block at the limit is drawn in part, document by document in hash order, so that the
    words taken differ from the target by less than one document.
@@ -11,27 +11,31 @@
    quota of each source's drawn blocks, in the random order: disjoint sets by construction.
 4. Within a shard, documents are put in the order of another hash.
 
-Everything random comes from hashes and a seeded generator over sorted sources, so reruns agree.  A
-source may hold any share of the rows: it is dealt into blocks before anything is ranked, and
-the driver sees one row per source and block (``blocks`` per source at most), never documents.
+Blocks and shards hold a number of words, so their counts follow the input.  Blocks, draws and quotas are tables; the driver
+sees sums only.  A source may hold any share of the rows: it is dealt into blocks before anything is ranked.  The top of the
+tree is split in one task, which sees a number for each source; its branches are split side by side.
 
+Everything random comes from hashes and generators seeded by the place in the tree, so reruns agree.
 Null sources form a source of their own, the last; null and empty texts have size 0 and are
-taken with 0 words.  Repeated rows and rows with one doc_id are separate documents.  An empty
+taken with 0 words.  Rows repeated whole, and rows with one doc_id, are separate documents: each has draws of its own.  An empty
 table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidelog.llm.common import cut, small
 
-#: Blocks of a source; more make smaller boundary blocks.
-BLOCKS = 512
+#: Words of a block and blocks of any source at least; words of a shard; branches of the tree that are split side by side.
+BLOCK_WORDS, LEAST_BLOCKS, SHARD_WORDS, BRANCHES = 1 << 20, 64, 1 << 24, 64
 
 
 def word_count(text: str | Column = "text") -> Column:
@@ -40,119 +44,130 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.when(spaced == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.translate(spaced, " ", "")) + 1), F.lit(0)).cast("long")
 
 
-def targets(sizes: dict, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> dict:
-    """Words to take from each source.  Sources are sorted by code point, null last; weights repeat."""
-    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: float(weights[i % len(weights)]) for i, s in enumerate(names)}
-    left, open_, got = share * sum(sizes.values()), list(names), {}
-    while open_:
-        each = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if each * weight[s] > cap * sizes[s]]
-        if not full:
-            return got | {s: each * weight[s] for s in open_}
-        for s in full:
-            got[s] = cap * sizes[s]
-            left -= got[s]
-        open_ = [s for s in open_ if s not in got]
-        left = max(left, 0.0)
-    return got
-
-
-def split(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
-    """quota[s] blocks of each source dealt to ``shards`` shards: an array (shards, sources)."""
-    if shards == 1:
-        return quota[None, :]
-    half = shards // 2
-    draw = int(quota.sum()) * half // shards
-    left = _hypergeometric(quota, draw, rng)
-    return np.vstack([split(left, half, rng), split(quota - left, shards - half, rng)])
-
-
-def _hypergeometric(quota: np.ndarray, draw: int, rng: np.random.Generator) -> np.ndarray:
-    """Counts by source of ``draw`` blocks drawn without replacement."""
-    out, rest = np.zeros_like(quota), int(quota.sum())
-    for s, q in enumerate(quota.tolist()):
-        rest -= q
-        if draw:
-            out[s] = rng.hypergeometric(q, rest, draw) if q and rest else (min(q, draw) if q else 0)
-            draw -= int(out[s])
-    return out
-
-
-def plan(blocks: list, goal: dict, shards: int, seed: int) -> list[tuple]:
-    """(source, block, copy, shard, place, words): the drawn blocks.  words is the limit within a block, null for all.
-
-    blocks: (source, block, words) of every block.
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """``rows`` with ``no``, their place in the order from 0 on.  Only counts of partitions are held together, never all rows."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.repartitionByRange(n, *order).withColumn("part_", F.spark_partition_id()))
+    counts = dealt.groupBy("part_").count()
+    begin = counts.select(F.col("part_").alias("p_"), F.coalesce(F.sum("count").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin_"))
+    within = F.row_number().over(Window.partitionBy("part_").orderBy(*order)) - 1
+    return dealt.join(F.broadcast(begin), F.col("part_") == F.col("p_")).withColumn("no", (within + F.col("begin_")).cast("long")).drop("part_", "p_", "begin_")
+
+
+def targets(sources: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """``sources`` (source, source_size) with no, their place by code point with null last, and target, the words to take.
+
+    Each round fixes the sources that reach ``cap``; it needs two sums over the sources that are still open.
+    """
+    ranked = cut(numbered(sources, F.col("source").isNull(), F.col("source")).withColumn("weight", F.get(F.array(*(F.lit(float(w)) for w in weights)), (F.col("no") % len(weights)).cast("int"))))
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    each, full = 0.0, None
+    while True:
+        over = F.lit(False) if full is None else F.lit(each) * F.col("weight") > F.lit(cap) * F.col("source_size")
+        n, taken, weight = ranked.agg(F.count_if(over), F.sum(F.when(over, F.lit(cap) * F.col("source_size"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if n == full or not weight:
+            break
+        each, full = max(0.0, share * total - (taken or 0.0)) / weight, n
+    return ranked.withColumn("target", F.least(F.lit(cap) * F.col("source_size"), F.lit(each) * F.col("weight")) if weight else F.lit(cap) * F.col("source_size")).drop("weight")
+
+
+def branch(lo: int, hi: int, source: np.ndarray, first: np.ndarray, quota: np.ndarray, leaf: int, seed: int) -> Iterator[tuple]:
+    """Split the shards from lo to hi down to ranges of at most ``leaf`` shards: (lo, hi, source, first, quota) of each.
+
+    quota[i] drawn blocks of source[i], which begin with its ``first``, are dealt to the range.  A half gets its share of all blocks, drawn
+    without replacement from the sources' quotas; sources without any are dropped.
     """
-    by: dict = {}
-    for source, block, words in blocks:
-        by.setdefault(source, []).append((block, words))
-    names = sorted((s for s in by if s is not None)) + [None] * (None in by)
-    drawn = {}
-    for k, s in enumerate(names):
-        mine = sorted(by[s])
-        size, rng, out = sum(w for _, w in mine), np.random.default_rng([seed, 1, k]), []
-        left, copy = goal[s], 0
-        while left > 0 and size and copy < 64:
-            for i in rng.permutation(len(mine)).tolist():
-                block, words = mine[i]
-                if words <= left:
-                    out.append((block, copy, None))
-                elif left > 0:
-                    out.append((block, copy, float(left)))
-                left = left - words if left - words > 1e-6 else 0.0
-            copy += 1
-        drawn[s] = out
-    quota = np.array([len(drawn[s]) for s in names], np.int64)
-    table = split(quota, shards, np.random.default_rng([seed, 2])) if len(names) else np.zeros((shards, 0), np.int64)
-    out = []
-    for k, s in enumerate(names):
-        shard = np.repeat(np.arange(shards), table[:, k])
-        out += [(s, b, c, int(shard[i]), i, w) for i, (b, c, w) in enumerate(drawn[s])]
-    return out
-
-
-def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 64, seed: int = 11, blocks: int = BLOCKS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, draws (copy, shard, rank) and row_hash of every document.
+    todo = [(lo, hi, source, first, quota)]
+    while todo:
+        lo, hi, source, first, quota = todo.pop()
+        if hi - lo <= leaf:
+            yield lo, hi, source, first, quota
+            continue
+        half = (hi - lo) // 2
+        left = np.random.default_rng([seed, 2, lo, hi]).multivariate_hypergeometric(quota, int(quota.sum()) * half // (hi - lo), method="marginals")
+        for a, b, f, q in ((lo + half, hi, first + left, quota - left), (lo, lo + half, first, left)):
+            some = np.flatnonzero(q)
+            todo.append((a, b, source[some], f[some], q[some]))
+
+
+def quotas(drawn: DataFrame, shards: int, seed: int) -> DataFrame:
+    """(source_no, shard, first, n): the quota n of each source's drawn blocks that a shard takes, from ``first`` on.
+
+    drawn: (source_no, n), the drawn blocks of each source.
+    """
+    leaf = max(1, math.ceil(shards / BRANCHES))
+
+    def table(parts: Iterator[tuple]) -> pa.Table:
+        parts = list(parts)
+        spread = lambda k: np.concatenate([np.full(len(p[2]), p[k], np.int64) for p in parts] or [np.zeros(0, np.int64)])
+        joined = lambda k: np.concatenate([p[k].astype(np.int64) for p in parts] or [np.zeros(0, np.int64)])
+        return pa.table({"lo": spread(0), "hi": spread(1), "source_no": joined(2), "first": joined(3), "n": joined(4)})
+
+    def top(t: pa.Table) -> pa.Table:
+        t = t.sort_by("source_no")
+        n = t["n"].to_numpy()
+        return table(branch(0, shards, t["source_no"].to_numpy(), np.zeros(len(n), np.int64), n, leaf, seed))
+
+    def below(t: pa.Table) -> pa.Table:
+        t = t.sort_by("source_no")
+        return table(branch(t["lo"][0].as_py(), t["hi"][0].as_py(), *(t[c].to_numpy() for c in ("source_no", "first", "n")), 1, seed))
+
+    schema = "lo long, hi long, source_no long, first long, n long"
+    branches = drawn.where("n > 0").withColumn("tree", F.lit(0)).groupBy("tree").applyInArrow(top, schema)
+    return branches.groupBy("lo", "hi").applyInArrow(below, schema).select("source_no", F.col("lo").cast("int").alias("shard"), "first", "n")
+
+
+def _keys(seed: int) -> list[Column]:
+    """Two hashes that name a row by doc_id, source and text; rows repeated whole share them."""
+    parts = [F.col("doc_id"), F.col("doc_id").isNull(), F.col("source"), F.col("source").isNull(), F.coalesce("text", F.lit(""))]
+    return [F.xxhash64(F.lit(seed), *parts).alias("k1"), F.xxhash64(F.lit(seed + 1), *parts).alias("k2")]
+
+
+def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int | None = None, seed: int = 11, block_words: int = BLOCK_WORDS, least_blocks: int = LEAST_BLOCKS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, draws (copy, shard, rank), k1 and k2 of every document.
 
     A document appears in the mix once for each of its draws; :func:`materialize` writes them out.
     """
-    spark = docs.sparkSession
-    slim = cut(
-        docs.select("doc_id", "source", word_count().alias("size"), text_hash(seed).alias("h"), F.xxhash64("doc_id", F.lit(seed)).alias("g")).withColumn("block", F.pmod("g", F.lit(blocks)).cast("int"))
-    )
-    table = [(r["source"], r["block"], r["words"]) for r in slim.groupBy("source", "block").agg(F.sum("size").alias("words")).collect()]
-    sizes: dict = {}
-    for s, _, w in table:
-        sizes[s] = sizes.get(s, 0) + w
-    goal = targets(sizes, weights, share, cap)
-    drawn = plan(table, goal, shards, seed)
-    by: dict = {}
-    for s, b, c, shard, _, words in drawn:
-        by.setdefault((s, b), []).append((c, shard, words))
-    kind = docs.schema["source"].dataType
-    # One row for each source and block: bounded by sources x blocks, not by documents.
-    schema = T.StructType([T.StructField("source_", kind), T.StructField("block_", T.IntegerType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("d", T.ArrayType(T.StructType([T.StructField("copy", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("words", T.DoubleType())])))])
-    rows = [(s, b, sizes[s], float(goal[s]), by.get((s, b), [])) for s, b, _ in table]
-    parts = spark.createDataFrame(rows, schema).withColumn("cut_", F.exists("d", lambda x: x["words"].isNotNull()))
-    placed = slim.join(small(parts), slim.source.eqNullSafe(F.col("source_")) & (slim.block == F.col("block_")), "inner").drop("source_", "block_")
-    draw = lambda x: F.struct(x["copy"], x["shard"], F.xxhash64("g", "h", x["copy"]).alias("rank"))
-    whole = placed.where("not cut_").withColumn("draws", F.transform("d", draw))
+    slim = cut(docs.select("doc_id", "source", word_count().alias("size"), *_keys(seed)))
+    sources = cut(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap).withColumn("blocks", least_blocks + F.floor(F.col("source_size") / block_words)))
+    shards = shards or max(1, math.ceil((sources.agg(F.sum("target")).first()[0] or 0) / SHARD_WORDS))
+    named = small(sources.withColumnRenamed("source", "source_"))
+    placed = slim.join(named, slim.source.eqNullSafe(F.col("source_"))).drop("source_", "blocks_").withColumn("block", F.pmod("k1", F.col("blocks"))).drop("blocks").withColumnRenamed("no", "source_no")
+    words = cut(placed.groupBy("source_no", "block").agg(F.sum("size").alias("words"), F.first("source_size").alias("source_size"), F.first("target").alias("target")))
+    # Passes over a source: whole ones, then the one that ends at the target.
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
+    passes = words.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    passes = passes.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("whole")))).withColumn("order", F.xxhash64("source_no", "block", "copy", F.lit(seed)))
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source_no", "copy").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    drawn = passes.withColumn("before", before).where("copy < whole or before < rest")
+    drawn = drawn.withColumn("limit", F.when((F.col("copy") == F.col("whole")) & (F.col("before") + F.col("words") > F.col("rest")), F.col("rest") - F.col("before")))
+    place = F.row_number().over(Window.partitionBy("source_no").orderBy("copy", "order", "block")).cast("long") - 1
+    drawn = cut(drawn.select("source_no", "block", "copy", "limit", place.alias("place")))
+    table = quotas(drawn.groupBy("source_no").agg(F.count("*").alias("n")), shards, seed)
+    dealt = table.select("source_no", "shard", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("place"))
+    by_block = cut(drawn.join(dealt, ["source_no", "place"]).groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard", "limit"))).alias("d")))
+    joined = placed.join(small(by_block), ["source_no", "block"], "left").withColumn("d", F.coalesce("d", F.array().cast("array<struct<copy:int,shard:int,limit:double>>")))
+    draw = lambda x: F.struct(x["copy"].alias("copy"), x["shard"].alias("shard"), F.xxhash64("k1", "k2", x["copy"]).alias("rank"))
+    ends = F.exists("d", lambda x: x["limit"].isNotNull())
+    full = joined.where(~ends).withColumn("draws", F.transform("d", draw))
     # Of a block drawn in part: documents in hash order, as long as the middle of the document is within the limit.
-    order = Window.partitionBy("source", "block").orderBy("g", "h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
-    part = placed.where("cut_").withColumn("before", before).withColumn("draws", F.transform(F.filter("d", lambda x: x["words"].isNull() | (F.col("before") <= x["words"])), draw)).drop("before")
-    out = whole.unionByName(part)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws", F.col("h").alias("row_hash"))
-
-
-def text_hash(seed: int) -> Column:
-    return F.xxhash64(F.coalesce("text", F.lit("")), F.lit(seed))
+    order = Window.partitionBy("source_no", "block").orderBy("k1", "k2").rowsBetween(Window.unboundedPreceding, -1)
+    middle = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2
+    part = joined.where(ends).withColumn("middle", middle).withColumn("draws", F.transform(F.filter("d", lambda x: x["limit"].isNull() | (F.col("middle") <= x["limit"])), draw)).drop("middle")
+    return full.unionByName(part).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"), "draws", "k1", "k2")
 
 
 def materialize(docs: DataFrame, mixed: DataFrame, seed: int = 11) -> DataFrame:
-    """The mix itself: a row of ``docs`` for each draw, by shard and in the shard's own order."""
-    draws = mixed.select(F.col("doc_id").alias("tidelog__id"), F.col("row_hash").alias("tidelog__hash"), F.explode("draws").alias("tidelog__draw")).distinct()
-    rows = docs.join(draws, F.col("doc_id").eqNullSafe(F.col("tidelog__id")) & (text_hash(seed) == F.col("tidelog__hash")), "inner")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "tidelog__draw.shard").sortWithinPartitions("tidelog__draw.shard", "tidelog__draw.rank").select(*docs.columns)
+    """The mix itself: a row of ``docs`` for each draw; a partition for each shard, in the shard's own order.
+
+    Rows repeated whole are told apart by a number, so each is written for its own draws only.
+    """
+    mixed = cut(mixed.select("k1", "k2", "draws"))
+    keys = [c.alias(n) for c, n in zip(_keys(seed), ("tidelog__1", "tidelog__2"), strict=True)]
+    draws = mixed.where(F.size("draws") > 0).groupBy(F.col("k1").alias("tidelog__1"), F.col("k2").alias("tidelog__2")).agg(F.sort_array(F.collect_list("draws")).alias("tidelog__all"))
+    rows = docs.select("*", *keys).join(draws, ["tidelog__1", "tidelog__2"])
+    number = F.row_number().over(Window.partitionBy("tidelog__1", "tidelog__2").orderBy(F.xxhash64(*docs.columns)))
+    rows = rows.withColumn("tidelog__no", number).withColumn("tidelog__draw", F.explode(F.get("tidelog__all", F.col("tidelog__no") - 1)))
+    shards = (mixed.agg(F.max(F.array_max(F.transform("draws", lambda d: d["shard"])))).first()[0] or 0) + 1
+    order = (F.col("tidelog__draw.shard"), F.xxhash64("tidelog__draw.rank", "tidelog__no"))
+    return rows.repartitionById(shards, F.col("tidelog__draw.shard")).sortWithinPartitions(*order).select(*docs.columns)

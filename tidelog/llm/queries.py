@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +39,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidelog.llm import mixing
 
-    return mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda d: F.struct(d["copy"].alias("copy"), d["shard"].alias("shard"))).alias("draws"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
