@@ -177,9 +177,43 @@ def test_substring(spark):
         kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
         removed += sum(gone)
         assert (got[i].n_words, got[i].n_removed, got[i].kept) == (len(w), sum(gone), kept)
+        covered = [False] * len(w)
+        for k, f in enumerate(got[i].factors):
+            source = SPACE.findall(texts[f.ref_id])
+            assert f.n >= 20 and (f.ref_id, f.ref_start) < (i, f.start) and w[f.start : f.start + f.n] == source[f.ref_start : f.ref_start + f.n]
+            covered[f.start : f.start + f.n] = [True] * f.n
+            if k + 1 < len(got[i].factors):  # greedy: the next one is not simply more of the same
+                g = got[i].factors[k + 1]
+                assert f.start < g.start and not (g.start == f.start + f.n - 19 and (g.ref_id, g.ref_start) == (f.ref_id, f.ref_start + f.n - 19))
+        assert covered == gone
     assert removed > 100
 
 
+def test_substring_combines_copies_before_the_shuffle(spark, monkeypatch):
+    """A passage of all documents, in any order of rows and with few or many blocks at a time; a row repeated whole is no copy of itself."""
+    passage = " ".join(f"p{i}" for i in range(300))
+    texts = [f"{'u' + str(i)} " * (i % 7) + passage + f" v{i}" for i in range(60)] + [" ".join(f"x{i}" for i in range(40))]
+    d = docs(spark, texts)
+    d = d.union(d.where("doc_id = 60")).union(d.where("doc_id = 59"))
+    want = None
+    for held, parts in ((1, 1), (50, 3), (1 << 18, 2)):
+        monkeypatch.setattr(substring, "HELD", held)
+        got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.dedup(d.repartition(parts, "text"), keep_text=False).collect())
+        want = want or got
+        assert got == want
+    assert [r[2] for r in got] == [0] + [300] * 60 + [0, 0]
+
+
+def test_substring_parse():
+    """Pieces in any order make the longest runs that go on both here and there."""
+    piece = lambda start, count: start << substring.COUNT | count - 1
+    rows = [(0, piece(5, 16), 7, piece(105, 16)), (0, piece(21, 3), 7, piece(121, 3)), (0, piece(24, 1), 8, piece(124, 1)), (1, piece(25, 1), 8, piece(125, 1)), (0, piece(26, 2), 8, piece(126, 2)), (0, piece(24, 1), 8, piece(124, 1))]
+    rows = [rows[k] for k in (4, 0, 5, 3, 1, 2)]
+    at, n = substring.parse(*(np.array(c, np.int64) for c in zip(*rows, strict=True)), 20)
+    assert [(rows[i][0], rows[i][1] >> substring.COUNT, m) for i, m in zip(at.tolist(), n.tolist(), strict=True)] == [(0, 5, 38), (0, 24, 20), (0, 26, 21), (1, 25, 20)]
+    assert [len(x) for x in substring.parse(*(np.zeros(0, np.int64),) * 4, 20)] == [0, 0]
+
+
 def test_decontaminate_with_short_items(spark):
     texts = [*corpus(60), "kan LON Min", "zz kan lon", ""]
     items = [" ".join((texts[k] or "").split()[2:30]) for k in (1, 5, 9, 20)] + ["kan lon", "min", None, "...", "never seen words here at all"]
