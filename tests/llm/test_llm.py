@@ -475,6 +475,36 @@ def test_jaccard(spark, monkeypatch):
     assert sorted(r.doc_id for r in jaccard.dedup(docs(spark, texts)).collect()) == sorted(least.values())
 
 
+def test_jaccard_prefixes_follow_the_sizes():
+    """Brute force over all sets that can be similar; the recall of every attainable similarity reaches the target."""
+    for threshold in (0.8, 0.5, 0.9):
+        lengths = jaccard.prefix_lengths(threshold)
+        assert (lengths[1:] <= jaccard.DEPTH).all() and lengths[0] == 0 and len(lengths) == jaccard.SIZES + 1
+        for n in range(1, 60):
+            can = [i / (n + m - i) for m in range(1, 3 * n + 3) for i in range(min(n, m) + 1) if not i == n == m and i / (n + m - i) >= threshold - 1e-9]
+            assert (lengths[n] == 0) == (not can)
+            assert all(1 - (1 - s ** lengths[n]) ** jaccard.TREES >= jaccard.RECALL or lengths[n] == 1 for s in can)
+            assert not can or lengths[n] in (1, jaccard.DEPTH) or 1 - (1 - min(can) ** (lengths[n] + 1)) ** jaccard.TREES < jaccard.RECALL
+    assert len(set(jaccard.prefix_lengths(0.8).tolist())) > 3
+
+
+def test_jaccard_recall_near_the_threshold(spark):
+    """Lone pairs of 5 to 400 words, most of them barely over the threshold: the share that is found, against exact similarity."""
+    rng, texts, want = random.Random(21), [], {}
+    for n in [*range(5, 40), *(rng.randint(40, 400) for _ in range(500))]:
+        a = [f"w{rng.getrandbits(40)}" for _ in range(n)]
+        cut = max(1, round(n * rng.uniform(0.9, 0.995)))
+        b = a[:cut] + [f"w{rng.getrandbits(40)}" for _ in range(n - cut)]
+        x, y = ({tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} for w in (a, b))
+        if a != b and 0.8 - 1e-9 <= len(x & y) / len(x | y) <= 0.9:
+            want[len(texts)] = len(x & y) / len(x | y)
+            texts += [" ".join(a), " ".join(b)]
+    got = {r.doc_id: r.n_links for r in jaccard.join(docs(spark, texts)).collect()}
+    found = [got[i] == got[i + 1] == 1 for i in want]
+    print("pairs", len(found), "found", sum(found), "mean similarity", np.mean(list(want.values())))
+    assert len(found) > 200 and np.mean(found) >= 0.995 and max(got.values()) == 1
+
+
 def test_components_and_bitmap(spark):
     edges = [(i, i + 1) for i in range(0, 60) if i % 10 != 9] + [(100, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -1,10 +1,13 @@
 """N-gram Jaccard join: a MinHash LSH forest, then exact verification.
 
 1. Texts with the same words form a class; one text stands for it.
-2. The forest has ``trees`` tries of signatures.  A trie's prefix of k values matches with probability
-   s**k at similarity s; from ``depth`` on the matched prefix is shortened until trees together reach the target recall
-   at the threshold.  Texts with a common prefix in some tree are candidates.
-3. Candidates are kept as stars: every text is tied to the least text of its prefix, so a prefix with
+2. The forest has ``trees`` tries of signatures, each of up to ``depth`` MinHashes.  A trie's node at depth k holds the texts whose
+   first k values agree, which happens with probability s**k at similarity s.  Every text starts with its longest prefix and shortens it
+   until the trees together reach the target recall at the least similarity, not below the threshold, that a text with its number of
+   shingles can have at all: a text of 7 shingles, say, cannot be 0.8 similar to another, only 6/7 or more.
+   Two texts are candidates if a prefix that is short enough for one of them is common to both in some tree; what
+   longer prefixes find is among them.  Texts too short to have any other text at the threshold need no prefix.
+3. Candidates are kept as stars: every text is tied to the least text that needs its prefix, so a prefix with
    n texts gives n rows, not n * n.  Components of the stars are the candidate groups.
 4. Each group is verified exactly.  Its texts' shingle sets are dealt into blocks of bounded
    size, each pair of blocks is a unit of work, and within it the sizes of all intersections come
@@ -35,14 +38,37 @@ TREES, DEPTH, RECALL = 24, 8, 0.999
 BLOCK_TEXTS, BLOCK_SHINGLES = 400, 150_000
 
 
-def prefix_length(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix, from ``depth`` down, whose trees together reach the recall at the threshold."""
+def prefix_length(similarity: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
+    """The longest prefix, from ``depth`` down, whose trees together reach the recall at a similarity."""
     for k in range(depth, 1, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
+        if 1 - (1 - similarity**k) ** trees >= recall:
             return k
     return 1
 
 
+#: Sets of more shingles can come so near the threshold that their prefixes are those of the threshold itself.
+SIZES = 256
+
+
+def least_similarity(n: int, threshold: float) -> float:
+    """The least similarity, not below the threshold, of a set of n and another one; above 1 if there is no other one.
+
+    i common ones of u in all: any i up to n and u from n on can be.
+    """
+    found = 2.0
+    for u in range(n, int(n / threshold + 1e-9) + 1):
+        i = int(np.ceil(threshold * u - 1e-9))
+        if i <= n and not i == n == u:
+            found = min(found, i / u)
+    return found
+
+
+def prefix_lengths(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> np.ndarray:
+    """The prefix length of a text by its number of shingles, up to SIZES; 0 where no other text can be similar."""
+    least = [least_similarity(n, threshold) for n in range(1, SIZES)]
+    return np.array([0, *(prefix_length(min(x, 1.0), trees, depth, recall) if x <= 1 else 0 for x in least), prefix_length(threshold, trees, depth, recall)])
+
+
 def shingles(texts: list[bytes], size: int):
     """(class hashes (2, n), bounds (n + 1), sorted distinct shingles of each text, in a row)."""
     words = Words(texts, lower=True)
@@ -61,32 +87,59 @@ def shingles(texts: list[bytes], size: int):
     return classes, np.searchsorted(doc, np.arange(n_docs + 1)), hashes
 
 
-def _signatures(size: int, trees: int, k: int):
+#: Bits of a value beyond the shortest prefix, and such values that a key can hold.
+TAIL, TAILS = 15, 4
+
+
+def _signatures(size: int, trees: int, lengths: np.ndarray):
+    """For each text: its class, its number of shingles, the prefix length it needs, and for each tree its key at the shortest length and the values after it."""
+    low, high = int(lengths[-1]), int(lengths.max())
     rng = np.random.default_rng(20)
-    salts = rng.integers(1, 1 << 63, trees * k, dtype=np.uint64) * U(2) + U(1)
-    adds = rng.integers(1, 1 << 63, trees * k, dtype=np.uint64)
+    salts = rng.integers(1, 1 << 63, trees * high, dtype=np.uint64) * U(2) + U(1)
+    adds = rng.integers(1, 1 << 63, trees * high, dtype=np.uint64)
 
     def sign(batches):
         for b in batches:
             ids = b.column(0)
             for begin, texts in chunks(b.column(1)):
                 classes, bounds, hashes = shingles(texts, size)
+                need = lengths[np.minimum(np.diff(bounds), len(lengths) - 1)]
                 some = np.flatnonzero(np.diff(bounds))
-                prefix = np.zeros((len(texts), trees), U)
-                if len(some):
-                    for t in range(trees):
-                        key = np.full(len(some), t + 1, U)
-                        for j in range(t * k, t * k + k):
-                            x = hashes * salts[j] + adds[j]
-                            low = np.minimum.reduceat(x ^ (x >> U(29)), bounds[some])
-                            key = mix(key * U(RADIX[0]) + low)
-                        prefix[some, t] = key
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(np.diff(bounds) > 0, trees, 0))].astype(np.int32)), pa.array(prefix[some].reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(begin, len(texts)), pa.array(classes[0]), pa.array(classes[1]), pa.array(np.diff(bounds)), lists], ["doc_id", "c1", "c2", "n_shingles", "prefixes"])
+                prefix, tail = np.zeros((len(texts), trees), U), np.zeros((len(texts), trees), U)
+                for t in range(trees if len(some) else 0):
+                    key, rest = np.full(len(some), t + 1, U), np.zeros(len(some), U)
+                    for k in range(high):
+                        x = hashes * salts[t * high + k] + adds[t * high + k]
+                        least = np.minimum.reduceat(x ^ (x >> U(29)), bounds[some])
+                        if k < low:
+                            key = mix(key * U(RADIX[0]) + least)
+                        else:
+                            rest = rest << U(TAIL) | mix(least) >> U(64 - TAIL)
+                    prefix[some, t], tail[some, t] = key, rest
+                wants = need > 0
+                bounds_out = pa.array(np.r_[0, np.cumsum(np.where(wants, trees, 0))].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds_out, pa.array(x[wants].reshape(-1).view(np.int64))) for x in (prefix, tail)]
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, len(texts)), pa.array(classes[0]), pa.array(classes[1]), pa.array(np.diff(bounds)), pa.array(need.astype(np.int32)), *lists], ["doc_id", "c1", "c2", "n_shingles", "need", "prefixes", "tails"])
 
     return sign
 
 
+def stars(placed: DataFrame, low: int, high: int) -> DataFrame:
+    """(a, b): each text tied to the least one that needs a prefix which both have.
+
+    placed: (node, need, tree, prefix, tail), need from low to high.  At depth k a node of the trie holds its texts that need k values or more: with
+    a text that needs fewer they meet at that one's depth.
+    """
+    found = None
+    for k in range(low, high + 1):
+        by = ["tree", "prefix"] if k == low else ["tree", "prefix", "part"]
+        held = placed.where(F.col("need") >= k).withColumn("part", F.shiftrightunsigned("tail", TAIL * (high - k)))
+        hubs = held.groupBy(*by).agg(F.min(F.when(F.col("need") == k, F.col("node"))).alias("hub"), F.count("*").alias("n")).where("n > 1 and hub is not null").drop("n")
+        tied = held.join(hubs, by).where("hub <> node").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        found = tied if found is None else found.union(tied)
+    return found.distinct()
+
+
 def _sets(size: int):
     def sets(batches):
         for b in batches:
@@ -182,16 +235,16 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: int = TR
     documents with the same words, this one too; n_links: other texts (copies not counted) at the threshold or more.
     Null doc_ids are least.
     """
-    k = prefix_length(threshold, trees, recall=recall)
+    lengths = prefix_lengths(threshold, trees, recall=recall)
+    low = int(lengths[-1])
+    lengths = np.minimum(lengths, low + TAILS)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed = cut(docs.select("doc_id", "text").mapInArrow(_signatures(size, trees, k), f"doc_id {kind}, c1 long, c2 long, n_shingles long, prefixes array<long>"))
+    signed = cut(docs.select("doc_id", "text").mapInArrow(_signatures(size, trees, lengths), f"doc_id {kind}, c1 long, c2 long, n_shingles long, need int, prefixes array<long>, tails array<long>"))
     # A node for each class: 64 bits of its 128, least place first.
     node = F.xxhash64("c1", "c2")
-    classes = cut(signed.groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("m"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes")).select(node.alias("node"), "c1", "c2", F.col("m.doc_id").alias("copy_id"), "n_copies", "n_shingles", "prefixes"))
-    placed = classes.where("n_shingles > 0").select("node", F.posexplode("prefixes").alias("tree", "prefix"))
-    least = placed.groupBy("tree", "prefix").agg(F.min("node").alias("least"), F.count("*").alias("n")).where("n > 1").select("tree", "prefix", "least")
-    stars = placed.join(least, ["tree", "prefix"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    groups = components(stars)
+    classes = cut(signed.groupBy("c1", "c2").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("m"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in ("n_shingles", "need", "prefixes", "tails"))).select(node.alias("node"), "c1", "c2", F.col("m.doc_id").alias("copy_id"), "n_copies", "n_shingles", "need", "prefixes", "tails"))
+    placed = classes.where("need > 0").select("node", "need", F.posexplode(F.arrays_zip("prefixes", "tails")).alias("tree", "x")).select("node", "need", "tree", F.col("x.prefixes").alias("prefix"), F.col("x.tails").alias("tail"))
+    groups = components(stars(placed, low, int(lengths.max())))
     members = groups.join(classes.select("node", "c1", "c2", "copy_id", "n_shingles"), "node")
     total = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     members = cut(members.join(total, "root").select("root", "node", "c1", "c2", "copy_id", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int").alias("block"), "blocks"))
