@@ -1,20 +1,21 @@
 """Line dedup: exact and fuzzy, in DataFrame operations only.
 
 1. A line is normalised: lower case, white space collapsed and trimmed.  Equal normalised lines are one class.
-2. A line has a 60-bit SimHash of its distinct words.  The counters of all bits are summed in packed form, four
-   counters to a long.
-3. A line also has 32 MinHashes of its distinct words; words of up to ``SHORT`` letters count for an eighth, as they
-   are common to lines that have nothing else in common.  Lines that agree on the three MinHashes of one of 16 tables, and whose SimHashes are at
-   most ``DISTANCE`` bits apart, are candidates.  SimHashes alone cannot find them: lines at the similarity are 12 to 14 of 60 bits
-   apart on average, too many for blocks of equal bits.  Each class is first held against the least of its
-   bucket; after that only pairs that are not connected yet are made.  So a hot
+2. A line's features are its distinct words, or the runs of three characters of a line with fewer than ``WORDS`` words.  They are hashed and
+   put in the order of their hashes, words of up to ``SHORT`` letters last, as they are common to lines that have nothing else in common.
+3. Pigeonhole blocks: each run of ``RUN`` features among the first ``POSITIONS`` in that order is a key.  If d of these places of two
+   lines differ, the others make up d + 1 runs at most, so some run is long enough for a common key wherever more than (RUN - 1) * (d + 1) agree:
+   always for up to 3 of 14.  Beyond that it is a matter of chance; README gives measured recall.
+   Keys of 64 bits keep buckets apart whatever the number of lines.
+4. A 64-bit odd sketch of the first ``SKETCHED`` features (each flips a bit) tells by its bits that differ how many features differ.  Of a bucket, each class is
+   first held against the least one; after that only pairs that are not connected yet are made.  So a hot
    group of n variants gives rows in proportion to n, and connectivity is that of all candidates.
-4. Pairs are verified by edit similarity of the normalised lines: 1 - distance / longer length, in characters.  Where the
+5. Pairs are verified by edit similarity of the normalised lines: 1 - distance / longer length, in characters.  Where the
    lines have as many words, the sum of distances word by word comes first: it is never below the distance.
-5. Of each connected group of classes the first occurrence stays, by doc_id, then line number.
+6. Of each connected group of classes the first occurrence stays, by doc_id, then line number.
 
-Lines with fewer than ``WORDS`` distinct words are matched exactly only.  Blank lines always stay. 
-Candidates are found with a probability that falls with the share of words that differ (README gives it); pairs found are exact.
+SimHashes joined on blocks of equal bits do not serve here: lines at the similarity differ in too many bits (figures in README).  The order of
+hashes and the odd sketch take their place; no line is too short or too long.  Pairs found are exact.  Blank lines always stay.
 
 Null and empty texts have no lines.  Null doc_ids come first; rows with one doc_id and different texts are ordered by a hash of
 the text; identical rows count as one document and get the same result.  An empty table gives no rows.
@@ -22,20 +23,17 @@ the text; identical rows count as one document and get the same result.  An empt
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import components, cut, marked, row_key
 
-DISTANCE, WORDS, SIMILARITY = 22, 4, 0.8
-#: Words of so many letters at most count for an eighth in MinHashes; they bear this bit, above the 60 of SimHashes.
-SHORT, MARK = 4, 1 << 60
-_rng = random.Random(5)
-SEEDS = tuple(_rng.getrandbits(62) for _ in range(32))
-#: The MinHashes of each table: 16 of three, all 32 used once before any is used twice.
-TABLES = tuple(zip(*[iter([*_rng.sample(range(32), 32), *_rng.sample(range(32), 16)])] * 3, strict=True))
+SIMILARITY = 0.8
+POSITIONS, RUN, SKETCHED = 14, 3, 32
+#: Words of so many letters at most come last in the order; they bear this bit, above the 60 of the others.  Lines of fewer words are taken by characters.
+SHORT, MARK, WORDS = 4, 1 << 60, 6
+#: Bits of two sketches that differ at most: of all 64, and for each feature of the line that has fewer.
+BITS, SHARE = 20, 0.8
 
 
 def normalised(rows: DataFrame, line: str = "line", name: str = "norm") -> DataFrame:
@@ -51,63 +49,25 @@ def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("bigint")
 
 
-#: Distinct words that the packed counters can hold: four fields of 15 bits, the last of which is left for the comparison.
-FEW = (1 << 14) - 1
-FIELDS = 1 | 1 << 15 | 1 << 30 | 1 << 45
-
-
-def _long_line(words: Column) -> Column:
-    """The SimHash of a line of very many words, with 31-bit counters, within its row."""
-    zero = F.struct(*(F.lit(0).cast("bigint").alias(f"k{k}") for k in range(30)))
-    add = lambda acc, w: F.struct(*((acc[f"k{k}"] + _pair(w, k)).alias(f"k{k}") for k in range(30)))
-
-    def _pair(w: Column, k: int) -> Column:
-        """Bits k and k + 30 of a hash, 31 bits apart."""
-        return F.shiftrightunsigned(w, k).bitwiseAND(_long(1)).bitwiseOR(F.call_function("shiftleft", F.shiftrightunsigned(w, k + 30).bitwiseAND(_long(1)), F.lit(31)))
-
-    def bits(acc: Column) -> Column:
-        out = _long(0)
-        for k in range(30):
-            for f in range(2):
-                over = F.shiftrightunsigned(acc[f"k{k}"], 31 * f).bitwiseAND(_long((1 << 31) - 1)) * 2 > F.size(words)
-                out = out.bitwiseOR(F.when(over, _long(1 << (k + 30 * f))).otherwise(_long(0)))
-        return out
-
-    return F.aggregate(words, zero, add, bits)
-
-
-def simhashes(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """``ids`` and h, the 60-bit SimHash of the distinct words of each row's ``words`` (64-bit hashes).
-
-    ids must name one row.  Words are exploded and counted in generated code, and combined before the shuffle, which moves a
-    row of counters for each line.  All four counters of a sum are compared with half the words by one addition.  Lines of
-    fewer than WORDS words get a null.
-    """
-    # A select of its own before the explode, which would otherwise copy the array beside each of its words.
-    each = rows.select(*ids, F.size("words").alias("n"), F.when(F.size("words") > FEW, _long_line(F.col("words"))).alias("hl"), F.when(F.size("words") >= WORDS, F.col("words")).alias("words"))
-    each = each.select(*ids, "n", "hl", F.explode_outer("words").alias("w"))
-    counted = each.groupBy(*ids, "n", "hl").agg(*(F.sum(F.shiftrightunsigned("w", k).bitwiseAND(_long(FIELDS))).alias(f"k{k}") for k in range(15)))
-    counted = counted.withColumn("c", (F.lit(1 << 14) - F.floor(F.least("n", F.lit(FEW)) / 2) - 1).cast("bigint") * _long(FIELDS))
-    out = _long(0)
-    for k in range(15):
-        out = out.bitwiseOR(F.shiftrightunsigned((F.col(f"k{k}").bitwiseAND(_long(FIELDS * FEW)) + F.col("c")).bitwiseAND(_long(FIELDS << 14)), 14 - k))
-    return counted.select(*ids, F.coalesce("hl", out).alias("h"))
-
+def features(norm: Column) -> Column:
+    """array of the hashes of a line's features, in their order."""
+    word = lambda w: F.xxhash64(w).bitwiseAND(_long(MARK - 1)).bitwiseOR(F.when(F.length(w) <= SHORT, _long(MARK)).otherwise(_long(0)))
+    words = F.split(norm, " ")
+    by_word = F.transform(words, word)
+    by_run = F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm) - 2, F.lit(1))), lambda i: F.xxhash64(F.substr(norm, i, F.lit(3))).bitwiseAND(_long(MARK - 1)))
+    return F.sort_array(F.array_distinct(F.when(F.size(words) < WORDS, by_run).otherwise(by_word)))
 
-def table_keys(words: Column) -> Column:
-    """The keys of a line in all tables, from its distinct words' hashes; MARK tells short words."""
-    kinds = F.struct(F.filter(words, lambda w: w < MARK).alias("long"), F.filter(words, lambda w: w >= MARK).alias("short"))
 
-    def least(ws: Column, seed: Column) -> Column:
-        return F.array_min(F.transform(ws, lambda w: F.xxhash64(w.bitwiseXOR(seed))))
+def keys(ordered: Column) -> Column:
+    """The keys of a line, from its features in order: a hash of each run."""
+    runs = F.array(*(F.xxhash64(*(F.get(ordered, F.lit(i + j)) for j in range(RUN))) for i in range(POSITIONS - RUN + 1)))
+    return F.slice(runs, F.lit(1), F.greatest(F.size(ordered) - (RUN - 1), F.lit(0)))
 
-    def mins(kind: Column) -> Column:
-        # Hashes of short words are drawn into the uppermost eighth, so a long word mostly comes first.
-        return F.transform(F.array(*map(_long, SEEDS)), lambda c: F.least(least(kind["long"], c), F.shiftright(least(kind["short"], c), 3) + _long(7 << 60)))
 
-    keys = lambda m: F.array(*(F.hash(F.lit(t), *(m[i] for i in table)) for t, table in enumerate(TABLES)))
-    # A transform of one element evaluates what it is given once.
-    return F.transform(F.transform(F.array(kinds), mins), keys)[0]
+def sketch(ordered: Column) -> Column:
+    """The odd sketch of the first features."""
+    one = F.lit(1).cast("bigint")
+    return F.aggregate(F.slice(ordered, 1, SKETCHED), _long(0), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", one, w.bitwiseAND(_long(63)).cast("int"))))
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -120,38 +80,33 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """A slim row for each line, written once: (doc_id, key_, no, h1, h2, size, keys, h); keys and h are null where only exact matches count."""
-    word = lambda w: F.xxhash64(w).bitwiseAND(_long(MARK - 1)).bitwiseOR(F.when(F.length(w) <= SHORT, _long(MARK)).otherwise(_long(0)))
-    words = F.array_distinct(F.transform(F.split("norm", " "), word))
-    slim = lines(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "key_", "no", "h1", "h2", F.length("norm").alias("size"), words.alias("words"))
-    slim = slim.withColumn("keys", F.when(F.size("words") >= WORDS, table_keys(F.col("words"))))
-    ids = ["row", "doc_id", "key_", "no", "h1", "h2", "size", "keys"]
-    return cut(simhashes(slim, ids).drop("row"))
+    """A slim row for each line, written once: (doc_id, key_, no, h1, h2, node, size, n, sketch, keys); n is the number of features sketched."""
+    slim = lines(docs).select("doc_id", "key_", "no", "h1", "h2", F.length("norm").alias("size"), features(F.col("norm")).alias("f"))
+    return cut(slim.select("doc_id", "key_", "no", "h1", "h2", "size", F.least(F.size("f"), F.lit(SKETCHED)).alias("n"), sketch(F.col("f")).alias("sketch"), keys(F.col("f")).alias("keys")))
 
 
 def classes(all_lines: DataFrame) -> DataFrame:
-    """(node, h1, h2, first, size, keys, h) of each class of equal lines."""
+    """(node, h1, h2, first, copies) of each class of equal lines."""
     first = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "key_", "no")
-    return all_lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("h").alias("h")).withColumn("node", F.xxhash64("h1", "h2"))
+    return all_lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("h1", "h2"))
 
 
-def buckets(found: DataFrame, similarity: float) -> DataFrame:
-    """(k, node, h, size, leader, hl, sl): classes with a near class in the bucket of a table's key k; the leader is the least of them.
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Sketches that allow enough common features, and lengths that allow the similarity.  a, b: structs (size, n, sketch)."""
+    a, b = F.col(a), F.col(b)
+    bits = F.bit_count(a["sketch"].bitwiseXOR(b["sketch"]))
+    return (bits <= F.least(F.lit(BITS), SHARE * F.least(a["n"], b["n"]) + 1)) & (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-9)
 
-    A semi-join looks for one near class in the bucket: no row is made for classes that meet by chance only.
-    """
-    placed = found.where("h is not null").select("node", "h", "size", F.explode("keys").alias("k"))
-    other = placed.select(F.col("node").alias("n2"), F.col("h").alias("h2_"), F.col("size").alias("s2"), F.col("k").alias("k2"))
-    near = cut(placed.join(other, (F.col("k") == F.col("k2")) & (F.col("node") != F.col("n2")) & _near("h", "h2_", "size", "s2", similarity), "left_semi"))
-    leaders = near.groupBy("k").agg(F.min("node").alias("leader"))
-    own = near.select(F.col("node").alias("leader"), F.col("h").alias("hl"), F.col("size").alias("sl")).distinct()
-    return cut(near.join(leaders, "k").join(own, "leader").select("k", "node", "h", "size", "leader", "hl", "sl"))
 
+def buckets(all_lines: DataFrame) -> DataFrame:
+    """(k, leader, node, s): the classes of each key that several classes have, with its least class; s has size, n and sketch.
 
-def _near(ha: str, hb: str, sa: str, sb: str, similarity: float) -> Column:
-    """Within DISTANCE bits, and of lengths that allow the similarity."""
-    x = F.col(ha).bitwiseXOR(F.col(hb))
-    return (F.bit_count(x) <= DISTANCE) & (F.least(sa, sb) >= similarity * F.greatest(sa, sb) - 1e-9)
+    A first pass finds such keys, combining before its shuffle, so a common line is a row for each task; only their rows are then shuffled.
+    """
+    placed = all_lines.select(F.xxhash64("h1", "h2").alias("node"), F.struct("size", "n", "sketch").alias("s"), F.explode("keys").alias("k"))
+    shared = cut(placed.groupBy("k").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("k", "leader"))
+    held = marked(placed.select("node", "s.size", "s.n", "s.sketch", "k"), shared, "k").where("marked").join(shared, "k")
+    return cut(held.groupBy("k", "leader", "node", "size", "n", "sketch").agg(F.lit(1).alias("x")).select("k", "leader", "node", F.struct("size", "n", "sketch").alias("s")))
 
 
 def texts_of(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -176,37 +131,38 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(h1, h2, first) of each class of equal lines: the first occurrence in its group."""
+    """(h1, h2, first) of each class of equal lines with copies or links: the first occurrence in its group."""
     found = cut(classes(all_lines))
-    shared = buckets(found, similarity)
-    active = shared.select("node").distinct()
-    texts = texts_of(docs, found, active)
+    shared = buckets(all_lines)
+    own = shared.select(F.col("node").alias("leader"), F.col("s").alias("sl")).distinct()
     # First every class against the leader of its bucket: as many pairs as classes.
-    stars = shared.where((F.col("node") != F.col("leader")) & _near("h", "hl", "size", "sl", similarity)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    first = cut(verified(stars, texts, similarity))
+    stars = cut(shared.where("node <> leader").join(own, "leader").where(_near("s", "sl", similarity)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     # Then the pairs of a bucket that are not connected yet; a group that the stars connect gives none.
-    roots = components(first)
-    rest = shared.join(roots, "node", "left").select("k", "node", "h", "size", F.coalesce("root", "node").alias("c"))
-    rest = cut(rest)
-    b = rest.select(F.col("k").alias("k2"), F.col("node").alias("n2"), F.col("h").alias("h2_"), F.col("size").alias("s2"), F.col("c").alias("c2"))
-    cross = rest.join(b, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("n2")) & (F.col("c") != F.col("c2")) & _near("h", "h2_", "size", "s2", similarity)).select(F.col("node").alias("a"), F.col("n2").alias("b")).distinct()
-    roots = components(first.union(verified(cross, texts, similarity)))
-    named = found.select("node", "h1", "h2", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    near = cut(verified(stars, texts_of(docs, found, _ends(stars)), similarity))
+    roots = components(near)
+    rest = cut(shared.join(roots, "node", "left").select("k", "node", "s", F.coalesce("root", "node").alias("c")))
+    b = rest.select(F.col("k").alias("k2"), F.col("node").alias("n2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
+    cross = cut(rest.join(b, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("n2")) & (F.col("c") != F.col("c2")) & _near("s", "s2", similarity)).select(F.col("node").alias("a"), F.col("n2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+    roots = components(near.union(verified(cross, texts_of(docs, found, _ends(cross)), similarity)))
+    named = found.join(roots, "node", "left").where("root is not null or copies > 1").select(F.coalesce("root", "node").alias("root"), "h1", "h2", "first")
     kept = named.groupBy("root").agg(F.min("first").alias("first"))
     return named.select("root", "h1", "h2").join(kept, "root").select("h1", "h2", "first")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
 def dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, kept (the text without the removed lines) and kept_sha256 of each document."""
     all_lines = index(docs)
     first = groups(docs, all_lines, similarity)
     placed = all_lines.select("doc_id", "key_", "no", "h1", "h2").join(first, ["h1", "h2"])
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key_") == F.col("first.key_")) & (F.col("no") == F.col("first.no"))
-    by_doc = placed.groupBy("doc_id", "key_").agg(F.size(F.collect_set("no")).alias("n_lines"), F.collect_set(F.when(~stays, F.col("no"))).alias("gone")).withColumnsRenamed({"doc_id": "id_", "key_": "k_"})
-    base = docs.select("doc_id", row_key().alias("key_"), "text")
-    joined = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
-    # The lines are a column, so that they are not split again for each line that stays.
-    joined = joined.withColumn("all_", F.when(F.size("gone") > 0, F.split("text", "\n", -1)))
+    by_doc = placed.where(~stays).groupBy("doc_id", "key_").agg(F.collect_set("no").alias("gone")).withColumnsRenamed({"doc_id": "id_", "key_": "k_"})
+    base = docs.select("doc_id", row_key().alias("key_"), F.coalesce("text", F.lit("")).alias("text"))
+    joined = base.join(by_doc, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("key_") == F.col("k_")), "left").select("doc_id", "text", F.split("text", "\n", -1).alias("all_"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size("all_") - 1), F.col("gone")), lambda i: F.get("all_", i)), "\n"))
-    out = joined.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_removed"), kept.alias("kept"))
+    some = F.size(F.filter("all_", lambda x: F.trim(x, F.lit(" \t\x0b\f\r")) != "")).cast("long")
+    out = joined.select("doc_id", some.alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), kept.alias("kept"))
     return out.select("*", F.sha2("kept", 256).alias("kept_sha256"))
