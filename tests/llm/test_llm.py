@@ -558,3 +558,22 @@ def test_pipeline_against_its_operators(spark, tmp_path):
     left = kept.where(~F.col("doc_id").isin(list(leaks))) if leaks else kept
     want = sorted(r.doc_id for r in mixing.mix(left.select(all_docs.columns)).select("doc_id", F.explode("draws")).collect())
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, d).collect()) == want
+
+
+def test_token_files_of_text_ids_and_every_word(spark, tmp_path):
+    """Ids of any type; and each distinct word of the test data, cut and with its marks, encodes as the library encodes it."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENS)
+    rows = [("b", "one two."), (None, "zero"), ("a", None), ("ä", "three, four"), ("b", "another row")]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    tokenfile.write(d, f"file://{tmp_path}/t", TOKENS, 2, parts=2)
+    got = tokenfile.read(spark, f"file://{tmp_path}/t").collect()
+    want = [(None, "zero"), ("a", None), ("b", "another row"), ("b", "one two."), ("ä", "three, four")]
+    assert [(r.doc_id, r.ids) for r in sorted(got, key=lambda r: r.start)] == [(i, tok.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in want]
+    words = sorted({w for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect() for w in re.split("[ \n]", r.text or "")})
+    encoder = tokenfile.Encoder(TOKENS, 2)
+    parts = [words[k : k + 5000] for k in range(0, len(words), 5000)]
+    for part in parts:
+        assert all(a.tolist() == e.ids + [2] for a, e in zip(encoder(part), tok.encode_batch(part, add_special_tokens=False), strict=True))
+    assert encoder.pieces and encoder.marks and len(words) > 50_000

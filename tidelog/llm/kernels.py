@@ -6,6 +6,8 @@ words come from prefix sums modulo 2**64, so no Python code runs for each word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 
 U = np.uint64
@@ -91,3 +93,10 @@ def chunks(texts, limit: int = CHUNK):
             size += len(t)
     if out:
         yield begin, out
+
+
+def trim() -> None:
+    """Give the memory that a Python worker has freed back to the system, as idle workers stay beside busy ones."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)

@@ -1,12 +1,17 @@
 """Adaptive context-mixing range coder for token ids, run over many blocks in lockstep.
 
-Each block starts from an empty model, has a CRC-32 of its ids and can be decoded alone.  The model
-predicts the next id twice: order 2 (a hash of the two ids before) and order 1 (the id before),
-each with a confidence.  The two confidences pick an adaptive mixing slot that gives the
-probabilities of "order 2 is right", "order 1 is right" and "neither"; in the last case the id
-is coded with order-0 counts of its upper bits.  The arithmetic coder keeps a 48-bit range and
-emits 16 bits at a time; a carry is added to the words before at once.
+Each block starts from an empty model, has a CRC-32 of its ids and can be decoded alone.  The next id's
+distribution is a mixture of three predictions.  Order 2 (a hash of the two ids before) and order 1 (the id before) each
+name an id with a confidence; order 0 has adaptive counts of all ids.  The two confidences pick a slot whose adaptive weights mix
+them: w2 for the id of order 2, w1 for that of order 1, the rest for order 0's distribution.  Where both name
+the same id, their weights add up.
+
+Order 0 counts ids by their upper part (up to 1,024 of them), then in two trees of eight branches within it, whose counts adapt to every id; of vocabularies
+beyond 2**16 the lowest bits are coded as equally likely.  An id that a higher order names is coded by that order's weight alone, without
+order 0's share of it: that keeps intervals in one piece, and costs little (README has the figure).
 
+The arithmetic coder keeps a 48-bit range and
+emits 16 bits at a time; a carry is added to the words before at once.
 A block is one lane of a numpy array, so a step codes one id in every block at once.
 """
 
@@ -20,10 +25,34 @@ import numpy as np
 U = np.uint64
 BLOCK = 4096
 SLOTS = 11  # bits of a prediction table's index
-HI, REFRESH, TOTAL = 256, 128, 16
+HI, REFRESH, TOTAL = 1024, 128, 16
+#: Bits of an id below its upper part that the trees count: three for each.
+FINE = 6
+#: What an id's occurrence adds to its counts; a tree's eight counts are bytes of a word, so their sum stays below 256.
+STEP, MOST = 16, 239
+ONES, BEFORE, HALF = U(0x0101010101010101), U(0x0101010101010100), U(0x7F7F7F7F7F7F7F7F)
 #: Header of a coded frame: magic, bits of an id's lower part, blocks, ids; then for each block its ids, 16-bit words and CRC-32.
 HEAD, EACH = struct.Struct("<4sBxxxIQ"), np.dtype([("n", "<u4"), ("words", "<u4"), ("crc", "<u4")])
-MAGIC = b"TLR1"
+MAGIC = b"TLR2"
+
+
+def _span(node: np.ndarray, at: np.ndarray):
+    """Of eight counts packed in each word: the sum of those before branch ``at``, its own, and of all."""
+    shift = (at << 3).astype(U)
+    return (node * BEFORE) >> shift & U(255), node >> shift & U(255), (node * ONES) >> U(56)
+
+
+def _branch(node: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The branch whose counts hold u, by binary search in the packed sums."""
+    sums, at = node * BEFORE, np.zeros(len(u), U)
+    for step in (4, 2, 1):
+        at += (sums >> (at + U(step) << U(3)) & U(255) <= u) * U(step)
+    return at.astype(np.int64)
+
+
+def _learned(node: np.ndarray, at: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The counts after branch ``at`` occurred; halved, but to 1 at least, before they would not fit a byte."""
+    return np.where(total > U(MOST), (node >> U(1) & HALF) + (node & ONES), node) + (U(STEP) << (at << 3).astype(U))
 
 
 class _Model:
@@ -36,6 +65,7 @@ class _Model:
         self.m2, self.m1 = np.full(lanes << 8, 1 << 14, np.int64), np.full(lanes << 8, 1 << 13, np.int64)
         self.row = np.arange(lanes, dtype=np.int64) << 8
         self.count = np.ones((lanes, HI), np.int32)
+        self.trees = np.full(lanes * HI, ONES), np.full(lanes * HI * 8, ONES)
         self.cum = np.empty((lanes, HI + 1), np.int32)
         self.flat = self.cum.reshape(-1)
         self.p1 = np.zeros(lanes, np.int64)
@@ -55,13 +85,16 @@ class _Model:
         self.slot = self.row[:a] + ((self.e2 & 15) << 4 | self.e1 & 15)
         self.f2, self.g1 = self.m2.take(self.slot), self.m1.take(self.slot)
         rest = (1 << TOTAL) - self.f2
-        self.f1 = np.minimum(np.maximum(rest * self.g1 >> TOTAL, 1), rest - 1)
-        return self.e1 >> 4, self.e2 >> 4
+        f1 = np.minimum(np.maximum(rest * self.g1 >> TOTAL, 1), rest - 1)
+        c1, c2 = self.e1 >> 4, self.e2 >> 4
+        self.both = c1 == c2
+        self.w2, self.w1 = self.f2 + np.where(self.both, f1, 0), np.where(self.both, 0, f1)
+        return c1, c2
 
     def update(self, a: int, x, hit1, hit2, same1):
         """Learn id x; hit1: order 1 coded it; same1: order 1 predicted it; hit2: order 2 did both."""
         self.m2[self.slot] = self.f2 + (np.where(hit2, 65300, 300) - self.f2 >> 5)
-        self.m1[self.slot] = np.where(hit2, self.g1, self.g1 + (np.where(hit1, 65300, 300) - self.g1 >> 5))
+        self.m1[self.slot] = np.where(hit2 | self.both, self.g1, self.g1 + (np.where(hit1, 65300, 300) - self.g1 >> 5))
         new = x.astype(np.uint32) << 4 | np.uint32(1)
         for t, i, e, same in ((self.t1, self.i1, self.e1, same1), (self.t2, self.i2, self.e2, hit2)):
             c = e & 15
@@ -119,7 +152,17 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
         low[i] = (part & mask) << U(16)
         size[i] <<= U(16)
 
-    lit_shift = U(TOTAL + low_bits)
+    flat_bits = low_bits - FINE
+    upper, lower = model.trees
+
+    def narrow(i, node, at):
+        """Code branch ``at`` of the trees' nodes."""
+        before, own, total = _span(node, at)
+        r = size[i] // total
+        low[i] += r * before
+        size[i] = r * own
+        return total
+
     for t, a in enumerate(running):
         if t % REFRESH == 0:
             model.refresh(a)
@@ -127,7 +170,7 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
         c1, c2 = model.predict(a)
         hit2, same1 = c2 == x, c1 == x
         hit1 = same1 & ~hit2
-        f2, f1 = model.f2, model.f1
+        f2, f1 = model.w2, model.w1
         miss = ~(hit1 | hit2)
         cum = np.where(hit2, 0, np.where(hit1, f2, f2 + f1))
         freq = np.where(hit2, f2, np.where(hit1, f1, (1 << TOTAL) - f2 - f1))
@@ -140,12 +183,29 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
         i = np.flatnonzero(miss)
         if len(i):
             xi = x[i]
-            hi, lo = xi >> low_bits, xi & ((1 << low_bits) - 1)
+            hi, fine = xi >> low_bits, xi >> flat_bits & ((1 << FINE) - 1)
             from_, to = model.frequencies(i, hi)
-            r = size[i] >> lit_shift
-            low[i] += r * ((from_ << low_bits) + lo * (to - from_)).astype(U)
+            r = size[i] >> U(TOTAL)
+            low[i] += r * from_.astype(U)
             size[i] = r * (to - from_).astype(U)
             model.count[i, hi] += 24
+            j = i[size[i] < floor]
+            if len(j):
+                shift(j)
+            first, second = fine >> 3, fine & 7
+            place = i * HI + hi
+            node = upper[place]
+            upper[place] = _learned(node, first, narrow(i, node, first))
+            place = place * 8 + first
+            node = lower[place]
+            lower[place] = _learned(node, second, narrow(i, node, second))
+            if flat_bits:
+                j = i[size[i] < floor]
+                if len(j):
+                    shift(j)
+                r = size[i] >> U(flat_bits)
+                low[i] += r * (xi & ((1 << flat_bits) - 1)).astype(U)
+                size[i] = r
             while len(i := i[size[i] < floor]):
                 shift(i)
         model.update(a, x, hit1, hit2, same1)
@@ -170,18 +230,29 @@ def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int) -> list[n
     model = _Model(lanes)
     w = words[:, :3].astype(U)
     code, size, at = w[:, 0] << U(32) | w[:, 1] << U(16) | w[:, 2], np.full(lanes, 1 << 48, U), np.full(lanes, 3, np.int64)
-    floor, lit_shift, top = U(1 << 32), U(TOTAL + low_bits), (1 << TOTAL) - 1
+    floor, top, flat_bits = U(1 << 32), (1 << TOTAL) - 1, low_bits - FINE
+    upper, lower = model.trees
 
     def shift(i):
         code[i] = code[i] << U(16) | flat[begin[i] + np.minimum(at[i], width - 1)].astype(U)
         at[i] += 1
         size[i] <<= U(16)
 
+    def branch(i, node):
+        """The branch that comes next, and the sum of the node's counts."""
+        total = (node * ONES) >> U(56)
+        r = size[i] // total
+        found = _branch(node, np.minimum(code[i] // r, total - U(1)))
+        before, own, _ = _span(node, found)
+        code[i] -= r * before
+        size[i] = r * own
+        return found, total
+
     for t, a in enumerate(running):
         if t % REFRESH == 0:
             model.refresh(a)
         c1, c2 = model.predict(a)
-        f2, f1 = model.f2, model.f1
+        f2, f1 = model.w2, model.w1
         r = size[:a] >> U(TOTAL)
         v = np.minimum((code[:a] // r).astype(np.int64), top)
         hit2 = v < f2
@@ -197,16 +268,34 @@ def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int) -> list[n
         x = np.where(hit2, c2, c1).astype(np.int64)
         i = np.flatnonzero(miss)
         if len(i):
-            r = size[i] >> lit_shift
-            v = np.minimum((code[i] // r).astype(np.int64), (1 << (TOTAL + low_bits)) - 1)
-            u = v >> low_bits
-            hi = model.upper(i, u)
+            r = size[i] >> U(TOTAL)
+            hi = model.upper(i, np.minimum((code[i] // r).astype(np.int64), top))
             from_, to = model.frequencies(i, hi)
-            lo = (v - (from_ << low_bits)) // (to - from_)
-            code[i] -= r * ((from_ << low_bits) + lo * (to - from_)).astype(U)
+            code[i] -= r * from_.astype(U)
             size[i] = r * (to - from_).astype(U)
-            x[i] = hi << low_bits | lo
             model.count[i, hi] += 24
+            j = i[size[i] < floor]
+            if len(j):
+                shift(j)
+            place = i * HI + hi
+            node = upper[place]
+            first, total = branch(i, node)
+            upper[place] = _learned(node, first, total)
+            place = place * 8 + first
+            node = lower[place]
+            second, total = branch(i, node)
+            lower[place] = _learned(node, second, total)
+            xi = hi << FINE | first << 3 | second
+            if flat_bits:
+                j = i[size[i] < floor]
+                if len(j):
+                    shift(j)
+                r = size[i] >> U(flat_bits)
+                rest = np.minimum(code[i] // r, U((1 << flat_bits) - 1))
+                code[i] -= r * rest
+                size[i] = r
+                xi = xi << flat_bits | rest.astype(np.int64)
+            x[i] = xi
             while len(i := i[size[i] < floor]):
                 shift(i)
         ids[t, :a] = x
@@ -218,9 +307,9 @@ def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int) -> list[n
 
 
 def low_bits_for(vocabulary: int) -> int:
-    """Bits of an id's lower part, so that its upper part is below 256."""
-    bits = max(8, max(1, vocabulary - 1).bit_length() - 8)
-    if bits > 16:
+    """Bits of an id's lower part, so that its upper part is below ``HI``."""
+    bits = max(FINE, max(1, vocabulary - 1).bit_length() - 10)
+    if bits > 14:
         raise ValueError("ids must be below 2**24")
     return bits
 

@@ -5,7 +5,7 @@ n_ids, doc_ids, n_tokens, payload), where the payload is a stream of :mod:`range
 doc_id, in order.  Writing goes through Spark's commit protocol, so a lost executor's tasks run
 again and leave no half-written file; reading needs nothing but the folder.
 
-A null text is empty: its document has the end id alone.  Null doc_ids come first.  Rows
+A null text is empty: its document has the end id alone.  doc_id may have any type that sorts; null ones come first.  Rows
 with one doc_id are ordered by text; extra columns are ignored; an empty table gives an empty
 file set.
 """
@@ -22,11 +22,14 @@ from pyspark.sql.window import Window
 
 from tidelog.llm import rangecoder
 from tidelog.llm.common import scratch
+from tidelog.llm.kernels import trim
 
 #: Ids of a frame, about; and of the frames coded in lockstep.
-FRAME, TOGETHER = 1 << 20, 1 << 22
+FRAME, TOGETHER = 1 << 20, 3 << 20
 #: Words of a generation; a Python worker keeps the ids of two.
-CACHE = 200_000
+CACHE = 150_000
+#: Code points of a part, about.
+PART = 1 << 28
 
 
 class Encoder:
@@ -34,7 +37,8 @@ class Encoder:
 
     A text is cut at spaces and line feeds only, which the tokenizer drops; each piece goes through the
     library unchanged.  That is valid for tokenizers which treat white space as a word
-    boundary and drop it, which is checked when loading.
+    boundary and drop it.  ASCII letters with a full stop or comma after them are two pieces for a tokenizer that parts letters from marks.  Both are
+    checked against the library when loading, over words of the vocabulary itself; texts go through the library whole if the first does not hold.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -53,9 +57,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.old = Tokenizer.from_file(self.path), {}, {}
-        probe = "Ab c\ndé, f's 'll x"
-        whole = self.tok.encode(probe, add_special_tokens=False).ids
-        self.pieces = whole == np.frombuffer(b"".join(self._encode(probe.split())), np.uint32).tolist()
+        self.pieces = self.marks = True
+        letters = [w for w in (v.removesuffix("</w>") for v in sorted(self.tok.get_vocab())[::20]) if w.isascii() and w.isalpha()]
+        probes = ["Ab c\ndé, f's 'll x", " ".join(letters), "\n".join(w + ".," for w in letters[::7])]
+        for probe in probes:
+            words = probe.split()
+            self.pieces &= self.tok.encode(probe, add_special_tokens=False).ids == np.frombuffer(b"".join(self._encode(words)), np.uint32).tolist()
+        stop, comma = self._encode([".", ","])
+        ids = self._encode(letters)
+        for mark, end in ((".", stop), (",", comma)):
+            self.marks &= self._encode([w + mark for w in letters]) == [i + end for i in ids]
+        trim()
 
     def __call__(self, texts: list) -> list[np.ndarray]:
         if self.tok is None:
@@ -71,7 +83,7 @@ class Encoder:
         new = [w for w in new if w not in known]
         fresh = {}
         for w in new:  # letters and one mark are two pieces for any such tokenizer, so fewer words go through the library
-            if w[-1:] in (".", ",") and w[:-1].isascii() and w[:-1].isalpha():
+            if self.marks and w[-1:] in (".", ",") and w[:-1].isascii() and w[:-1].isalpha():
                 fresh[w] = w[:-1]
         ask = list({w for w in new if w not in fresh} | {w for w in (*fresh.values(), ".", ",") if w not in known})
         known.update(zip(ask, self._encode(ask), strict=True))
@@ -98,14 +110,17 @@ class Encoder:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int | None = None) -> None:
     """Write ``docs`` as token ids to ``path``."""
     encoder = Encoder(tokenizer, end_id)
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not parts:
+        points = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-points // PART))
 
     def encode(batches):
         import pyspark
-        from tokenizers import Tokenizer
 
-        bits = rangecoder.low_bits_for(max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1))
-        part, frame = pyspark.TaskContext.get().partitionId(), 0
+        if encoder.tok is None:
+            encoder.load()
+        bits = rangecoder.low_bits_for(max(encoder.tok.get_vocab_size(), end_id + 1))
+        part, frame, kind = pyspark.TaskContext.get().partitionId(), 0, None
         held, ids, names, n = [], [], [], 0
 
         def close():
@@ -117,12 +132,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
         def flush():
             nonlocal frame
             for (x, docs_, lens), payload in zip(held, rangecoder.encode_frames([h[0] for h in held], bits), strict=True):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "frame": pa.array([frame], pa.int32()), "n_ids": pa.array([len(x)], pa.int64()), "doc_ids": pa.array([docs_], pa.list_(pa.int64())), "n_tokens": pa.array([lens], pa.list_(pa.int64())), "payload": pa.array([payload], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "frame": pa.array([frame], pa.int32()), "n_ids": pa.array([len(x)], pa.int64()), "doc_ids": pa.array([docs_], pa.list_(kind)), "n_tokens": pa.array([lens], pa.list_(pa.int64())), "payload": pa.array([payload], pa.binary())})
                 frame += 1
             held.clear()
 
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1)
+            keys, texts, kind = b.column(0).to_pylist(), b.column(1), b.schema.field(0).type
             for k in range(0, len(keys), 64):
                 for key, x in zip(keys[k : k + 64], encoder(texts.slice(k, 64).to_pylist()), strict=True):
                     ids.append(x), names.append(key)
@@ -133,9 +148,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
                             yield from flush()
         close()
         yield from flush()
+        trim()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, "part int, frame int, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary").write.parquet(path)
+    rows = docs.select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows.mapInArrow(encode, f"part int, frame int, n_ids long, doc_ids array<{docs.schema['doc_id'].dataType.simpleString()}>, n_tokens array<long>, payload binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
@@ -146,13 +162,15 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     starts = frames.select("part", "frame", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("before_frame")).join(F.broadcast(before), "part").select("part", "frame", (F.col("before_part") + F.col("before_frame")).alias("begin"))
     placed = frames.select("part", "frame", "doc_ids", "n_tokens", "payload").join(starts, ["part", "frame"]).select("begin", "doc_ids", "n_tokens", "payload")
     kind = pa.int64() if digest else pa.list_(pa.int64())
+    id_kind = frames.schema["doc_ids"].dataType.elementType.simpleString()
 
     def decode(batches):
         for b in batches:
             for k in range(0, b.num_rows, TOGETHER // FRAME):
                 part = b.slice(k, TOGETHER // FRAME)
-                begins, names, lens, payloads = (c.to_pylist() for c in part.columns)
-                for begin, doc_ids, n, ids in zip(begins, names, lens, rangecoder.decode_frames(payloads), strict=True):
+                begins, lens, payloads = (part.column(c).to_pylist() for c in (0, 2, 3))
+                names = part.column(1)
+                for begin, doc_ids, n, ids in zip(begins, (names.slice(i, 1).flatten() for i in range(len(names))), lens, rangecoder.decode_frames(payloads), strict=True):
                     ends = np.cumsum(n)
                     first = ends - n
                     raw = ids.astype("<u4")
@@ -160,10 +178,11 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                         last = [zlib.crc32(raw[i:j].tobytes()) for i, j in zip(first, ends, strict=True)]
                     else:
                         last = [raw[i:j].astype(np.int64) for i, j in zip(first, ends, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(first + begin, pa.int64()), pa.array(n, pa.int64()), pa.array(last, kind)], ["doc_id", "start", "n_tokens", "last"])
+                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(first + begin, pa.int64()), pa.array(n, pa.int64()), pa.array(last, kind)], ["doc_id", "start", "n_tokens", "last"])
+        trim()
 
     name = "ids_crc32" if digest else "ids"
-    return placed.mapInArrow(decode, f"doc_id long, start long, n_tokens long, last {'long' if digest else 'array<long>'}").withColumnRenamed("last", name)
+    return placed.mapInArrow(decode, f"doc_id {id_kind}, start long, n_tokens long, last {'long' if digest else 'array<long>'}").withColumnRenamed("last", name)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

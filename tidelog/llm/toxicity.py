@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.common import cut
+from tidelog.llm.kernels import trim
 from tidelog.llm.labelled import SAMPLE_ROWS, fold, in_slices, sample
 from tidelog.llm.quality import _logistic
 
@@ -252,6 +253,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut
         for b in batches:
             s = apply(w, in_slices(scorer.features, b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= cut_at).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+        trim()
 
     rows_in = docs.select("doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "text")
     return rows_in.mapInArrow(mark, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
@@ -265,5 +267,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0
     def keep(batches):
         for b in batches:
             yield b.filter(pa.array(apply(w, in_slices(scorer.features, b.column(at))) < cut_at))
+        trim()
 
     return docs.mapInArrow(keep, docs.schema)
