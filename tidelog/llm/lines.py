@@ -1,17 +1,19 @@
 """Line dedup: exact and fuzzy, in DataFrame operations only.
 
 1. A line is normalised: lower case, white space collapsed and trimmed.  Equal normalised lines are one class.
-2. A line's features are its distinct words, or the runs of three characters of a line with fewer than ``WORDS`` words.  They are hashed and
+2. A line's features are its distinct words; the runs of three characters of a line with fewer than ``WORDS`` of them; the pairs of neighbouring words of a line with more than
+   ``MANY`` distinct ones, as long texts of one language have most of their words in common.  They are hashed and
    put in the order of their hashes, words of up to ``SHORT`` letters last, as they are common to lines that have nothing else in common.
-3. Pigeonhole blocks: each run of ``RUN`` features among the first ``POSITIONS`` in that order is a key.  If d of these places of two
+3. Pigeonhole blocks: each run of ``RUN`` features among the first ``POSITIONS`` (of a long line ``LONG``) in that order is a key; in lines with ``ENOUGH``
+   longer words, one of them may be short.  If d of these places of two
    lines differ, the others make up d + 1 runs at most, so some run is long enough for a common key wherever more than (RUN - 1) * (d + 1) agree:
    always for up to 3 of 14.  Beyond that it is a matter of chance; README gives measured recall.
    Keys of 64 bits keep buckets apart whatever the number of lines.
 4. A 64-bit odd sketch of the first ``SKETCHED`` features (each flips a bit) tells by its bits that differ how many features differ.  Of a bucket, each class is
    first held against the least one; after that only pairs that are not connected yet are made.  So a hot
    group of n variants gives rows in proportion to n, and connectivity is that of all candidates.
-5. Pairs are verified by edit similarity of the normalised lines: 1 - distance / longer length, in characters.  Where the
-   lines have as many words, the sum of distances word by word comes first: it is never below the distance.
+5. Pairs are verified by edit similarity of the normalised lines: 1 - distance / longer length, in characters.  Words that both lines have are
+   anchors; where they come in one order, the sum of distances between them comes first: it is never below the distance, and nearly always enough.
 6. Of each connected group of classes the first occurrence stays, by doc_id, then line number.
 
 SimHashes joined on blocks of equal bits do not serve here: lines at the similarity differ in too many bits (figures in README).  The order of
@@ -29,11 +31,14 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import components, cut, marked, row_key
 
 SIMILARITY = 0.8
-POSITIONS, RUN, SKETCHED = 14, 3, 32
-#: Words of so many letters at most come last in the order; they bear this bit, above the 60 of the others.  Lines of fewer words are taken by characters.
-SHORT, MARK, WORDS = 4, 1 << 60, 6
-#: Bits of two sketches that differ at most: of all 64, and for each feature of the line that has fewer.
-BITS, SHARE = 20, 0.8
+POSITIONS, LONG, RUN, SKETCHED = 14, 40, 3, 32
+#: Words of so many letters at most come last in the order; they bear this bit, above the 60 of the others.
+SHORT, MARK, WORDS, MANY = 4, 1 << 60, 6, 512
+#: Longer words that make runs of short ones needless as keys.
+ENOUGH = 8
+#: Bits of two sketches that differ at most, by the kind of features: of all 64, and for each feature of a line that has fewer.  One edit changes one or two words, two or
+#: three pairs of words, and three runs of characters, but lines of one language share many of these.
+BITS = {"words": (16, 0.55), "runs": (11, 0.33), "pairs": (21, 1.0)}
 
 
 def normalised(rows: DataFrame, line: str = "line", name: str = "norm") -> DataFrame:
@@ -49,19 +54,42 @@ def _long(x: int) -> Column:
     return F.lit(x - (1 << 64) if x >= 1 << 63 else x).cast("bigint")
 
 
-def features(norm: Column) -> Column:
-    """array of the hashes of a line's features, in their order."""
-    word = lambda w: F.xxhash64(w).bitwiseAND(_long(MARK - 1)).bitwiseOR(F.when(F.length(w) <= SHORT, _long(MARK)).otherwise(_long(0)))
-    words = F.split(norm, " ")
-    by_word = F.transform(words, word)
-    by_run = F.transform(F.sequence(F.lit(1), F.greatest(F.length(norm) - 2, F.lit(1))), lambda i: F.xxhash64(F.substr(norm, i, F.lit(3))).bitwiseAND(_long(MARK - 1)))
-    return F.sort_array(F.array_distinct(F.when(F.size(words) < WORDS, by_run).otherwise(by_word)))
+#: Characters between anchors at most; where there are more, the bounded distance of the whole lines takes less time.
+GAP = 2000
 
 
-def keys(ordered: Column) -> Column:
+def _once(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f uses it: columns of a frame are copied into the filters above them."""
+    return F.transform(F.array(value), f)[0]
+
+
+def features(rows: DataFrame, norm: str = "norm") -> DataFrame:
+    """``rows`` with f, the hashes of a line's features in their order, and kind, in the line's place."""
+    low = lambda h: h.bitwiseAND(_long(MARK - 1))
+    word = lambda w: low(F.xxhash64(w)).bitwiseOR(F.when(F.length(w) <= SHORT, _long(MARK)).otherwise(_long(0)))
+    words = F.sort_array(F.array_distinct(F.transform(F.split(norm, " "), word)))
+    text = F.col(norm)
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: low(F.xxhash64(F.substr(text, i, F.lit(3)))))
+    pairs = _once(F.split(norm, " "), lambda ws: F.transform(ws, lambda w, i: low(F.xxhash64(w, F.get(ws, i + 1)))))
+    rows = rows.withColumn("words_", words)
+    kind = F.when(F.size("words_") < WORDS, "runs").when(F.size("words_") > MANY, "pairs").otherwise("words")
+    ordered = lambda x: F.sort_array(F.array_distinct(x))
+    return rows.withColumn("kind", kind).withColumn("f", F.when(F.col("kind") == "words", F.col("words_")).when(F.col("kind") == "runs", ordered(runs)).otherwise(ordered(pairs))).drop("words_", norm)
+
+
+def keys(ordered: Column, kind: Column) -> Column:
     """The keys of a line, from its features in order: a hash of each run."""
-    runs = F.array(*(F.xxhash64(*(F.get(ordered, F.lit(i + j)) for j in range(RUN))) for i in range(POSITIONS - RUN + 1)))
-    return F.slice(runs, F.lit(1), F.greatest(F.size(ordered) - (RUN - 1), F.lit(0)))
+    at = lambda i: F.get(ordered, F.lit(i))
+    key = lambda i: F.xxhash64(*(at(i + j) for j in range(RUN)))
+    all_ = at(POSITIONS - 1).isNull() | (at(ENOUGH - 1) >= _long(MARK))
+    runs = (F.when(at(i + RUN - 1).isNotNull() & ((at(i + RUN - 2) < _long(MARK)) | all_), key(i)) for i in range(POSITIONS - RUN + 1))
+    return F.array_compact(F.when(kind == "pairs", F.array(*(key(i) for i in range(LONG - RUN + 1)))).otherwise(F.array(*runs)))
+
+
+def bits(n: Column, kind: Column) -> Column:
+    """Bits of a sketch of n features that may differ."""
+    most = {k: F.least(F.lit(whole), share * n + 1).cast("int") for k, (whole, share) in BITS.items()}
+    return F.when(kind == "words", most["words"]).when(kind == "runs", most["runs"]).otherwise(most["pairs"])
 
 
 def sketch(ordered: Column) -> Column:
@@ -80,9 +108,9 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame) -> DataFrame:
-    """A slim row for each line, written once: (doc_id, key_, no, h1, h2, node, size, n, sketch, keys); n is the number of features sketched."""
-    slim = lines(docs).select("doc_id", "key_", "no", "h1", "h2", F.length("norm").alias("size"), features(F.col("norm")).alias("f"))
-    return cut(slim.select("doc_id", "key_", "no", "h1", "h2", "size", F.least(F.size("f"), F.lit(SKETCHED)).alias("n"), sketch(F.col("f")).alias("sketch"), keys(F.col("f")).alias("keys")))
+    """A slim row for each line, written once: (doc_id, key_, no, h1, h2, size, most, sketch, keys); most is the number of its sketch's bits that may differ."""
+    slim = features(lines(docs).select("doc_id", "key_", "no", "h1", "h2", F.length("norm").alias("size"), "norm"))
+    return cut(slim.select("doc_id", "key_", "no", "h1", "h2", "size", bits(F.least(F.size("f"), F.lit(SKETCHED)), F.col("kind")).alias("most"), sketch(F.col("f")).alias("sketch"), keys(F.col("f"), F.col("kind")).alias("keys")))
 
 
 def classes(all_lines: DataFrame) -> DataFrame:
@@ -92,21 +120,20 @@ def classes(all_lines: DataFrame) -> DataFrame:
 
 
 def _near(a: str, b: str, similarity: float) -> Column:
-    """Sketches that allow enough common features, and lengths that allow the similarity.  a, b: structs (size, n, sketch)."""
+    """Sketches that allow enough common features, and lengths that allow the similarity.  a, b: structs (size, most, sketch)."""
     a, b = F.col(a), F.col(b)
-    bits = F.bit_count(a["sketch"].bitwiseXOR(b["sketch"]))
-    return (bits <= F.least(F.lit(BITS), SHARE * F.least(a["n"], b["n"]) + 1)) & (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-9)
+    return (F.bit_count(a["sketch"].bitwiseXOR(b["sketch"])) <= F.least(a["most"], b["most"])) & (F.least(a["size"], b["size"]) >= similarity * F.greatest(a["size"], b["size"]) - 1e-9)
 
 
 def buckets(all_lines: DataFrame) -> DataFrame:
-    """(k, leader, node, s): the classes of each key that several classes have, with its least class; s has size, n and sketch.
+    """(k, leader, node, s): the classes of each key that several classes have, with its least class; s has size, most and sketch.
 
     A first pass finds such keys, combining before its shuffle, so a common line is a row for each task; only their rows are then shuffled.
     """
-    placed = all_lines.select(F.xxhash64("h1", "h2").alias("node"), F.struct("size", "n", "sketch").alias("s"), F.explode("keys").alias("k"))
+    placed = all_lines.select(F.xxhash64("h1", "h2").alias("node"), F.struct("size", "most", "sketch").alias("s"), F.explode("keys").alias("k"))
     shared = cut(placed.groupBy("k").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("k", "leader"))
-    held = marked(placed.select("node", "s.size", "s.n", "s.sketch", "k"), shared, "k").where("marked").join(shared, "k")
-    return cut(held.groupBy("k", "leader", "node", "size", "n", "sketch").agg(F.lit(1).alias("x")).select("k", "leader", "node", F.struct("size", "n", "sketch").alias("s")))
+    held = marked(placed.select("node", "s.size", "s.most", "s.sketch", "k"), shared, "k").where("marked").join(shared, "k")
+    return cut(held.groupBy("k", "leader", "node", "size", "most", "sketch").agg(F.lit(1).alias("x")).select("k", "leader", "node", F.struct("size", "most", "sketch").alias("s")))
 
 
 def texts_of(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -119,22 +146,54 @@ def texts_of(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(normalised(held.select(F.inline("want"))).select("node", "norm").dropDuplicates(["node"]))
 
 
+def _apart(p: Column, anchor, anchors, between) -> Column:
+    """The sum of distances between the anchors of a pair, or null if they come in different orders.
+
+    p: struct of words wa and wb, of ta and tb, what each word is looked up by, and of o, by which ``anchor`` tells an anchor and ``anchors`` finds all of a
+    line.  ``between``: distance of two texts.
+    """
+    # What lies between anchors, as texts.  A line never holds the mark, which is white space.
+    marked_ = lambda w, t: F.transform(w, lambda x, i: F.when(anchor(p, F.get(t, i)), F.lit("\n")).otherwise(x))
+    texts = lambda w, t: F.split(F.array_join(marked_(w, t), " "), " ?\n ?")
+    # Where one text is empty and the other is not, there is a space more, too.
+    one = lambda x, y: F.when(x == y, 0).otherwise(between(x, y) + ((x == "") != (y == "")).cast("int"))
+    each = F.zip_with(texts(p["wa"], p["ta"]), texts(p["wb"], p["tb"]), one)
+    return F.when(anchors(p, p["ta"]) == anchors(p, p["tb"]), F.aggregate(each, F.lit(0), lambda acc, x: acc + x))
+
+
+def _repeated(words: Column) -> Column:
+    """The words that occur more than once."""
+    return _once(F.sort_array(words), lambda w: F.array_distinct(F.filter(w, lambda x, i: x.eqNullSafe(F.get(w, i + 1)))))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose edit similarity over characters reaches the threshold."""
     ta, tb = texts.select(F.col("node").alias("a"), F.col("norm").alias("na")), texts.select(F.col("node").alias("b"), F.col("norm").alias("nb"))
     limit = F.floor((1 - similarity) * F.greatest(F.length("na"), F.length("nb")) + 1e-9).cast("int")
-    # Null, so not at once, where one line has more words.
-    each = F.zip_with(F.split("na", " "), F.split("nb", " "), lambda x, y: F.when(x == y, 0).otherwise(F.levenshtein(x, y)))
-    at_once = F.coalesce(F.aggregate(each, F.lit(0), lambda acc, x: acc + x) <= F.col("limit"), F.lit(False))
-    exact = F.call_function("levenshtein", "na", "nb", F.col("limit")).between(F.lit(0), F.col("limit"))
-    return pairs.join(ta, "a").join(tb, "b").withColumn("limit", limit).where(F.when(at_once, True).otherwise(exact)).select("a", "b")
+    words = F.struct(F.split("na", " ").alias("wa"), F.split("nb", " ").alias("wb"))
+    # Anchors are first all words that both lines have, then some of the pairs of neighbouring words that each has once: more would take longer to look up, fewer leave long
+    # texts between.
+    others = lambda p: F.struct(p["wa"].alias("wa"), p["wb"].alias("wb"), p["wa"].alias("ta"), p["wb"].alias("tb"), F.array_union(F.array_except(p["wa"], p["wb"]), F.array_except(p["wb"], p["wa"])).alias("o"))
+    shared = lambda p, x: ~F.array_contains(p["o"], x)
+    by_all = lambda q: F.when(F.size(q["o"]) <= F.size(q["wa"]), _apart(q, shared, lambda p, line: F.filter(line, lambda x: shared(p, x)), F.levenshtein))
+    near = lambda x, y: F.when(F.greatest(F.length(x), F.length(y)) <= GAP, F.levenshtein(x, y))
+    pairs_of = lambda w: F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
+    paired = lambda p: F.struct(p["wa"].alias("wa"), p["wb"].alias("wb"), pairs_of(p["wa"]).alias("ta"), pairs_of(p["wb"]).alias("tb"))
+    once = lambda p: F.array_except(F.array_intersect(p["ta"], p["tb"]), F.array_union(_repeated(p["ta"]), _repeated(p["tb"])))
+    spread = lambda u: F.filter(u, lambda x, i: i % F.ceil(F.sqrt(F.size(u)) / 4) == 0)
+    single = lambda p: F.struct(*(p[c].alias(c) for c in ("wa", "wb", "ta", "tb")), _once(once(p), spread).alias("o"))
+    by_pair = lambda q: _apart(q, lambda p, x: F.array_contains(p["o"], x), lambda p, line: F.array_intersect(line, p["o"]), near)
+    first, second = _once(words, lambda w: _once(others(w), by_all)), _once(words, lambda w: _once(paired(w), lambda p: _once(single(p), by_pair)))
+    exact = F.call_function("levenshtein", "na", "nb", limit).between(F.lit(0), limit)
+    reach = lambda d: F.coalesce(d <= limit, F.lit(False))
+    return pairs.join(ta, "a").join(tb, "b").where(F.when(reach(first), True).when(reach(second), True).otherwise(exact)).select("a", "b")
 
 
 def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h1, h2, first) of each class of equal lines with copies or links: the first occurrence in its group."""
     found = cut(classes(all_lines))
     shared = buckets(all_lines)
-    own = shared.select(F.col("node").alias("leader"), F.col("s").alias("sl")).distinct()
+    own = cut(shared.select(F.col("node").alias("leader"), F.col("s").alias("sl")).distinct())
     # First every class against the leader of its bucket: as many pairs as classes.
     stars = cut(shared.where("node <> leader").join(own, "leader").where(_near("s", "sl", similarity)).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     # Then the pairs of a bucket that are not connected yet; a group that the stars connect gives none.
