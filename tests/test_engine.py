@@ -161,3 +161,73 @@ def test_metrics(spark, tmp_path):
         m.gauge("changes_total", 1)
     with pytest.raises(ValueError):
         m.count("changes_total", -1)
+
+
+def test_unknown_relation_and_width_are_errors(spark):
+    from pyspark.errors import PySparkException
+
+    rel = struct.pack(">I", 7)
+    head = [frame("R", rel, b"public\0t\0d", struct.pack(">H", 1), b"\1id\0", struct.pack(">Ii", 23, -1)), frame("B", struct.pack(">QqI", 100, 0, 5))]
+    for bad in (frame("I", struct.pack(">I", 8), b"N", tup("1")), frame("I", rel, b"N", tup("1", "2"))):
+        m = routing.decode(spark.createDataFrame(list(enumerate(map(bytearray, [*head, bad]))), "seq long, data binary"))
+        with pytest.raises(PySparkException):
+            routing.changes(m).collect()
+    more = [frame("Y", rel, b"public\0mood\0"), frame("O", struct.pack(">Q", 3), b"far\0"), frame("M", b"\0", struct.pack(">Q", 4), b"note\0", struct.pack(">I", 2), b"hi"), frame("b", struct.pack(">QQqI", 1, 2, 0, 9), b"g\0"), frame("P", b"\0", struct.pack(">QQqI", 1, 2, 0, 9), b"g\0"), frame("K", b"\0", struct.pack(">QQqI", 1, 2, 0, 9), b"g\0"), frame("r", b"\0", struct.pack(">QQqqI", 1, 2, 0, 0, 9), b"g\0"), frame("p", b"\0", struct.pack(">QQqI", 1, 2, 0, 9), b"g\0")]
+    got = routing.decode(spark.createDataFrame(list(enumerate(map(bytearray, more))), "seq long, data binary")).orderBy("seq").collect()
+    assert [(r["kind"], r["name"]) for r in got] == [("type", "public.mood"), ("origin", "far"), ("message", "note"), ("begin_prepare", "g"), ("prepare", "g"), ("commit_prepared", "g"), ("rollback_prepared", "g"), ("stream_prepare", "g")]
+    assert got[2]["content"] == b"hi".hex()
+
+
+def test_store_refuses_other_content_and_parts_of_groups(spark, tmp_path):
+    t = store.TableStore(spark, f"file://{tmp_path}/t", buckets=2)
+    one = rows(spark, (1, "i", 1, "a"))
+    t.append({"a": one}, f"{1:016X}", {"a": "x"}, {"a": "g"})
+    with pytest.raises(store.Conflict):
+        t.append({"a": one}, f"{1:016X}", {"a": "y"})
+    with pytest.raises(store.Conflict):
+        t.append({"a": one, "b": one}, f"{1:016X}", groups={"a": "g", "b": "g"})
+    step = t.state()["step"]
+    assert t.create(f"pointer/{step + 1:012d}.json", {"x": 1}) and not t.create(f"pointer/{step + 1:012d}.json", {"x": 2})
+    assert t.load(f"pointer/{step + 1:012d}.json") == {"x": 1}
+
+
+def test_manifest_conflicts(spark, tmp_path):
+    from tidelog.sources import manifest
+
+    q = manifest.Queue(store.TableStore(spark, f"file://{tmp_path}/t"))
+    row = (1, 1, "a.b", "stream", "u", 5, 9, "h", "0" * 16, "1" * 16, 1, "g", 0, 2, None, "ready")
+    one = spark.createDataFrame([row], manifest.ROW)
+    q.publish(one)
+    q.publish(one)
+    assert q.manifest().count() == 1
+    with pytest.raises(store.Conflict):
+        q.publish(spark.createDataFrame([(*row[:7], "other", *row[8:])], manifest.ROW))
+    with pytest.raises(store.Conflict):
+        q.retire(spark.createDataFrame([("a.b", "gg")], "table string, unit string"))
+    with pytest.raises(store.Conflict):
+        q.replace(0, q.manifest())
+
+
+def test_walk_stops_for_a_decision_and_cancelled_steps_publish_nothing(spark, tmp_path):
+    import threading
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tidelog.plans import evolution, versions
+    from tidelog.sources.failures import Repairs
+
+    log = rows(spark, (1, "i", 1, "a")).withColumn("version", F.lit(1))
+    t = versions.Table("a.b", reconcile.empty_mirror(log.drop("version")), ["id"], "0" * 16)
+    with pytest.raises(evolution.Quarantine):
+        versions.walk(t, log, [(1, "0" * 16, {"id": "int", "status": "string"}), (2, f"{2:016X}", {"id": "int", "state": "string"})], "F" * 16)
+    r = Repairs(2)
+    assert [r.failed("a") for _ in range(3)] == ["resnapshot", "resnapshot", "quarantine"] and r.failed("b") == "resnapshot"
+    slow = lambda: spark.range(4).mapInPandas(lambda it: (time.sleep(60) or b for b in it), "id long").count()
+    threading.Timer(4, lambda: apply.cancel(spark, "rebuild")).start()
+    began = time.time()
+    assert apply.cancellable(spark, "rebuild", slow) is None and time.time() - began < 50
+    s = store.TableStore(spark, f"file://{tmp_path}/s")
+    state = apply.cycle(s, ["id"], {"f": rows(spark, (1, "i", 1, "a"))}, f"{1:016X}", {"status": "what"})
+    assert apply.cycle(s, ["id"], {"f": rows(spark, (1, "i", 1, "a"))}, f"{1:016X}", {"status": "what"}) == state
+    assert s.mirror().schema["status"].metadata == {"comment": "what"}

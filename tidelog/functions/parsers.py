@@ -93,6 +93,11 @@ def interval(c: Column, strict: bool = True) -> Column:
     return _checked(c, F.when(ok, whole), "interval", strict)
 
 
+def as_interval(parts: Column) -> Column:
+    """struct(months, days, micros) as one interval, to show it or to add it to a time."""
+    return F.make_interval(months=parts["months"], days=parts["days"], secs=(parts["micros"] / F.lit(1_000_000)).cast("decimal(18,6)"))
+
+
 def timetz(c: Column, strict: bool = True) -> Column:
     """struct(micros long, offset_seconds int); the offset is mandatory."""
     pattern = rf"^{_CLOCK}([+-])(\d{{2}})(?::?(\d{{2}}))?(?::?(\d{{2}}))?$"
@@ -110,25 +115,35 @@ def _unquote(b: Column) -> Column:
     return F.when(b == "", F.lit(None).cast("string")).otherwise(F.regexp_replace(plain, r"\\(.)", "$1"))
 
 
+def _once(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _bounds(c: Column, kind: str) -> Column:
+    """The parts are taken out of the text once, in a struct that the fields are made from."""
     pattern = rf"^([\[(])({_BOUND}),({_BOUND})([\])])$"
-    low, high = _unquote(F.regexp_extract(c, pattern, 2)), _unquote(F.regexp_extract(c, pattern, 3))
-    value = F.struct(
-        low.try_cast(kind).alias("lower"), high.try_cast(kind).alias("upper"),
-        (low.isNotNull() & (F.regexp_extract(c, pattern, 1) == "[")).alias("lower_inc"),
-        (high.isNotNull() & (F.regexp_extract(c, pattern, 4) == "]")).alias("upper_inc"),
-    )
-    bad = (low.isNotNull() & low.try_cast(kind).isNull()) | (high.isNotNull() & high.try_cast(kind).isNull())
-    return F.when(c.rlike(pattern) & ~bad, value)
+    part = lambda i: F.regexp_extract(c, pattern, i)
+    parts = F.struct(part(1).alias("open"), _unquote(part(2)).alias("low"), _unquote(part(3)).alias("high"), part(4).alias("close"))
+    typed = lambda p: F.struct(p["open"].alias("open"), p["low"].alias("low"), p["high"].alias("high"), p["close"].alias("close"), p["low"].try_cast(kind).alias("lower"), p["high"].try_cast(kind).alias("upper"))
+
+    def value(p: Column) -> Column:
+        bad = (p["open"] == "") | (p["low"].isNotNull() & p["lower"].isNull()) | (p["high"].isNotNull() & p["upper"].isNull())
+        made = F.struct(p["lower"].alias("lower"), p["upper"].alias("upper"), (p["low"].isNotNull() & (p["open"] == "[")).alias("lower_inc"), (p["high"].isNotNull() & (p["close"] == "]")).alias("upper_inc"))
+        return F.when(~bad, made)
+
+    return _once(parts, lambda p: _once(typed(p), value))
 
 
 def range_(c: Column, kind: str = "string", strict: bool = True) -> Column:
     """struct(lower, upper, lower_inc, upper_inc, empty); an unbounded side is null and never inclusive."""
-    b = _bounds(c, kind)
     none, no = F.lit(None).cast(kind), F.lit(False)
     empty = F.struct(none.alias("lower"), none.alias("upper"), no.alias("lower_inc"), no.alias("upper_inc"), F.lit(True).alias("empty"))
-    full = F.struct(b["lower"].alias("lower"), b["upper"].alias("upper"), b["lower_inc"].alias("lower_inc"), b["upper_inc"].alias("upper_inc"), F.lit(False).alias("empty"))
-    return _checked(c, F.when(F.lower(c) == "empty", empty).when(b.isNotNull(), full), "range", strict)
+    full = _once(_bounds(c, kind), lambda b: F.when(b.isNotNull(), F.struct(*(b[f].alias(f) for f in ("lower", "upper", "lower_inc", "upper_inc")), no.alias("empty"))))
+    value = F.when(F.lower(c) == "empty", empty).otherwise(full)
+    if not strict:
+        return value
+    return _once(value, lambda v: F.when(c.isNotNull() & v.isNull(), F.raise_error(F.concat(F.lit("malformed range: "), c))).otherwise(v))
 
 
 def multirange(c: Column, kind: str = "string", strict: bool = True) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,6 +75,12 @@ def owner(table: str, workers: list[str]) -> str:
     return max(workers, key=lambda w: (hashlib.sha256(f"{table}\0{w}".encode()).digest(), w))
 
 
+def owners(table: Column, workers: list[str]) -> Column:
+    """:func:`owner` of a column of tables."""
+    ranked = F.array(*(F.struct(F.sha2(F.concat(table, F.lit("\0"), F.lit(w)), 256).alias("h"), F.lit(w).alias("w")) for w in sorted(workers)))
+    return F.array_max(ranked)["w"]
+
+
 def scan_ranges(blocks: int, workers: int, each: int = 4) -> list[tuple[int, int | None]]:
     """Contiguous disjoint page ranges, ``each`` for a worker; the last is open-ended."""
     n = max(1, min(blocks, workers * each))

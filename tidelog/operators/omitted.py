@@ -30,6 +30,7 @@ def fill(winners: DataFrame, history: DataFrame, keys: list[str], mirror: DataFr
         return winners
     edges = cut(renames(history, keys))
     key = F.struct(*keys)
+    history, mirror = _lineage(winners, history, keys, mirror, edges, columns)
     for column in columns:
         found = _lookup(winners, history, keys, mirror, edges, column)
         w = winners.withColumn("k_", key)
@@ -39,6 +40,19 @@ def fill(winners: DataFrame, history: DataFrame, keys: list[str], mirror: DataFr
     return winners
 
 
+def _lineage(winners, history, keys, mirror, edges, columns) -> tuple[DataFrame, DataFrame | None]:
+    """What of history and mirror belongs to keys that omitted values may come from: read once, for all columns and rounds."""
+    key = F.struct(*keys)
+    reach = cut(winners.where("_op <> 'd'").where(F.size("_omitted") > 0).select(key.alias("key")).distinct())
+    seen = reach
+    while reach.limit(1).count():
+        reach = cut(reach.join(edges, F.col("key").eqNullSafe(F.col("new_key"))).select(F.col("old_key").alias("key")).distinct().join(seen.select(F.col("key").alias("k_")), F.col("key").eqNullSafe(F.col("k_")), "left_anti"))
+        seen = cut(seen.union(reach))
+    mine = lambda rows: rows.withColumn("l_", key).join(seen, F.col("l_").eqNullSafe(F.col("key")), "left_semi").drop("l_")
+    setters = cut(mine(history.where("_op in ('i', 'u')").select(*dict.fromkeys([*keys, *columns]), "_op", "_commit_lsn", "_lsn", "_omitted")))
+    return setters, None if mirror is None else cut(mine(mirror))
+
+
 def _lookup(winners, history, keys, mirror, edges, column) -> DataFrame:
     """(winner, found): found is struct(value), so that a null that was set is told from nothing found."""
     key = F.struct(*keys)

@@ -29,6 +29,18 @@ def promote(raw: DataFrame, meta: str = "meta", commit: str | None = None) -> Da
     )
 
 
+def provenance(shared: dict[str, Column], **own: Column) -> Column:
+    """The provenance document of a row as JSON, in the fixed order of its fields; null fields are left out.
+
+    shared: what all rows of a file have in common; it is folded to a constant when the query is planned.
+    """
+    named = shared | own
+    order = [f.split()[0] for f in META_SCHEMA.split(", ")]
+    if unknown := set(named) - set(order):
+        raise ValueError(f"not fields of the provenance: {sorted(unknown)}")
+    return F.to_json(F.struct(*(named[f].alias(f) for f in order if f in named)))
+
+
 def same_key(a: str, b: str, keys: list[str]) -> Column:
     """Null-safe equality of all keys of two aliased frames."""
     return reduce(lambda x, y: x & y, (F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys))
@@ -81,16 +93,19 @@ def empty_mirror(changes: DataFrame) -> DataFrame:
     return changes.select(*columns, F.lit(lsn.ZERO).alias(APPLIED[0]), F.lit(lsn.ZERO).alias(APPLIED[1])).limit(0)
 
 
-def apply_changes(mirror: DataFrame, changes: DataFrame, keys: list[str], after: str | None = None, history: DataFrame | None = None) -> DataFrame:
-    """One incremental step: truncates, winners, omitted values, guarded merge."""
+def apply_changes(mirror: DataFrame, changes: DataFrame, keys: list[str], after: str | None = None, history: DataFrame | None = None, lookup: DataFrame | None = None) -> DataFrame:
+    """One incremental step: truncates, winners, omitted values, guarded merge.
+
+    The mirror may be the part of it that holds the changed keys; ``lookup`` is then all of it, for values that come from a key's old name.
+    """
     from tidelog.operators import omitted
 
     boundary = truncate_boundary(changes, after)
     if boundary:
-        mirror = mirror.limit(0)
+        mirror, lookup = mirror.limit(0), None
     winners = latest(live(changes, after, boundary), keys)
     scope = live(history if history is not None else changes, None, boundary)
-    return merge(mirror, omitted.fill(winners, scope, keys, mirror), keys)
+    return merge(mirror, omitted.fill(winners, scope, keys, mirror if lookup is None else lookup), keys)
 
 
 def as_changes(mirror: DataFrame) -> DataFrame:

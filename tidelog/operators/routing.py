@@ -5,8 +5,11 @@ from __future__ import annotations
 import struct
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidelog.plans.scratch import cut
 
 #: One decoded row message: old and new images (map of column to value; null for null), and names omitted from the new image.
 MESSAGE = "op string, relation string, xid long, top_xid long, lsn string, old map<string,string>, new map<string,string>, omitted array<string>"
@@ -97,8 +100,9 @@ class Reader:
         return out
 
 
-#: What :func:`decode` returns: kind is begin, commit, insert, update, delete, truncate, stream_start, stream_stop, stream_commit, stream_abort or relation.
-DECODED = "seq long, kind string, xid long, sub_xid long, lsn string, relations array<long>, old array<struct<tag:string,value:string>>, old_kind string, new array<struct<tag:string,value:string>>, name string, columns array<struct<name:string,type:long,modifier:int,is_key:boolean>>"
+#: What :func:`decode` returns: kind is begin, commit, insert, update, delete, truncate, stream_start, stream_stop, stream_commit, stream_abort, relation, type, message,
+#: origin, or one of the five of two-phase commits.
+DECODED = "seq long, kind string, xid long, sub_xid long, lsn string, relations array<long>, old array<struct<tag:string,value:string>>, old_kind string, new array<struct<tag:string,value:string>>, name string, columns array<struct<name:string,type:long,modifier:int,is_key:boolean>>, content string"
 
 
 def decode_frame(data: bytes, streaming: bool) -> dict:
@@ -146,44 +150,147 @@ def decode_frame(data: bytes, streaming: bool) -> dict:
         n = r.number("I")
         r.number("B")
         out |= {"kind": "truncate", "relations": [r.number("I") for _ in range(n)]}
-    elif kind in "YMObPKrp":
-        out["kind"] = {"Y": "type", "M": "message", "O": "origin"}.get(kind, "two_phase")
+    elif kind == "Y":
+        out |= {"kind": "type", "relations": [r.number("I")]}
+        out["name"] = f"{r.text()}.{r.text()}"
+    elif kind == "M":
+        r.number("B")
+        out |= {"kind": "message", "lsn": hexed(r.number("Q")), "name": r.text()}
+        out["content"] = r.take(r.number("I")).hex()
+    elif kind == "O":
+        out |= {"kind": "origin", "lsn": hexed(r.number("Q")), "name": r.text()}
+    elif kind in "bP":
+        if kind == "P":
+            r.number("B")
+        out |= {"kind": {"b": "begin_prepare", "P": "prepare"}[kind], "lsn": hexed(r.number("Q"))}
+        r.number("Q"), r.number("q")
+        out |= {"xid": r.number("I"), "name": r.text()}
+    elif kind in "Kr":
+        r.number("B")
+        out |= {"kind": {"K": "commit_prepared", "r": "rollback_prepared"}[kind], "lsn": hexed(r.number("Q"))}
+        r.number("Q"), r.number("q")
+        if kind == "r":
+            r.number("q")
+        out |= {"xid": r.number("I"), "name": r.text()}
+    elif kind == "p":
+        r.number("B")
+        out |= {"kind": "stream_prepare", "lsn": hexed(r.number("Q"))}
+        r.number("Q"), r.number("q")
+        out |= {"xid": r.number("I"), "name": r.text()}
     else:
         raise ValueError(f"unknown message {kind!r}")
     return out
 
 
+def running_last(rows: DataFrame, slot: str, order: str, value: Column, name: str) -> DataFrame:
+    """``rows`` with the last value, not null, up to each row of its slot, in ranges of the order.
+
+    A slot's rows need not fit one task: each range is looked at by itself, and only its last value is carried on to the next.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(rows.withColumn("v_", value).repartitionByRange(n, slot, order).withColumn("p_", F.spark_partition_id()))
+    ends = dealt.where("v_ is not null").groupBy(slot, "p_").agg(F.max_by("v_", order).alias("end_"))
+    carried = dealt.select(slot, "p_").distinct().join(ends, [slot, "p_"], "left")
+    carried = carried.withColumn("carry_", F.last("end_", ignorenulls=True).over(Window.partitionBy(slot).orderBy("p_").rowsBetween(Window.unboundedPreceding, -1))).select(slot, "p_", "carry_")
+    within = F.last("v_", ignorenulls=True).over(Window.partitionBy("p_", slot).orderBy(order))
+    return dealt.withColumn("own_", within).join(carried, [slot, "p_"]).withColumn(name, F.coalesce("own_", "carry_")).drop("v_", "p_", "own_", "carry_")
+
+
+def _number(data: Column, at: int, size: int) -> Column:
+    """An unsigned big-endian number within a frame, from byte ``at`` (from 1) on."""
+    return F.conv(F.hex(F.substring(data, at, size)), 16, 10).cast("long")
+
+
 def decode(frames: DataFrame) -> DataFrame:
-    """(seq, data) of one stream, in order, to messages.  The stream is one partition: order is its meaning.
+    """(slot, seq, data) of streams to messages; without a slot, all frames are one stream.
 
-    Streams of different slots are independent; call it for each, or with a ``slot`` column to decode slots side by side.
+    Whether a frame lies within a streamed block, and of which transaction, follows from the last frame before it that begins or ends one; its first bytes tell.  So
+    frames are decoded side by side, whatever the length of a stream.
     """
-    schema = pa.schema([("seq", pa.int64()), ("kind", pa.string()), ("xid", pa.int64()), ("sub_xid", pa.int64()), ("lsn", pa.string()), ("relations", pa.list_(pa.int64())), ("old", pa.list_(pa.struct([("tag", pa.string()), ("value", pa.string())]))), ("old_kind", pa.string()), ("new", pa.list_(pa.struct([("tag", pa.string()), ("value", pa.string())]))), ("name", pa.string()), ("columns", pa.list_(pa.struct([("name", pa.string()), ("type", pa.int64()), ("modifier", pa.int32()), ("is_key", pa.bool_())])))])
+    slot = F.col("slot") if "slot" in frames.columns else F.lit("")
+    rows = frames.select(slot.alias("slot"), "seq", "data")
+    first = F.hex(F.substring("data", 1, 1))
+    # S and E open and close a block of a streamed transaction, B begins an ordinary one.
+    state = lambda inside, xid: F.struct(F.lit(inside).alias("inside"), xid.cast("long").alias("xid"))
+    state = F.when(first == "53", state(True, _number(F.col("data"), 2, 4))).when(first == "45", state(False, F.lit(None))).when(first == "42", state(False, _number(F.col("data"), 18, 4)))
+    placed = running_last(rows, "slot", "seq", state, "state").select("slot", "seq", "data", F.coalesce("state.inside", F.lit(False)).alias("inside"), F.col("state.xid").alias("top"))
+    image = pa.list_(pa.struct([("tag", pa.string()), ("value", pa.string())]))
+    schema = pa.schema([("slot", pa.string()), ("seq", pa.int64()), ("kind", pa.string()), ("xid", pa.int64()), ("sub_xid", pa.int64()), ("lsn", pa.string()), ("relations", pa.list_(pa.int64())), ("old", image), ("old_kind", pa.string()), ("new", image), ("name", pa.string()), ("columns", pa.list_(pa.struct([("name", pa.string()), ("type", pa.int64()), ("modifier", pa.int32()), ("is_key", pa.bool_())]))), ("content", pa.string())])
 
     def run(batches):
-        streams: dict = {}
         for b in batches:
-            slots = b.column(b.schema.names.index("slot")).to_pylist() if "slot" in b.schema.names else [None] * b.num_rows
             rows = []
-            for slot, seq, data in zip(slots, b.column(b.schema.names.index("seq")).to_pylist(), b.column(b.schema.names.index("data")).to_pylist(), strict=True):
-                inside, xid = streams.get(slot, (False, None))
+            for slot, seq, data, inside, top in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 m = decode_frame(data, inside)
-                if m["kind"] in ("begin", "stream_start"):
-                    xid = m["xid"]
-                if m["kind"] in ("stream_start", "stream_stop"):
-                    inside = m["kind"] == "stream_start"
-                streams[slot] = (inside, xid)
-                row = {"seq": seq, **m}
-                row["xid"] = m.get("xid", xid)
+                row = {"slot": slot, "seq": seq, **m, "xid": m.get("xid", top)}
                 for side in ("old", "new"):
                     if m.get(side) is not None:
                         row[side] = [{"tag": t, "value": v} for t, v in m[side]]
                 rows.append(row)
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    if "slot" in frames.columns:
-        n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ordered = frames.repartition(n, "slot").sortWithinPartitions("slot", "seq")
-    else:
-        ordered = frames.coalesce(1).sortWithinPartitions("seq")
-    return ordered.mapInArrow(run, DECODED)
+    return placed.mapInArrow(run, "slot string, " + DECODED)
+
+
+def violations(messages: DataFrame) -> DataFrame:
+    """Messages that the protocol does not allow where they stand: (slot, seq, kind, why).
+
+    A block must not begin within another nor end outside one, a whole transaction must not end within a block, and rows belong to a transaction.
+    """
+    before = F.when(F.col("kind").isin("begin", "stream_start"), F.col("kind")).when(F.col("kind").isin("commit", "stream_stop"), F.lit("none"))
+    # The state after the row before: of everything up to this row, this row's own change is taken back.
+    marks = messages.where(before.isNotNull()).select("slot", "seq", before.alias("to_"))
+    marks = marks.withColumn("was_", F.lag("to_", 1, "none").over(Window.partitionBy("slot").orderBy("seq")))
+    held = running_last(messages.select("slot", "seq", "kind").join(marks.select("slot", "seq", "was_"), ["slot", "seq"], "left"), "slot", "seq", before, "now_")
+    state = F.coalesce("was_", "now_", F.lit("none"))
+    kind = F.col("kind")
+    why = (
+        F.when(kind.isin("begin", "stream_start") & (state != "none"), "begins within another transaction")
+        .when((kind == "stream_stop") & (state != "stream_start"), "ends a block that is not open").when((kind == "commit") & (state != "begin"), "commits what did not begin")
+        .when(kind.isin("stream_commit", "stream_abort") & (state != "none"), "ends a transaction within a block")
+        .when(kind.isin("insert", "update", "delete", "truncate") & (state == "none"), "row outside a transaction")
+    )
+    return held.withColumn("why", why).where("why is not null").select("slot", "seq", "kind", "why")
+
+
+def relations(messages: DataFrame) -> DataFrame:
+    """(slot, oid, version, name, columns, since, until): every description of a relation, and the messages it holds for (until is the next one's, or null)."""
+    r = messages.where("kind = 'relation'").select("slot", F.element_at("relations", 1).alias("oid"), "name", "columns", F.col("seq").alias("since"))
+    w = Window.partitionBy("slot", "oid").orderBy("since")
+    return r.withColumn("until", F.lead("since").over(w)).withColumn("version", F.row_number().over(w))
+
+
+def outcomes(messages: DataFrame) -> DataFrame:
+    """(slot, kind, top_xid, xid, commit_lsn) as :func:`commit_gate` takes them."""
+    kind = F.when(F.col("kind") == "stream_abort", "abort").otherwise("commit")
+    return messages.where(F.col("kind").isin("commit", "stream_commit", "stream_abort")).select("slot", kind.alias("kind"), F.col("xid").alias("top_xid"), F.coalesce("sub_xid", "xid").alias("xid"), F.col("lsn").alias("commit_lsn"))
+
+
+#: Relations are broadcast up to so many descriptions, which a count checks.
+RELATIONS = 100_000
+
+
+def changes(messages: DataFrame, internal: tuple[str, ...] = ()) -> DataFrame:
+    """Row messages (see :data:`MESSAGE`) with names instead of numbers, from decoded messages.
+
+    Each is held against the description of its relation that was the last one before it.  A row of an unknown relation, or with another number of
+    columns than it has, is an error.  Relations named in ``internal`` (the engine's own) are left out.
+    """
+    known = relations(messages)
+    known = F.broadcast(known) if known.limit(RELATIONS + 1).count() <= RELATIONS else known
+    rows = messages.where(F.col("kind").isin("insert", "update", "delete", "truncate")).select("slot", "seq", "kind", "xid", "sub_xid", "old", "new", F.explode("relations").alias("oid"))
+    k = known.select(F.col("slot").alias("s_"), F.col("oid").alias("o_"), "name", "columns", "since", "until", "version")
+    held = rows.join(k, (F.col("slot") == F.col("s_")) & (F.col("oid") == F.col("o_")) & (F.col("seq") > F.col("since")) & (F.col("until").isNull() | (F.col("seq") < F.col("until"))), "left")
+    names = F.transform("columns", lambda c: c["name"])
+    wide = lambda image: F.col(image).isNotNull() & (F.size(image) != F.size("columns"))
+    held = held.withColumn("name", F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("row of an unknown relation "), F.col("oid").cast("string")))).when(wide("old") | wide("new"), F.raise_error(F.concat(F.lit("another number of columns than "), F.col("name")))).otherwise(F.col("name")))
+    as_map = lambda image: F.when(F.col(image).isNotNull(), F.map_from_arrays(_held(names, image), F.transform(F.filter(F.col(image), lambda v: v["tag"] != "u"), lambda v: v["value"])))
+    omitted = F.when(F.col("new").isNotNull(), F.filter(F.zip_with(names, F.col("new"), lambda n, v: F.when(v["tag"] == "u", n)), lambda n: n.isNotNull())).otherwise(F.array().cast("array<string>"))
+    op = F.substring("kind", 1, 1)
+    out = held.where(~F.col("name").isin(*internal)) if internal else held
+    return out.select(op.alias("op"), F.col("name").alias("relation"), "version", F.coalesce("sub_xid", "xid").alias("xid"), F.col("xid").alias("top_xid"), F.lpad(F.hex("seq"), 16, "0").alias("lsn"), as_map("old").alias("old"), as_map("new").alias("new"), omitted.alias("omitted"))
+
+
+def _held(names: Column, image: str) -> Column:
+    """The names of an image's columns that are not left out."""
+    return F.filter(F.zip_with(names, F.col(image), lambda n, v: F.when(v["tag"] != "u", n)), lambda n: n.isNotNull())
