@@ -2,7 +2,7 @@
 
 1. A line is normalised: lower case, white space collapsed and trimmed.  Equal normalised lines are one class.
 2. A line's features are its distinct words; the runs of three characters of a line with fewer than ``WORDS`` of them; the pairs of neighbouring words of a line with more than
-   ``MANY`` distinct ones, as long texts of one language have most of their words in common.  They are hashed and
+   ``MANY`` characters, as long texts of one language have most of their words in common.  They are hashed and
    put in the order of their hashes, words of up to ``SHORT`` letters last, as they are common to lines that have nothing else in common.
 3. Pigeonhole blocks: each run of ``RUN`` features among the first ``POSITIONS`` (of a long line ``LONG``) in that order is a key; in lines with ``ENOUGH``
    longer words, one of them may be short.  If d of these places of two
@@ -33,12 +33,12 @@ from tidelog.llm.common import components, cut, marked, row_key
 SIMILARITY = 0.8
 POSITIONS, LONG, RUN, SKETCHED = 14, 40, 3, 32
 #: Words of so many letters at most come last in the order; they bear this bit, above the 60 of the others.
-SHORT, MARK, WORDS, MANY = 4, 1 << 60, 6, 512
+SHORT, MARK, WORDS, MANY = 4, 1 << 60, 6, 2000
 #: Longer words that make runs of short ones needless as keys.
 ENOUGH = 8
 #: Bits of two sketches that differ at most, by the kind of features: of all 64, and for each feature of a line that has fewer.  One edit changes one or two words, two or
 #: three pairs of words, and three runs of characters, but lines of one language share many of these.
-BITS = {"words": (16, 0.55), "runs": (11, 0.33), "pairs": (21, 1.0)}
+BITS = {"words": (16, 0.55), "runs": (11, 0.33), "pairs": (14, 1.0)}
 
 
 def normalised(rows: DataFrame, line: str = "line", name: str = "norm") -> DataFrame:
@@ -72,7 +72,7 @@ def features(rows: DataFrame, norm: str = "norm") -> DataFrame:
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: low(F.xxhash64(F.substr(text, i, F.lit(3)))))
     pairs = _once(F.split(norm, " "), lambda ws: F.transform(ws, lambda w, i: low(F.xxhash64(w, F.get(ws, i + 1)))))
     rows = rows.withColumn("words_", words)
-    kind = F.when(F.size("words_") < WORDS, "runs").when(F.size("words_") > MANY, "pairs").otherwise("words")
+    kind = F.when(F.size("words_") < WORDS, "runs").when(F.length(text) > MANY, "pairs").otherwise("words")
     ordered = lambda x: F.sort_array(F.array_distinct(x))
     return rows.withColumn("kind", kind).withColumn("f", F.when(F.col("kind") == "words", F.col("words_")).when(F.col("kind") == "runs", ordered(runs)).otherwise(ordered(pairs))).drop("words_", norm)
 
