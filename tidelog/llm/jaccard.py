@@ -120,7 +120,7 @@ def _signatures(size: int, trees: int, lengths: np.ndarray):
                 bounds_out = pa.array(np.r_[0, np.cumsum(np.where(wants, trees, 0))].astype(np.int32))
                 lists = [pa.ListArray.from_arrays(bounds_out, pa.array(x[wants].reshape(-1).view(np.int64))) for x in (prefix, tail)]
                 yield pa.RecordBatch.from_arrays([ids.slice(begin, len(texts)), pa.array(classes[0]), pa.array(classes[1]), pa.array(np.diff(bounds)), pa.array(need.astype(np.int32)), *lists], ["doc_id", "c1", "c2", "n_shingles", "need", "prefixes", "tails"])
-        trim()
+            trim()
 
     return sign
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 #: Odd multipliers of the polynomial hashes; any odd numbers serve.
@@ -97,6 +98,7 @@ def chunks(texts, limit: int = CHUNK):
 
 def trim() -> None:
     """Give the memory that a Python worker has freed back to the system, as idle workers stay beside busy ones."""
+    pa.default_memory_pool().release_unused()
     give = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give:
         give(0)

@@ -25,7 +25,7 @@ from tidelog.llm.common import scratch
 from tidelog.llm.kernels import trim
 
 #: Ids of a frame, about; and of the frames coded in lockstep.
-FRAME, TOGETHER = 1 << 20, 3 << 20
+FRAME, TOGETHER = 1 << 20, 2 << 20
 #: Words of a generation; a Python worker keeps the ids of two.
 CACHE = 150_000
 #: Code points of a part, about.
@@ -135,6 +135,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "frame": pa.array([frame], pa.int32()), "n_ids": pa.array([len(x)], pa.int64()), "doc_ids": pa.array([docs_], pa.list_(kind)), "n_tokens": pa.array([lens], pa.list_(pa.int64())), "payload": pa.array([payload], pa.binary())})
                 frame += 1
             held.clear()
+            trim()
 
         for b in batches:
             keys, texts, kind = b.column(0).to_pylist(), b.column(1), b.schema.field(0).type

@@ -33,8 +33,8 @@ ADDRESS = frozenset("you your you're youre u du dich dein ihr tu toi te vous ust
 #: Beginnings of words that are counted while learning terms, and terms kept at most.
 SHORTEST, LONGEST, TERMS = 4, 12, 4_000
 WINDOW = 12
-#: Words whose match a Python worker keeps.
-CACHE = 100_000
+#: Words whose match a Python worker keeps, and states of the automaton; both are made anew as needed.
+CACHE, STATES = 60_000, 60_000
 
 
 def allowed(length: int) -> int:
@@ -64,8 +64,12 @@ class Automaton:
                 node = nxt
             self.ends[node], self.open[node] = t, self.open[node] or tail
         self.letters = frozenset(ch for c in self.child for ch in c)
+        self.roots = {(r, 0) for r in roots.values()}
+        self._forget()
+
+    def _forget(self):
         self.sets, self.numbers, self.steps, self.best = [], {}, [], []
-        self.start = self._state({(r, 0) for r in roots.values()})
+        self.start = self._state(self.roots)
 
     def _node(self, k: int) -> int:
         self.child.append({}), self.ends.append(-1), self.open.append(False), self.most.append(k)
@@ -105,6 +109,8 @@ class Automaton:
 
     def match(self, word: str):
         """(edits, term) of the best match, or None."""
+        if len(self.sets) > STATES:
+            self._forget()
         state, steps, letters, found = self.start, self.steps, self.letters, None
         if state < 0:
             return None  # no terms
@@ -253,7 +259,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut
         for b in batches:
             s = apply(w, in_slices(scorer.features, b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= cut_at).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
-        trim()
+            trim()
 
     rows_in = docs.select("doc_id", F.coalesce(fold("doc_id", folds) == held, F.lit(False)).alias("held_out"), "text")
     return rows_in.mapInArrow(mark, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
@@ -267,6 +273,6 @@ def keep_clean(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0
     def keep(batches):
         for b in batches:
             yield b.filter(pa.array(apply(w, in_slices(scorer.features, b.column(at))) < cut_at))
-        trim()
+            trim()
 
     return docs.mapInArrow(keep, docs.schema)
