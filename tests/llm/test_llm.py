@@ -401,6 +401,50 @@ def test_fingerprint(spark):
     assert np.mean([r.near_edited for r in got]) > np.mean([r.near_next for r in got])
 
 
+def test_fingerprint_against_brute_force(spark):
+    """Levels, subsets, components and likeness by plain sets, without any hash of components; ranges of ids do not matter."""
+    texts = corpus(150, seed=16) + [" ".join(f"t{i % 400}x{i % 7}" for i in range(k, k + 900)) for k in range(0, 300, 7)]
+    n = len(texts)
+
+    def terms(t):
+        return {xxhash.xxh64(w.encode(), seed=42).intdigest() for w in re.split(fingerprint.BETWEEN, (t or "").lower()) if w}
+
+    df = {}
+    for t in texts:
+        for h in terms(t):
+            df[h] = df.get(h, 0) + 1
+    known = {h for h, c in df.items() if 2 <= c <= max(2.0, 0.05 * n)}
+
+    def print_(t):
+        all_ = terms(t)
+        lev = max(0, int(np.floor(np.log2(max(len(all_), 1) / 16))))
+        kept = {h for h in all_ & known if h & ((1 << lev + 8) - 256) == 0}
+        parts = [frozenset(h for h in kept if (h >> 50) % 16 == i % 16 and h & ((1 << lev + 8 + (i >= 16)) - 256) == 0) for i in range(32)]
+        return (lev, *parts) if any(parts) else ("t", t or "")
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        if "t" in (a[0], b[0]) or abs(a[0] - b[0]) > 1:
+            return 0.0
+        x, y = (a[1:], b[1:]) if a[0] == b[0] else (a[1 + 16 * (a[0] < b[0]) :][:16], b[1 + 16 * (b[0] < a[0]) :][:16])  # the levels that both have
+        some = [p == q for p, q in zip(x, y, strict=True) if p or q]
+        return sum(some) / len(some) if some else 0.0
+
+    whole = [print_(t) for t in texts]
+    got = {r.doc_id: r for r in fingerprint.compare(docs(spark, texts)).collect()}
+    names = {}
+    for i, t in enumerate(texts):
+        nxt = texts[(i + 1) % n] or ""
+        k = len(t or "") // 4
+        edited = print_((t or "")[: len(t or "") - k] + nxt[:k])
+        assert got[i].near_edited == pytest.approx(like(whole[i], edited)) and got[i].near_next == pytest.approx(like(whole[i], whole[(i + 1) % n]))
+        names.setdefault(whole[i], set()).add(got[i].fingerprint)
+        names.setdefault(edited, set()).add(got[i].edited_fingerprint)
+    assert all(len(v) == 1 for v in names.values()) and len(set().union(*names.values())) == len(names)
+    assert 0 < np.mean([r.near_edited for r in got.values()]) < 1
+
+
 def test_secrets(spark):
     key = "aB3dE5fG7hI9jK1lM3nO5pQ7rS9tU1vW"
     texts = [

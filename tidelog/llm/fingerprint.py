@@ -10,7 +10,7 @@ so that documents on either side of a limit can still be compared.
 Likeness of two fingerprints: equal components among those that either has, at a level both have.
 
 The frequency band is relative to the number of documents.  Terms above the band are at most (mean terms of a
-document / ``HIGH``) in number, whatever the corpus, so they are broadcast; all other terms are joined by shuffle.
+document / ``HIGH``) in number, whatever the corpus; they are counted before they are broadcast.  All other terms are joined by shuffle.
 
 A null text counts as empty.  A text without terms in the band is fingerprinted by a hash of its
 whole text.  Equal texts have equal fingerprints.  Rows with one doc_id are ordered by text, and identical rows are neighbours.
@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelog.llm.common import cut
+from tidelog.llm.common import cut, small
 
 #: Subsets of the lexicon; the band of document frequencies: from LOW documents to a share HIGH of them.
 SUBSETS, LOW, HIGH = 16, 2, 0.05
@@ -64,7 +64,11 @@ def following(docs: DataFrame) -> DataFrame:
     cuts = sorted(set(cuts or []))
     bucket = F.lit(0)
     if cuts:
-        bucket = F.coalesce(F.aggregate(F.array(*(F.lit(c) for c in cuts)), F.lit(0), lambda a, c: a + (F.col("doc_id") >= c).cast("int")), F.lit(0))
+        # By two steps, the root of as many comparisons each: first every so many cut points, then those in between.
+        step = max(1, int(len(cuts) ** 0.5))
+        passed = lambda points: F.aggregate(points, F.lit(0), lambda a, c: a + (F.col("doc_id") >= c).cast("int"))
+        coarse = passed(F.array(*(F.lit(c) for c in cuts[step - 1 :: step]))) * step
+        bucket = F.coalesce(coarse + passed(F.slice(F.array(*(F.lit(c) for c in cuts)), coarse + 1, F.lit(step))), F.lit(0))
     dealt = docs.withColumn("b", bucket)
     # The first document of each range: as many rows as ranges.
     heads = dealt.groupBy("b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id")).alias("h")).orderBy("b").collect()
@@ -91,7 +95,7 @@ def band(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 def components(rows: DataFrame, lexicon: tuple[DataFrame, DataFrame]) -> DataFrame:
     """(id, role, parts) from (id, role, lev, hashes): parts has a hash or null for each subset, at this level and then at the next."""
     known, frequent = lexicon
-    each = rows.select("id", "role", "lev", F.explode("hashes").alias("term")).join(F.broadcast(frequent), "term", "left_anti").join(known, "term", "left_semi")
+    each = rows.select("id", "role", "lev", F.explode("hashes").alias("term")).join(small(frequent), "term", "left_anti").join(known, "term", "left_semi")
     kept = each.groupBy("id", "role").agg(F.array_sort(F.collect_list("term")).alias("terms"), F.first("lev").alias("lev"))
 
     def part(i: Column) -> Column:
