@@ -462,6 +462,14 @@ def test_secrets(spark):
     assert got[6].spans == got[7].spans == got[9].spans == ""
 
 
+def test_secrets_with_very_many_matches(spark):
+    text = "x " + " é ".join(f"token=abc{i:05}" for i in range(5000)) + " 0123456789abcdef01234567"
+    r = secrets.digest(docs(spark, [text, "token=abcdef " * 64, "token=abcdef " * 65])).orderBy("doc_id").collect()
+    base = sorted([(m.start(), "assign", m.end()) for m in re.finditer("token=abc[0-9]+", text)] + [(len(text) - 24, "hex", len(text))])
+    assert r[0].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+    assert [x.n_assign for x in r] == [5000, 64, 65] and r[2].spans.endswith(f"assign:{64 * 13}:{64 * 13 + 12}")
+
+
 def test_secrets_links_keys_after_and_before_equal_signs(spark):
     rng = random.Random(8)
     chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"

@@ -38,24 +38,42 @@ WEAK = {"login": LOGIN, "endpoint": ENDPOINT, "key": KEY}
 SCOPE = 300
 
 
+SPANS = "array<struct<at:int,end:int,m:string>>"
+#: Matches whose places are summed up together.
+CHUNK = 64
+
+
 def spans(text: Column, pattern: str) -> Column:
     """array of (at, end, m) of the matches: first code point, the one after the last, and the string."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     steps = F.zip_with(found, gaps, lambda m, g: F.struct(F.length(g).alias("gap"), m.alias("m")))
     steps = F.filter(steps, lambda s: s["m"].isNotNull())
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,end:int,m:string>>").alias("out"))
+    empty = lambda at: F.struct(at.alias("at"), F.array().cast(SPANS).alias("out"))
 
     def step(acc, s):
         at = acc["at"] + s["gap"]
         end = at + F.length(s["m"])
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("at"), end.alias("end"), s["m"].alias("m")))).alias("out"))
 
-    return F.aggregate(steps, empty, step, lambda acc: acc["out"])
+    # In chunks, as appending copies what there is already: first the length of each chunk, then its spans from the sum of those before.
+    once = lambda value, f: F.transform(F.array(value), f)[0]
+    part = lambda all_, c: F.slice(all_, c * CHUNK + 1, F.lit(CHUNK))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda acc, x: acc + x)
+
+    def placed(p):
+        numbers = F.sequence(F.lit(0), F.floor(F.size(p["all"]) / CHUNK).cast("int"))
+        return F.flatten(F.transform(numbers, lambda c: F.aggregate(part(p["all"], c), empty(total(F.slice(p["lens"], F.lit(1), c))), step, lambda acc: acc["out"])))
+
+    def measured(all_):
+        numbers = F.sequence(F.lit(0), F.floor(F.size(all_) / CHUNK).cast("int"))
+        return F.struct(all_.alias("all"), F.transform(numbers, lambda c: F.aggregate(part(all_, c), F.lit(0), lambda acc, s: acc + s["gap"] + F.length(s["m"]))).alias("lens"))
+
+    return once(steps, lambda all_: once(measured(all_), placed))
 
 
 def _if(text: Column, hint: Column, pattern: str) -> Column:
-    return F.when(hint, spans(text, pattern)).otherwise(F.array().cast("array<struct<at:int,end:int,m:string>>"))
+    return F.when(hint, spans(text, pattern)).otherwise(F.array().cast(SPANS))
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:

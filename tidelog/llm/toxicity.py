@@ -153,19 +153,25 @@ def learn_terms(texts: DataFrame, most: int = TERMS) -> list[str]:
     counted = texts.mapInArrow(_prefix_counts, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     kept = counted.where((F.col("bad") >= 3) & (rate >= 0.8)).withColumn("g", surprise).where("g >= 9" if base < 0.5 else "g >= 2").orderBy(F.desc("g"), "term").limit(20 * most).collect()
     support = {r["term"]: r["bad"] for r in kept}
+    longer: dict[str, int] = {}  # the greatest support of a beginning with one letter more
+    for x, n in support.items():
+        longer[x[:-1]] = max(longer.get(x[:-1], 0), n)
     words, stems = {}, {}
     for r in kept:
         t = r["term"]
         if t.endswith("$"):
             if r["bad"] >= 0.6 * support.get(t[:-1][:LONGEST], 1e9):
                 words[t[:-1]] = r["g"]
-        elif all(support.get(x, 0) < 0.9 * r["bad"] for x in support if len(x) == len(t) + 1 and x.startswith(t)):
+        elif longer.get(t, 0) < 0.9 * r["bad"]:
             stems[t] = r["g"]
     short = sorted(stems, key=len)
     tails: list[str] = []
+    taken, begun = set(), {w[:k] for w in words for k in range(1, len(w) + 1)}
     for s in short:
-        if not any(s.startswith(x) for x in tails) and not any(w.startswith(s) or s.startswith(w) for w in words):
+        ahead = [s[:k] for k in range(1, len(s) + 1)]
+        if s not in begun and not any(x in taken or x in words for x in ahead):
             tails.append(s)
+            taken.add(s)
     found = [(g, w) for w, g in words.items()] + [(stems[s], s + "*") for s in tails]
     return [w for _, w in sorted(found, key=lambda x: (-x[0], x[1]))[:most]]
 
