@@ -9,14 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder the cluster names; in a local one only where none is set, as in tests."""
+    """A new path in the shared folder the cluster names.
+
+    Where none is set, as in tests, a local one serves, but only if the driver and all executors are one process.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} share")
         base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidelog-{uuid.uuid4().hex}"
 
 
+def transient(spark: SparkSession, path: str) -> str:
+    """Have a written scratch path deleted when the application ends; the results that read it do so before."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
@@ -24,4 +37,4 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(transient(df.sparkSession, path))
