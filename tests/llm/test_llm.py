@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, fingerprint, jaccard, lines, mixing, quality, rangecoder, secrets, substring, tokenfile, toxicity
-from tidelog.llm.common import components, marked
+from tidelog.llm.common import components, cut, marked
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id_ string"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -629,3 +629,33 @@ def test_token_files_of_text_ids_and_every_word(spark, tmp_path):
     for part in parts:
         assert all(a.tolist() == e.ids + [2] for a, e in zip(encoder(part), tok.encode_batch(part, add_special_tokens=False), strict=True))
     assert encoder.pieces and encoder.marks and len(words) > 50_000
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark):
+    """Nulls in every column, empty and very long texts, repeated rows, ties; and no rows at all.  Each stage gets what the one before kept, and the odd table itself."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    for rows in (odd(spark).drop("id_"), odd(spark).drop("id_").limit(0)):
+        n, kept = rows.count(), rows
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            alone = stage(spark, rows, d)
+            kept = cut(stage(spark, kept, d))
+            assert k == len(corpus_pipeline.STAGES) - 1 or alone.columns == kept.columns == rows.columns
+            assert alone.count() == n if k in (0, 2) else (alone.count() > 0) == (n > 0)
+        assert (kept.count() > 0) == (n > 0)
+
+
+def test_odd_tables_by_value(spark):
+    """What odd rows get, where the contract defines it."""
+    o = odd(spark)
+    n = {(r.doc_id, r.size) for r in mixing.mix(o).collect()}
+    assert n == {(None, 0), (1, 0), (2, 30_000), (3, 6), (4, 30_000), (3, 4), (None, 2), (5, 0)}
+    r = {(r.doc_id, r.n_words, r.n_removed) for r in substring.dedup(o, keep_text=False).collect()}
+    assert r == {(None, 0, 0), (1, 0, 0), (2, 30_000, 30_000 - 977), (3, 6, 0), (4, 30_000, 30_000), (3, 4, 0), (None, 2, 0), (5, 0, 0)}
+    s = secrets.digest(o).collect()
+    assert len(s) == 9 and all(x.n_assign == x.n_access == x.n_hex == 0 and x.spans == "" for x in s)
+    t = tokenfile.round_trip(o, TOKENS).orderBy("start").collect()
+    assert [x.doc_id for x in t] == [None, None, 1, 2, 3, 3, 3, 4, 5] and [x.n_tokens for x in t if x.doc_id in (1, 5)] == [1, 1]
+    j = {(x.doc_id, x.class_id, x.n_copies) for x in jaccard.join(o).collect()}
+    assert (4, 2, 2) in j and (2, 2, 2) in j and (3, 3, 2) in j and (1, None, 3) in j
