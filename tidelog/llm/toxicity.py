@@ -34,7 +34,7 @@ ADDRESS = frozenset("you your you're youre u du dich dein ihr tu toi te vous ust
 SHORTEST, LONGEST, TERMS = 4, 12, 4_000
 WINDOW = 12
 #: Words whose match a Python worker keeps, and states of the automaton; both are made anew as needed.
-CACHE, STATES = 60_000, 60_000
+CACHE, STATES = 100_000, 60_000
 
 
 def allowed(length: int) -> int:
