@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
@@ -312,14 +313,23 @@ def test_lines_recall_on_the_test_data(spark):
     names = sorted({" ".join(x.lower().split()) for r in d.collect() for x in (r.text or "").split("\n")} - {""}, key=lambda x: (len(x), x))
     code = lambda x: np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64)
     bags = [np.bincount((c[:-1] * 257 + c[1:]) % 2048, minlength=2048) for c in map(code, names)]
-    links = []
+    pairs = []
     for i, x in enumerate(names):
         j = i + 1
         while j < len(names) and len(x) >= 0.8 * len(names[j]):
             # Pairs of neighbouring characters bound the distance from below: an edit takes two away and adds two.
-            if abs(bags[i] - bags[j]).sum() <= 0.8 * len(names[j]) and 1 - distance(x, names[j]) / len(names[j]) >= 0.8:
-                links.append((x, names[j]))
+            if abs(bags[i] - bags[j]).sum() <= 0.8 * len(names[j]):
+                pairs.append((x, names[j]))
             j += 1
+    # Another engine's edit distance, which is over bytes: each character becomes one.
+    letters = sorted(set("".join(names)))
+    one = {ord(c): chr(k + 1) for k, c in enumerate(letters)}
+    assert len(letters) < 127 and distance("kitten", "sitting") == 3
+    con = duckdb.connect()
+    con.execute("CREATE TABLE p (i INT, a VARCHAR, b VARCHAR)")
+    con.executemany("INSERT INTO p VALUES (?, ?, ?)", [(i, a.translate(one), b.translate(one)) for i, (a, b) in enumerate(pairs)])
+    links = [pairs[i] for (i,) in con.sql("SELECT i FROM p WHERE 1 - levenshtein(a, b) / greatest(length(a), length(b)) >= 0.8 - 1e-12").fetchall()]
+    assert all(1 - distance(a, b) / len(b) >= 0.8 for a, b in links)
     root = {r.h: r.root for r in line_groups(spark, d)}
     key = {x: r for x, r in zip(names, spark.createDataFrame([(x,) for x in names], "norm string").selectExpr("xxhash64(xxhash64(norm), xxhash64(1, norm)) as h").collect(), strict=True)}
     found = [root.get(key[a].h, a) == root.get(key[b].h, b) for a, b in links]
