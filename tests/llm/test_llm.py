@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -397,6 +398,28 @@ def test_lines_similarity_is_of_characters(spark):
     assert got == {0: 0, 1: 1, 2: 0, 3: 0, 4: 0, 5: 1}
 
 
+def test_long_lines_that_repeat_phrases(spark):
+    """A bound in pieces, never too low, takes the place of the whole distance of long lines that are alike."""
+    rng = random.Random(5)
+    words = ["é😀", "extraordinarily,", "to", "sentence", "xx"]
+    pairs = []
+    for _ in range(300):
+        a = [rng.choice(words) for _ in range(rng.randint(1, 40))]
+        b = [w if rng.random() < 0.9 else rng.choice(words) for w in a] + rng.choice([[], ["xx"] * rng.randint(0, 9)])
+        pairs.append((" ".join(a), " ".join(b)))
+    rows = spark.createDataFrame([(a, b, int(0.4 * max(len(a), len(b)))) for a, b in pairs], "na string, nb string, limit int")
+    said = [r.said for r in rows.select(lines._in_pieces(F.struct("na", "nb", "limit")).alias("said")).collect()]
+    assert 30 < sum(said) < 300 and all(distance(a, b) <= int(0.4 * max(len(a), len(b))) for (a, b), x in zip(pairs, said, strict=True) if x)
+    held, near = [], []
+    for i in range(4):
+        run = [f"word{i}{chr(97 + k)} and again" for k in range(8)]
+        held += [(2 * i, " ".join(w for w in run for _ in range(260))), (2 * i + 1, " ".join(w for k, w in enumerate(run) for _ in range(240 + 9 * (k % 2))))]
+        near.append((2 * i, 2 * i + 1))
+    began = time.time()
+    got = lines.verified(spark.createDataFrame(near, "a long, b long"), spark.createDataFrame(held, "node long, norm string"), 0.8).collect()
+    assert sorted(map(tuple, got)) == near and min(len(t) for _, t in held) > 30_000 and time.time() - began < 25
+
+
 def test_fingerprint(spark):
     texts = corpus(80, seed=6)
     got = sorted(fingerprint.compare(docs(spark, texts)).collect())

@@ -14,6 +14,7 @@
    group of n variants gives rows in proportion to n, and connectivity is that of all candidates.
 5. Pairs are verified by edit similarity of the normalised lines: 1 - distance / longer length, in characters.  Words that both lines have are
    anchors; where they come in one order, the sum of distances between them comes first: it is never below the distance, and nearly always enough.
+   Long lines without such anchors, as those that repeat a phrase, are held against each other in pieces of up to ``PIECE`` characters, which bounds the distance, too.
 6. Of each connected group of classes the first occurrence stays, by doc_id, then line number.
 
 SimHashes joined on blocks of equal bits do not serve here: lines at the similarity differ in too many bits (figures in README).  The order of
@@ -56,6 +57,8 @@ def _long(x: int) -> Column:
 
 #: Characters between anchors at most; where there are more, the bounded distance of the whole lines takes less time.
 GAP = 2000
+#: Characters of a piece at most.
+PIECE = 8
 
 
 def _once(value: Column, f) -> Column:
@@ -166,6 +169,20 @@ def _repeated(words: Column) -> Column:
     return _once(F.sort_array(words), lambda w: F.array_distinct(F.filter(w, lambda x, i: x.eqNullSafe(F.get(w, i + 1)))))
 
 
+def _in_pieces(p: Column) -> Column:
+    """Whether the pieces of two lines differ so little that the distance cannot exceed the limit; null if the pieces have too many kinds.
+
+    p: struct of lines na and nb and of the limit.  A line is the sum of its pieces, so each that is changed, put in or left out costs ``PIECE`` at most.
+    """
+    pieces = lambda line: F.regexp_extract_all(line, F.lit(f"[^ ]{{1,{PIECE - 1}}} ?| "), F.lit(0))
+    cut_up = lambda q: F.struct(q["pa"].alias("pa"), q["pb"].alias("pb"), F.array_distinct(F.concat(q["pa"], q["pb"])).alias("kinds"))
+    # A character for each kind of piece, below the surrogates.
+    coded = lambda q, x: F.decode(F.unhex(F.array_join(F.transform(x, lambda piece: F.lpad(F.hex(F.array_position(q["kinds"], piece)), 4, "0")), "")), "UTF-16BE")
+    most = F.floor(p["limit"] / PIECE).cast("int")
+    near = lambda q: F.when(F.size(q["kinds"]) < 0xD800, F.call_function("levenshtein", coded(q, q["pa"]), coded(q, q["pb"]), most) >= 0)
+    return _once(F.struct(pieces(p["na"]).alias("pa"), pieces(p["nb"]).alias("pb")), lambda q: _once(cut_up(q), near))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose edit similarity over characters reaches the threshold."""
     ta, tb = texts.select(F.col("node").alias("a"), F.col("norm").alias("na")), texts.select(F.col("node").alias("b"), F.col("norm").alias("nb"))
@@ -186,7 +203,9 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     first, second = _once(words, lambda w: _once(others(w), by_all)), _once(words, lambda w: _once(paired(w), lambda p: _once(single(p), by_pair)))
     exact = F.call_function("levenshtein", "na", "nb", limit).between(F.lit(0), limit)
     reach = lambda d: F.coalesce(d <= limit, F.lit(False))
-    return pairs.join(ta, "a").join(tb, "b").where(F.when(reach(first), True).when(reach(second), True).otherwise(exact)).select("a", "b")
+    long_ = F.greatest(F.length("na"), F.length("nb")) > GAP
+    third = F.when(long_, _once(F.struct("na", "nb", limit.alias("limit")), _in_pieces))
+    return pairs.join(ta, "a").join(tb, "b").where(F.when(reach(first), True).when(reach(second), True).when(F.coalesce(third, F.lit(False)), True).otherwise(exact)).select("a", "b")
 
 
 def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
