@@ -30,9 +30,11 @@ HI, REFRESH, TOTAL = 1024, 128, 16
 FINE = 6
 #: What an id's occurrence adds to its counts; a tree's eight counts are bytes of a word, so their sum stays below 256.
 STEP, MOST = 16, 239
+#: Words that a block may emit between two refreshes at most, and some: an id takes 5.
+ROOM = 8 * REFRESH
 ONES, BEFORE, HALF = U(0x0101010101010101), U(0x0101010101010100), U(0x7F7F7F7F7F7F7F7F)
-#: Header of a coded frame: magic, bits of an id's lower part, blocks, ids; then for each block its ids, 16-bit words and CRC-32.
-HEAD, EACH = struct.Struct("<4sBxxxIQ"), np.dtype([("n", "<u4"), ("words", "<u4"), ("crc", "<u4")])
+#: Header of a coded frame: magic, bits of an id's lower part, upper parts (0: HI; for the trees' size alone), blocks, ids; then for each block its ids, 16-bit words and CRC-32.
+HEAD, EACH = struct.Struct("<4sBxHIQ"), np.dtype([("n", "<u4"), ("words", "<u4"), ("crc", "<u4")])
 MAGIC = b"TLR2"
 
 
@@ -58,14 +60,14 @@ def _learned(node: np.ndarray, at: np.ndarray, total: np.ndarray) -> np.ndarray:
 class _Model:
     """Tables for every lane, and the parts of a step that coding and decoding share."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, uppers: int):
         self.t1, self.t2 = np.zeros(lanes << SLOTS, np.uint32), np.zeros(lanes << SLOTS, np.uint32)  # id << 4 | confidence
         self.base = np.arange(lanes, dtype=np.int64) << SLOTS
         # Of 2**16: order 2 is right; else order 1 is right.
         self.m2, self.m1 = np.full(lanes << 8, 1 << 14, np.int64), np.full(lanes << 8, 1 << 13, np.int64)
         self.row = np.arange(lanes, dtype=np.int64) << 8
         self.count = np.ones((lanes, HI), np.int32)
-        self.trees = np.full(lanes * HI, ONES), np.full(lanes * HI * 8, ONES)
+        self.trees = np.full(lanes * uppers, ONES), np.full(lanes * uppers * 8, ONES)
         self.cum = np.empty((lanes, HI + 1), np.int32)
         self.flat = self.cum.reshape(-1)
         self.p1 = np.zeros(lanes, np.int64)
@@ -74,8 +76,12 @@ class _Model:
     def refresh(self, a: int):
         """Cumulated order-0 frequencies out of 2**16, each 1 at least."""
         c = np.cumsum(self.count[:a], axis=1, dtype=np.int64)
+        total = c[:, -1:].copy()
+        c *= (1 << TOTAL) - HI
+        c //= total
+        c += np.arange(1, HI + 1)
         self.cum[:a, 0] = 0
-        self.cum[:a, 1:] = c * ((1 << TOTAL) - HI) // c[:, -1:] + np.arange(1, HI + 1)
+        self.cum[:a, 1:] = c
 
     def predict(self, a: int):
         p1, p2 = self.p1[:a], self.p2[:a]
@@ -117,6 +123,16 @@ class _Model:
         return at - begin
 
 
+def _kind(low_bits: int):
+    """The narrowest type that holds ids."""
+    return np.uint16 if low_bits <= FINE else np.int32
+
+
+def _uppers(blocks: list[np.ndarray], low_bits: int) -> int:
+    """Upper parts that the ids have, counted from 0 on."""
+    return max((int(b.max()) for b in blocks if len(b)), default=0) // (1 << low_bits) + 1
+
+
 def _plan(lens: np.ndarray):
     """Lanes by falling length, and how many are still running at each step."""
     order = np.argsort(-lens, kind="stable")
@@ -128,13 +144,15 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
     lens = np.array([len(b) for b in blocks], np.int64)
     order, running = _plan(lens)
     lanes, steps = len(blocks), len(running)
-    ids = np.zeros((steps, lanes), np.int32)
+    ids = np.zeros((steps, lanes), _kind(low_bits))
     for lane, b in enumerate(order):
         ids[: lens[b], lane] = blocks[b]
-    model = _Model(lanes)
+    uppers = _uppers(blocks, low_bits)
+    model = _Model(lanes, uppers)
     low, size = np.zeros(lanes, U), np.full(lanes, 1 << 48, U)
-    out, at = np.zeros((lanes, 3 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
-    width = out.shape[1]
+    # A word for two ids or so; widened where that is not enough.
+    width = steps * 5 // 8 + 2 * ROOM
+    out, at = np.zeros((lanes, width), np.uint16), np.zeros(lanes, np.int64)
     flat, begin = out.reshape(-1), np.arange(lanes, dtype=np.int64) * width
     floor, mask = U(1 << 32), U((1 << 32) - 1)
 
@@ -166,6 +184,11 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
     for t, a in enumerate(running):
         if t % REFRESH == 0:
             model.refresh(a)
+            if at.max() + ROOM > width:
+                wider = np.zeros((lanes, width + width // 2 + ROOM), np.uint16)
+                wider[:, :width] = out
+                out, width = wider, wider.shape[1]
+                flat, begin = out.reshape(-1), np.arange(lanes, dtype=np.int64) * width
         x = ids[t, :a].astype(np.int64)
         c1, c2 = model.predict(a)
         hit2, same1 = c2 == x, c1 == x
@@ -193,7 +216,7 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
             if len(j):
                 shift(j)
             first, second = fine >> 3, fine & 7
-            place = i * HI + hi
+            place = i * uppers + hi
             node = upper[place]
             upper[place] = _learned(node, first, narrow(i, node, first))
             place = place * 8 + first
@@ -217,7 +240,7 @@ def encode_blocks(blocks: list[np.ndarray], low_bits: int) -> list[bytes]:
     return coded
 
 
-def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int, uppers: int = HI) -> list[np.ndarray]:
     order, running = _plan(lens)
     lanes, steps = len(coded), len(running)
     width = max((len(c) for c in coded), default=0) // 2 + 8
@@ -226,8 +249,8 @@ def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int) -> list[n
         w = np.frombuffer(coded[b], "<u2")
         words[lane, : len(w)] = w
     flat, begin = words.reshape(-1), np.arange(lanes, dtype=np.int64) * width
-    ids = np.zeros((steps, lanes), np.int32)
-    model = _Model(lanes)
+    ids = np.zeros((steps, lanes), _kind(low_bits))
+    model = _Model(lanes, uppers)
     w = words[:, :3].astype(U)
     code, size, at = w[:, 0] << U(32) | w[:, 1] << U(16) | w[:, 2], np.full(lanes, 1 << 48, U), np.full(lanes, 3, np.int64)
     floor, top, flat_bits = U(1 << 32), (1 << TOTAL) - 1, low_bits - FINE
@@ -277,7 +300,7 @@ def decode_blocks(coded: list[bytes], lens: np.ndarray, low_bits: int) -> list[n
             j = i[size[i] < floor]
             if len(j):
                 shift(j)
-            place = i * HI + hi
+            place = i * uppers + hi
             node = upper[place]
             first, total = branch(i, node)
             upper[place] = _learned(node, first, total)
@@ -322,23 +345,27 @@ def encode_frames(frames: list[np.ndarray], low_bits: int, block: int = BLOCK) -
     for f in blocks:
         parts = [next(coded) for _ in f]
         index = np.array([(len(b), len(p) // 2, zlib.crc32(b.astype("<u4").tobytes())) for b, p in zip(f, parts, strict=True)], EACH)
-        out.append(HEAD.pack(MAGIC, low_bits, len(f), sum(map(len, f))) + index.tobytes() + b"".join(parts))
+        out.append(HEAD.pack(MAGIC, low_bits, _uppers(f, low_bits), len(f), sum(map(len, f))) + index.tobytes() + b"".join(parts))
     return out
 
 
 def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
     """Ids of each frame.  Raises ValueError if a frame or a block's checksum is wrong."""
-    parts, lens, crcs, of, bits = [], [], [], [], 8
+    parts, lens, crcs, of, bits, uppers = [], [], [], [], 8, 1
     for k, f in enumerate(frames):
-        magic, bits, n, _ = HEAD.unpack_from(f)
+        magic, bits, most, n, _ = HEAD.unpack_from(f)
         if magic != MAGIC:
             raise ValueError("not a frame of this coder")
+        uppers = max(uppers, min(most or HI, HI))
         index = np.frombuffer(f, EACH, n, HEAD.size)
         at = HEAD.size + index.nbytes
         for n_ids, words, crc in index.tolist():
             parts.append(f[at : at + 2 * words]), lens.append(n_ids), crcs.append(crc), of.append(k)
             at += 2 * words
-    got = decode_blocks(parts, np.array(lens, np.int64), bits)
+    try:
+        got = decode_blocks(parts, np.array(lens, np.int64), bits, uppers)
+    except IndexError:
+        raise ValueError("a block names an id beyond its header's") from None
     for b, crc in zip(got, crcs, strict=True):
         if zlib.crc32(b.astype("<u4").tobytes()) != crc:
             raise ValueError("a block's checksum is wrong")

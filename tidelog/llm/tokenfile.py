@@ -24,10 +24,12 @@ from tidelog.llm import rangecoder
 from tidelog.llm.common import scratch
 from tidelog.llm.kernels import trim
 
-#: Ids of a frame, about; and of the frames coded in lockstep.
-FRAME, TOGETHER = 1 << 20, 2 << 20
+#: Ids of a frame, about; and of the frames coded in lockstep: a step of numpy takes hardly longer for more blocks, but each has a model.
+FRAME, TOGETHER = 1 << 20, 3 << 20
 #: Words of a generation; a Python worker keeps the ids of two.
 CACHE = 150_000
+#: Words encoded anew after which the memory freed since is given back; the library leaves about as much as the words kept take.
+FRESH = 20_000
 #: Code points of a part, about.
 PART = 1 << 28
 
@@ -42,7 +44,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int):
-        self.path, self.end_id, self.tok = path, end_id, None
+        self.path, self.end_id, self.tok, self.fresh = path, end_id, None, 0
 
     def __getstate__(self):
         return self.path, self.end_id
@@ -87,6 +89,10 @@ class Encoder:
                 fresh[w] = w[:-1]
         ask = list({w for w in new if w not in fresh} | {w for w in (*fresh.values(), ".", ",") if w not in known})
         known.update(zip(ask, self._encode(ask), strict=True))
+        self.fresh += len(ask)
+        if self.fresh > FRESH:
+            self.fresh = 0
+            trim()
         for w, head in fresh.items():
             known[w] = known[head] + known[w[-1]]
         find = known.__getitem__
@@ -131,6 +137,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
 
         def flush():
             nonlocal frame
+            trim()
             for (x, docs_, lens), payload in zip(held, rangecoder.encode_frames([h[0] for h in held], bits), strict=True):
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "frame": pa.array([frame], pa.int32()), "n_ids": pa.array([len(x)], pa.int64()), "doc_ids": pa.array([docs_], pa.list_(kind)), "n_tokens": pa.array([lens], pa.list_(pa.int64())), "payload": pa.array([payload], pa.binary())})
                 frame += 1
@@ -147,6 +154,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, parts: int |
                         close()
                         if sum(len(h[0]) for h in held) >= TOGETHER:
                             yield from flush()
+            del b, texts  # not beside the next batch
         close()
         yield from flush()
         trim()
