@@ -421,6 +421,23 @@ def test_long_lines_that_repeat_phrases(spark):
     assert sorted(map(tuple, got)) == near and min(len(t) for _, t in held) > 30_000 and time.time() - began < 45
 
 
+def test_lines_with_long_words(spark):
+    """Texts between words that both lines have are never compared without a bound; whether pairs are expected to be alike changes no result."""
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh/") for _ in range(60_000))
+    other = "".join("x" if i % 60 == 0 else c for i, c in enumerate(long))
+    texts, words = [f"see the page {long}", f"see the page {other}"], "a bee sea dune elephant effortlessly é😀 gee".split()
+    for _ in range(80):
+        line = [rng.choice(words) + rng.choice("0123456789") for _ in range(rng.randint(1, 120))]
+        texts += [" ".join(line), " ".join(w if rng.random() < 0.8 else rng.choice(words) for w in line)]
+    held = spark.createDataFrame(list(enumerate(texts)), "node long, norm string")
+    near = [(i, i + 1) for i in range(0, len(texts), 2)]
+    want = [(0, 1)] + [(i, j) for i, j in near[1:] if distance(texts[i], texts[j]) <= (1 - 0.8) * max(len(texts[i]), len(texts[j])) + 1e-9]
+    began = time.time()
+    got = [sorted(map(tuple, lines.verified(spark.createDataFrame(near, "a long, b long"), held, 0.8, **how).collect())) for how in ({}, {"alike": False})]
+    assert got == [want, want] and 20 < len(want) < 80 and time.time() - began < 60
+
+
 def test_fingerprint(spark):
     texts = corpus(80, seed=6)
     got = sorted(fingerprint.compare(docs(spark, texts)).collect())

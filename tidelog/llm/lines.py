@@ -12,9 +12,10 @@
 4. A 64-bit odd sketch of the first ``SKETCHED`` features (each flips a bit) tells by its bits that differ how many features differ.  Of a bucket, each class is
    first held against the least one; after that only pairs that are not connected yet are made.  So a hot
    group of n variants gives rows in proportion to n, and connectivity is that of all candidates.
-5. Pairs are verified by edit similarity of the normalised lines: 1 - distance / longer length, in characters.  Words that both lines have are
-   anchors; where they come in one order, the sum of distances between them comes first: it is never below the distance, and nearly always enough.
-   Long lines without such anchors, as those that repeat a phrase, are held against each other in pieces of up to ``PIECE`` characters, which bounds the distance, too.
+5. Pairs are verified by edit similarity of the normalised lines: 1 - distance / longer length, in characters.  Bounds that are never below the distance
+   come first, where they take less time than it: long lines are held against each other in pieces of up to ``PIECE`` characters (very long ones once more, of ``SMALL``); pairs of words that both lines have once are
+   anchors, and where they come in one order the sum of distances between them is nearly always enough.  Pairs that are not connected by
+   the least classes seldom are similar, so of these only long ones are bounded: a bound that does not accept is time lost.
 6. Of each connected group of classes the first occurrence stays, by doc_id, then line number.
 
 SimHashes joined on blocks of equal bits do not serve here: lines at the similarity differ in too many bits (figures in README).  The order of
@@ -57,8 +58,10 @@ def _long(x: int) -> Column:
 
 #: Characters between anchors at most; where there are more, the bounded distance of the whole lines takes less time.
 GAP = 2000
-#: Characters of a piece at most.
-PIECE = 8
+#: Characters up to which the distance itself takes less time than its bounds.
+BRIEF = 128
+#: Characters of a piece at most; and where lines of more than ``HUGE`` characters are tried again, as shorter pieces accept more and take longer.
+PIECE, SMALL, HUGE = 8, 4, 8192
 
 
 def _once(value: Column, f) -> Column:
@@ -169,30 +172,27 @@ def _repeated(words: Column) -> Column:
     return _once(F.sort_array(words), lambda w: F.array_distinct(F.filter(w, lambda x, i: x.eqNullSafe(F.get(w, i + 1)))))
 
 
-def _in_pieces(p: Column) -> Column:
+def _in_pieces(p: Column, piece_size: int = PIECE) -> Column:
     """Whether the pieces of two lines differ so little that the distance cannot exceed the limit; null if the pieces have too many kinds.
 
-    p: struct of lines na and nb and of the limit.  A line is the sum of its pieces, so each that is changed, put in or left out costs ``PIECE`` at most.
+    p: struct of lines na and nb and of the limit.  A line is the sum of its pieces, so each that is changed, put in or left out costs ``piece_size`` at most.
     """
-    pieces = lambda line: F.regexp_extract_all(line, F.lit(f"[^ ]{{1,{PIECE - 1}}} ?| "), F.lit(0))
+    pieces = lambda line: F.regexp_extract_all(line, F.lit(f"[^ ]{{1,{piece_size - 1}}} ?| "), F.lit(0))
     cut_up = lambda q: F.struct(q["pa"].alias("pa"), q["pb"].alias("pb"), F.array_distinct(F.concat(q["pa"], q["pb"])).alias("kinds"))
     # A character for each kind of piece, below the surrogates.
     coded = lambda q, x: F.decode(F.unhex(F.array_join(F.transform(x, lambda piece: F.lpad(F.hex(F.array_position(q["kinds"], piece)), 4, "0")), "")), "UTF-16BE")
-    most = F.floor(p["limit"] / PIECE).cast("int")
+    most = F.floor(p["limit"] / piece_size).cast("int")
     near = lambda q: F.when(F.size(q["kinds"]) < 0xD800, F.call_function("levenshtein", coded(q, q["pa"]), coded(q, q["pb"]), most) >= 0)
     return _once(F.struct(pieces(p["na"]).alias("pa"), pieces(p["nb"]).alias("pb")), lambda q: _once(cut_up(q), near))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose edit similarity over characters reaches the threshold."""
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float, alike: bool = True) -> DataFrame:
+    """The pairs (a, b) whose edit similarity over characters reaches the threshold.  ``alike``: most are expected to; the same pairs result either way."""
     ta, tb = texts.select(F.col("node").alias("a"), F.col("norm").alias("na")), texts.select(F.col("node").alias("b"), F.col("norm").alias("nb"))
-    limit = F.floor((1 - similarity) * F.greatest(F.length("na"), F.length("nb")) + 1e-9).cast("int")
+    size = F.greatest(F.length("na"), F.length("nb"))
+    limit = F.floor((1 - similarity) * size + 1e-9).cast("int")
     words = F.struct(F.split("na", " ").alias("wa"), F.split("nb", " ").alias("wb"))
-    # Anchors are first all words that both lines have, then some of the pairs of neighbouring words that each has once: more would take longer to look up, fewer leave long
-    # texts between.
-    others = lambda p: F.struct(p["wa"].alias("wa"), p["wb"].alias("wb"), p["wa"].alias("ta"), p["wb"].alias("tb"), F.array_union(F.array_except(p["wa"], p["wb"]), F.array_except(p["wb"], p["wa"])).alias("o"))
-    shared = lambda p, x: ~F.array_contains(p["o"], x)
-    by_all = lambda q: F.when(F.size(q["o"]) <= F.size(q["wa"]), _apart(q, shared, lambda p, line: F.filter(line, lambda x: shared(p, x)), F.levenshtein))
+    # Anchors are some of the pairs of neighbouring words that each line has once: more would take longer to look up, fewer leave long texts between.
     near = lambda x, y: F.when(F.greatest(F.length(x), F.length(y)) <= GAP, F.levenshtein(x, y))
     pairs_of = lambda w: F.transform(w, lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))
     paired = lambda p: F.struct(p["wa"].alias("wa"), p["wb"].alias("wb"), pairs_of(p["wa"]).alias("ta"), pairs_of(p["wb"]).alias("tb"))
@@ -200,12 +200,13 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     spread = lambda u: F.filter(u, lambda x, i: i % F.ceil(F.sqrt(F.size(u)) / 4) == 0)
     single = lambda p: F.struct(*(p[c].alias(c) for c in ("wa", "wb", "ta", "tb")), _once(once(p), spread).alias("o"))
     by_pair = lambda q: _apart(q, lambda p, x: F.array_contains(p["o"], x), lambda p, line: F.array_intersect(line, p["o"]), near)
-    first, second = _once(words, lambda w: _once(others(w), by_all)), _once(words, lambda w: _once(paired(w), lambda p: _once(single(p), by_pair)))
+    anchored = F.coalesce(_once(words, lambda w: _once(paired(w), lambda p: _once(single(p), by_pair))) <= limit, F.lit(False))
+    pieces = lambda n: F.coalesce(_once(F.struct("na", "nb", limit.alias("limit")), lambda p: _in_pieces(p, n)), F.lit(False))
     exact = F.call_function("levenshtein", "na", "nb", limit).between(F.lit(0), limit)
-    reach = lambda d: F.coalesce(d <= limit, F.lit(False))
-    long_ = F.greatest(F.length("na"), F.length("nb")) > GAP
-    third = F.when(long_, _once(F.struct("na", "nb", limit.alias("limit")), _in_pieces))
-    return pairs.join(ta, "a").join(tb, "b").where(F.when(reach(first), True).when(reach(second), True).when(F.coalesce(third, F.lit(False)), True).otherwise(exact)).select("a", "b")
+    accepted = F.when((size > GAP) & pieces(PIECE), True).when((size > (BRIEF if alike else GAP)) & anchored, True).when((size > HUGE) & pieces(SMALL), True).otherwise(exact)
+    # Texts take little room and long to compare, so tasks follow the number of partitions, not bytes.  A condition that names the task is not moved below the exchange.
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.join(ta, "a").join(tb, "b").repartition(tasks, "a", "b").where(F.when(F.spark_partition_id() >= 0, accepted)).select("a", "b")
 
 
 def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -221,7 +222,7 @@ def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY
     rest = cut(shared.join(roots, "node", "left").select("k", "node", "s", F.coalesce("root", "node").alias("c")))
     b = rest.select(F.col("k").alias("k2"), F.col("node").alias("n2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
     cross = cut(rest.join(b, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("n2")) & (F.col("c") != F.col("c2")) & _near("s", "s2", similarity)).select(F.col("node").alias("a"), F.col("n2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    roots = components(near.union(verified(cross, texts_of(docs, found, _ends(cross)), similarity)))
+    roots = components(near.union(verified(cross, texts_of(docs, found, _ends(cross)), similarity, alike=False)))
     named = found.join(roots, "node", "left").where("root is not null or copies > 1").select(F.coalesce("root", "node").alias("root"), "h1", "h2", "first")
     kept = named.groupBy("root").agg(F.min("first").alias("first"))
     return named.select("root", "h1", "h2").join(kept, "root").select("h1", "h2", "first")
