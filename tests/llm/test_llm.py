@@ -421,6 +421,28 @@ def test_long_lines_that_repeat_phrases(spark):
     assert sorted(map(tuple, got)) == near and min(len(t) for _, t in held) > 30_000 and time.time() - began < 45
 
 
+def test_lines_of_two_groups_are_compared_most_alike_first(spark, monkeypatch):
+    """Groups that one pair connects need none of their other pairs, and the result is that of all of them: near copies of a line, and lines that are each like one of these."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    base = [word() for _ in range(40)]
+    change = lambda line, n: (lambda at: [word() if k in at else w for k, w in enumerate(line)])(rng.sample(range(40), n))
+    copies = [change(base, 3) for _ in range(60)]
+    texts = [" ".join(line) for line in copies + [change(line, 6) for line in copies[:40]]]
+    compared, held, ends, verified, ends_of = [], [], [], lines.verified, lines._ends
+    monkeypatch.setattr(lines, "verified", lambda pairs, texts, *x, **y: compared.append(pairs.count()) or held.append((pairs, texts)) or verified(pairs, texts, *x, **y))
+    monkeypatch.setattr(lines, "_ends", lambda pairs: ends.append(pairs.select("a", "b")) or ends_of(pairs))
+    all_lines = lines.index(docs(spark, texts))
+    got = {r.node: r.root for r in lines.groups(docs(spark, texts), all_lines).select(F.xxhash64("h1", "h2").alias("node"), F.col("first.doc_id").alias("root")).collect()}
+    print("pairs that leaders do not connect", ends[1].count(), "compared", compared[1:])
+    # The connectivity of all candidates, each of which is compared here.
+    every = [r for pairs, (_, texts_) in zip(ends, held, strict=False) for r in verified(pairs, texts_, 0.8).collect()]
+    at = {r.node: r.doc_id for r in all_lines.select(F.xxhash64("h1", "h2").alias("node"), "doc_id").collect()}
+    group = connected(len(texts), [(at[r.a], at[r.b]) for r in every])
+    assert {i: min(j for j in group_of) for group_of in ([k for k in at.values() if group[k] == g] for g in set(group)) for i in group_of} == {i: got.get(n, i) for n, i in at.items()}
+    assert 100 < ends[1].count() and sum(compared[1:]) < 0.7 * ends[1].count()
+
+
 def test_lines_with_long_words(spark):
     """Texts between words that both lines have are never compared without a bound; whether pairs are expected to be alike changes no result."""
     rng = random.Random(8)

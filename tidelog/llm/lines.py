@@ -11,7 +11,8 @@
    Keys of 64 bits keep buckets apart whatever the number of lines.
 4. A 64-bit odd sketch of the first ``SKETCHED`` features (each flips a bit) tells by its bits that differ how many features differ.  Of a bucket, each class is
    first held against the least one; after that only pairs that are not connected yet are made.  So a hot
-   group of n variants gives rows in proportion to n, and connectivity is that of all candidates.
+   group of n variants that are like the least one gives rows in proportion to n.  Of the pairs between two groups that are not connected, the
+   most alike one is compared first, and the others only if that leaves the groups apart.  Connectivity is that of all candidates.
 5. Pairs are verified by edit similarity of the normalised lines: 1 - distance / longer length, in characters.  Bounds that are never below the distance
    come first, where they take less time than it: long lines are held against each other in pieces of up to ``PIECE`` characters (very long ones once more, of ``SMALL``); pairs of words that both lines have once are
    anchors, and where they come in one order the sum of distances between them is nearly always enough.  Pairs that are not connected by
@@ -221,13 +222,29 @@ def groups(docs: DataFrame, all_lines: DataFrame, similarity: float = SIMILARITY
     roots = components(near)
     rest = cut(shared.join(roots, "node", "left").select("k", "node", "s", F.coalesce("root", "node").alias("c")))
     b = rest.select(F.col("k").alias("k2"), F.col("node").alias("n2"), F.col("s").alias("s2"), F.col("c").alias("c2"))
-    cross = cut(rest.join(b, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("n2")) & (F.col("c") != F.col("c2")) & _near("s", "s2", similarity)).select(F.col("node").alias("a"), F.col("n2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
-    roots = components(near.union(verified(cross, texts_of(docs, found, _ends(cross)), similarity, alike=False)))
-    named = found.join(roots, "node", "left").where("root is not null or copies > 1").select(F.coalesce("root", "node").alias("root"), "h1", "h2", "first")
+    alike = rest.join(b, (F.col("k") == F.col("k2")) & (F.col("node") < F.col("n2")) & (F.col("c") != F.col("c2")) & _near("s", "s2", similarity))
+    far = F.bit_count(F.col("s.sketch").bitwiseXOR(F.col("s2.sketch")))
+    cross = cut(alike.select(F.col("node").alias("a"), F.col("n2").alias("b"), F.least("c", "c2").alias("c"), F.greatest("c", "c2").alias("c2"), far.alias("far")).distinct().join(stars, ["a", "b"], "left_anti"))
+    texts = texts_of(docs, found, _ends(cross))
+    # Of all pairs of two groups the most alike one comes first: most groups that are connected at all are so by it, and need none of the others.
+    best = cut(cross.groupBy("c", "c2").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b", "c", "c2"))
+    links = cut(best.join(verified(best.select("a", "b"), texts, similarity, alike=False), ["a", "b"]).select("c", "c2"))
+    others = cut(_apart_still(cross.join(best, ["a", "b"], "left_anti"), components(links, "c", "c2")).select("a", "b", "c", "c2"))
+    more = others.join(verified(others.select("a", "b"), texts, similarity, alike=False), ["a", "b"]).select("c", "c2").distinct()
+    # Groups that are connected, as a table of groups: the links within them are not needed again.
+    joined = components(links.union(more), "c", "c2").withColumnsRenamed({"node": "c", "root": "whole"})
+    grouped = found.join(roots, "node", "left").withColumn("c", F.coalesce("root", "node")).join(joined, "c", "left")
+    named = grouped.where("root is not null or whole is not null or copies > 1").select(F.coalesce("whole", "c").alias("root"), "h1", "h2", "first")
     kept = named.groupBy("root").agg(F.min("first").alias("first"))
     return named.select("root", "h1", "h2").join(kept, "root").select("h1", "h2", "first")
 
 
+def _apart_still(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows whose groups c and c2 are not connected by ``roots``, which has only groups with links."""
+    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(r)) for c, r in (("c", "r"), ("c2", "r2")))
+    return pairs.join(one, "c", "left").join(two, "c2", "left").where(F.coalesce("r", "c") != F.coalesce("r2", "c2")).drop("r", "r2")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
