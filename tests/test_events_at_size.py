@@ -1,5 +1,7 @@
 """Queries over events against their SQL, on tables that show what the smallest ones do not."""
 
+import time
+
 import duckdb
 import pytest
 
@@ -23,6 +25,28 @@ def write_events(spark, folder, n, user):
     spark.range(n).selectExpr("id AS event_id", f"{user} AS user_id", f"element_at(array({kinds}), int(id * 7 % 5) + 1) AS event_type", "id % 1000 / 4.0D AS value", "concat('p', id) AS props").coalesce(1).write.parquet(f"{folder}/events.parquet")
 
 
+def shuffled(spark, work):
+    """Bytes that ``work`` writes to shuffles."""
+
+    def so_far():
+        time.sleep(1)
+        return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = so_far()
+    work()
+    return so_far() - before
+
+
+@pytest.mark.parametrize("name", ["schema_capture"])
+def test_shuffles_of_definitions_grow_with_the_input(spark, tmp_path, name):
+    """Four times the events have four times the statements, with four times the columns each."""
+    bytes_of = []
+    for n in (16_000, 64_000):
+        write_events(spark, tmp_path / str(n), n, "id * 31 % 1499")
+        bytes_of.append(shuffled(spark, lambda: against_sql(spark, tmp_path / str(n), name)))  # noqa: B023
+    assert 0 < bytes_of[1] < 8 * bytes_of[0]
+
+
 @pytest.mark.parametrize("name", ["schema_walk", "stream_files_to_mirror"])
 def test_truncates_are_no_rows(spark, tmp_path, name):
     """The event that stands for a truncate is the only one of its user."""

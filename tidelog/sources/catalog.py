@@ -1,7 +1,8 @@
 """The source's catalog and the registry of table versions: which tables are published, with which columns, since when.
 
 A catalog is a frame of columns: (schema, table, ordinal, column, type, modifier, is_key, comment, published), as a source's system tables tell or a JSON file
-holds.  A registry is a frame of versions: (table, version, since, columns, comment), each with all its columns as an array.
+holds.  A registry is a frame of versions: (table, version, since, definition), where definition is the fingerprint of a description.  Descriptions are kept once
+each, whatever number of statements and versions have them: (definition, columns, comment), with all columns as an array.
 """
 
 from __future__ import annotations
@@ -18,7 +19,10 @@ from tidelog.plans.types import PlanError, SourceColumn, TablePlan
 
 CATALOG = "schema string, table string, ordinal int, column string, type string, modifier int, is_key boolean, comment string, published boolean"
 COLUMNS = "array<struct<ordinal:int,name:string,type:string,modifier:int,is_key:boolean,comment:string>>"
-REGISTRY = f"table string, version long, since string, columns {COLUMNS}, comment string"
+REGISTRY = "table string, version long, since string, definition string"
+DEFINITIONS = f"definition string, columns {COLUMNS}, comment string"
+#: Frames of up to so many rows are broadcast, which a count checks.
+SMALL = 100_000
 #: Of tables' names; any fixed identifier serves, as long as it never changes.
 NAMESPACE = uuid.UUID("6f1d1c52-8a1e-5b0e-9d3c-0b7c6f3f2a10")
 BARE = re.compile(r"^[a-z_][a-z0-9_]*$")
@@ -69,13 +73,24 @@ def namespace(table: Column) -> Column:
 
 def latest(registry: DataFrame) -> DataFrame:
     """The latest version of each table."""
-    return registry.groupBy("table").agg(F.max_by(F.struct("version", "since", "columns", "comment"), "version").alias("v")).select("table", "v.*")
+    return registry.groupBy("table").agg(F.max_by(F.struct("version", "since", "definition"), "version").alias("v")).select("table", "v.*")
+
+
+def define(described: DataFrame) -> DataFrame:
+    """``described`` (with columns, comment) with ``definition``, the fingerprint that tells descriptions apart."""
+    return described.withColumn("definition", F.sha2(F.to_json(F.struct("columns", "comment")), 256))
+
+
+def described(registry: DataFrame, definitions: DataFrame) -> DataFrame:
+    """The registry with columns and comment of each version.  Versions go to the descriptions, not the other way: those are larger by far."""
+    r = F.broadcast(registry) if registry.limit(SMALL + 1).count() <= SMALL else registry
+    return definitions.join(r, "definition").select(*registry.columns, "columns", "comment")
 
 
 def conflicts(registry: DataFrame, new: DataFrame) -> DataFrame:
     """(table, version) of ``new`` that the registry holds with other columns.  The same again is no conflict: publishing twice is allowed."""
-    r = registry.select("table", "version", F.to_json("columns").alias("held"))
-    return new.select("table", "version", F.to_json("columns").alias("now")).join(r, ["table", "version"]).where("held <> now").select("table", "version")
+    r = registry.select("table", "version", F.col("definition").alias("held"))
+    return new.select("table", "version", F.col("definition").alias("now")).join(r, ["table", "version"]).where("held <> now").select("table", "version")
 
 
 def register(registry: DataFrame, new: DataFrame) -> DataFrame:
@@ -87,13 +102,13 @@ def register(registry: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def captured(audit: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """(table, tag, lsn, commit_lsn, columns, comment) of definition changes that took effect: those of committed transactions, without rolled back parts.
+    """(table, tag, lsn, commit_lsn, definition) of definition changes that took effect: those of committed transactions, without rolled back parts.
 
-    audit: (top_xid, xid, lsn, tag, table, columns, comment), where columns is the source's own description right after the statement.
+    audit: (top_xid, xid, lsn, tag, table, definition), where definition is that of the source's own description right after the statement (see :func:`define`).
     """
     from tidelog.operators.routing import commit_gate
 
-    return commit_gate(audit, outcomes).select("table", "tag", "lsn", F.col("_commit_lsn").alias("commit_lsn"), "columns", "comment")
+    return commit_gate(audit, outcomes).select("table", "tag", "lsn", F.col("_commit_lsn").alias("commit_lsn"), "definition")
 
 
 def versions(changes: DataFrame) -> DataFrame:
@@ -101,11 +116,10 @@ def versions(changes: DataFrame) -> DataFrame:
 
     Of several statements of one commit the last one counts, as no row can lie between them.
     """
-    last = changes.groupBy("table", "commit_lsn").agg(F.max_by(F.struct("tag", "columns", "comment"), "lsn").alias("v")).select("table", "commit_lsn", "v.*")
+    last = changes.groupBy("table", "commit_lsn").agg(F.max_by("definition", "lsn").alias("definition"))
     w = Window.partitionBy("table").orderBy("commit_lsn")
-    shape = F.to_json(F.struct("columns", "comment"))
-    changed = last.withColumn("shape_", shape).withColumn("before_", F.lag("shape_").over(w)).where("before_ is null or before_ <> shape_")
-    return changed.select("table", F.row_number().over(w).cast("long").alias("version"), F.col("commit_lsn").alias("since"), "columns", "comment")
+    changed = last.withColumn("before_", F.lag("definition").over(w)).where("before_ is null or before_ <> definition")
+    return changed.select("table", F.row_number().over(w).cast("long").alias("version"), F.col("commit_lsn").alias("since"), "definition")
 
 
 def version_at(rows: DataFrame, registry: DataFrame, position: str = "_commit_lsn") -> DataFrame:
