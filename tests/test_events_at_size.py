@@ -37,7 +37,7 @@ def shuffled(spark, work):
     return so_far() - before
 
 
-@pytest.mark.parametrize("name", ["schema_capture"])
+@pytest.mark.parametrize("name", ["schema_capture", "schema_latest_version"])
 def test_shuffles_of_definitions_grow_with_the_input(spark, tmp_path, name):
     """Four times the events have four times the statements, with four times the columns each."""
     bytes_of = []
