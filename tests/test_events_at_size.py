@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from tidelog.sources import catalog
 
 
 def against_sql(spark, folder, name):
@@ -37,7 +38,7 @@ def shuffled(spark, work):
     return so_far() - before
 
 
-@pytest.mark.parametrize("name", ["schema_capture", "schema_latest_version"])
+@pytest.mark.parametrize("name", ["schema_capture", "schema_latest_version", "schema_version_at"])
 def test_shuffles_of_definitions_grow_with_the_input(spark, tmp_path, name):
     """Four times the events have four times the statements, with four times the columns each."""
     bytes_of = []
@@ -52,3 +53,13 @@ def test_truncates_are_no_rows(spark, tmp_path, name):
     """The event that stands for a truncate is the only one of its user."""
     write_events(spark, tmp_path, 3020, "CASE WHEN id = 2999 THEN 777777 ELSE id % 150 END")
     assert against_sql(spark, tmp_path, name)
+
+
+def test_version_at_by_order(spark):
+    """The last version since then, for tables of many versions without comparing each row to each; rows without a version or without a table stay."""
+    registry = spark.createDataFrame([("a", 1, "02", "x"), ("a", 2, "05", "y"), ("b", 1, "04", "x")], catalog.REGISTRY)
+    rows = spark.createDataFrame([(i, t, at) for i, (t, at) in enumerate([("a", "01"), ("a", "02"), ("a", "04"), ("a", "05"), ("a", "09"), ("b", "03"), ("b", "09"), ("c", "09"), (None, "09"), ("a", None), ("a", "02")])], "i long, table string, _commit_lsn string")
+    got = catalog.version_at(rows, registry)
+    assert got.columns == ["i", "table", "_commit_lsn", "version"]
+    assert [r["version"] for r in got.orderBy("i").collect()] == [None, 1, 1, 2, 2, None, 1, None, None, None, 1]
+    assert not any(sign in got._jdf.queryExecution().optimizedPlan().toString() for sign in (">= since", "< until_"))

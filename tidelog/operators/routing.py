@@ -191,9 +191,11 @@ def running_last(rows: DataFrame, slot: str, order: str, value: Column, name: st
     dealt = cut(rows.withColumn("v_", value).repartitionByRange(n, slot, order).withColumn("p_", F.spark_partition_id()))
     ends = dealt.where("v_ is not null").groupBy(slot, "p_").agg(F.max_by("v_", order).alias("end_"))
     carried = dealt.select(slot, "p_").distinct().join(ends, [slot, "p_"], "left")
-    carried = carried.withColumn("carry_", F.last("end_", ignorenulls=True).over(Window.partitionBy(slot).orderBy("p_").rowsBetween(Window.unboundedPreceding, -1))).select(slot, "p_", "carry_")
+    carried = carried.withColumn("carry_", F.last("end_", ignorenulls=True).over(Window.partitionBy(slot).orderBy("p_").rowsBetween(Window.unboundedPreceding, -1))).select(F.col(slot).alias("s_"), F.col("p_").alias("c_"), "carry_")
     within = F.last("v_", ignorenulls=True).over(Window.partitionBy("p_", slot).orderBy(order))
-    return dealt.withColumn("own_", within).join(carried, [slot, "p_"]).withColumn(name, F.coalesce("own_", "carry_")).drop("v_", "p_", "own_", "carry_")
+    # A slot may be null; its rows are kept, too.
+    here = F.col(slot).eqNullSafe(F.col("s_")) & (F.col("p_") == F.col("c_"))
+    return dealt.withColumn("own_", within).join(carried, here).withColumn(name, F.coalesce("own_", "carry_")).drop("v_", "p_", "own_", "s_", "c_", "carry_")
 
 
 def _number(data: Column, at: int, size: int) -> Column:

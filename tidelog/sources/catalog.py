@@ -123,11 +123,15 @@ def versions(changes: DataFrame) -> DataFrame:
 
 
 def version_at(rows: DataFrame, registry: DataFrame, position: str = "_commit_lsn") -> DataFrame:
-    """``rows`` (table, position) with the version that held there: the last one since then.  The registry is small; a count decides on its broadcast."""
-    r = registry.select(F.col("table").alias("t_"), "version", "since", F.lead("since").over(Window.partitionBy("table").orderBy("version")).alias("until_"))
-    r = F.broadcast(r) if r.limit(100_001).count() <= 100_000 else r
-    at = (F.col("table") == F.col("t_")) & (F.col(position) >= F.col("since")) & (F.col("until_").isNull() | (F.col(position) < F.col("until_")))
-    return rows.join(r, at, "left").drop("t_", "since", "until_")
+    """``rows`` (table, position) with the version that held there: the last one since then.
+
+    Rows and versions are put in order together, so a table's number of versions does not multiply with its number of rows.
+    """
+    from tidelog.operators.routing import running_last
+
+    marks = registry.groupBy("table", F.col("since").alias(position)).agg(F.max("version").alias("version"))
+    both = rows.select("table", position, F.struct("*").alias("row_")).unionByName(marks, allowMissingColumns=True)
+    return running_last(both, "table", position, F.col("version"), "at_").where("row_ is not null").select("row_.*", F.col("at_").alias("version"))
 
 
 def quoted(name: str) -> str:
