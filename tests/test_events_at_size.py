@@ -4,8 +4,10 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidelog.operators import routing
 from tidelog.sources import catalog
 
 
@@ -63,3 +65,28 @@ def test_version_at_by_order(spark):
     assert got.columns == ["i", "table", "_commit_lsn", "version"]
     assert [r["version"] for r in got.orderBy("i").collect()] == [None, 1, 1, 2, 2, None, 1, None, None, None, 1]
     assert not any(sign in got._jdf.queryExecution().optimizedPlan().toString() for sign in (">= since", "< until_"))
+
+
+def test_relations_by_order(spark):
+    """Rows find the last description of their own relation before them, in their own slot, by equality alone."""
+    column = lambda *names: [(n, 25, -1, n == names[0]) for n in names]
+    tagged = lambda *values: [("t", v) for v in values]
+    said = lambda slot, seq, oid, name, *names: (slot, seq, "relation", None, None, None, [oid], None, None, None, name, column(*names), None)
+    row = lambda slot, seq, oid, *values: (slot, seq, "insert", 1, None, None, [oid], None, None, tagged(*values), None, None, None)
+    wiped = ("a", 9, "truncate", 1, None, None, [1, 2], None, None, None, None, None, None)
+    messages = [said("a", 1, 1, "p.one", "x"), said("a", 2, 2, "p.two", "y"), row("a", 3, 1, "1"), said("a", 4, 1, "p.one", "x", "z"), row("a", 5, 1, "2", "3"), row("a", 6, 2, "4"), said("b", 1, 1, "p.other", "w"), row("b", 5, 1, "5"), wiped]
+    got = routing.changes(spark.createDataFrame(messages, "slot string, " + routing.DECODED))
+    found = sorted((r["lsn"], r["op"], r["relation"], r["version"], tuple(sorted((r["new"] or {}).items()))) for r in got.collect())
+    at = lambda n: f"{n:016X}"
+    assert found == [
+        (at(3), "i", "p.one", 1, (("x", "1"),)), (at(5), "i", "p.one", 2, (("x", "2"), ("z", "3"))), (at(5), "i", "p.other", 1, (("w", "5"),)),
+        (at(6), "i", "p.two", 1, (("y", "4"),)), (at(9), "t", "p.one", 2, ()), (at(9), "t", "p.two", 1, ()),
+    ]
+    assert not any(sign in got._jdf.queryExecution().optimizedPlan().toString() for sign in ("> since", "< until"))
+
+
+def test_running_last_keeps_rows_without_a_slot(spark):
+    """They are a slot of their own, across ranges."""
+    frame = spark.range(400).selectExpr("CASE WHEN id % 2 = 0 THEN 'a' END AS slot", "id AS seq", "CASE WHEN id IN (1, 20, 151) THEN id END AS v")
+    got = routing.running_last(frame, "slot", "seq", F.col("v"), "last").collect()
+    assert sorted((r["seq"], r["last"]) for r in got) == [(i, (None if i < 20 else 20) if i % 2 == 0 else None if i < 1 else 1 if i < 151 else 151) for i in range(400)]

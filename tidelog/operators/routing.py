@@ -189,9 +189,9 @@ def running_last(rows: DataFrame, slot: str, order: str, value: Column, name: st
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(rows.withColumn("v_", value).repartitionByRange(n, slot, order).withColumn("p_", F.spark_partition_id()))
-    ends = dealt.where("v_ is not null").groupBy(slot, "p_").agg(F.max_by("v_", order).alias("end_"))
-    carried = dealt.select(slot, "p_").distinct().join(ends, [slot, "p_"], "left")
-    carried = carried.withColumn("carry_", F.last("end_", ignorenulls=True).over(Window.partitionBy(slot).orderBy("p_").rowsBetween(Window.unboundedPreceding, -1))).select(F.col(slot).alias("s_"), F.col("p_").alias("c_"), "carry_")
+    carried = dealt.groupBy(slot, "p_").agg(F.max_by("v_", F.when(F.col("v_").isNotNull(), F.col(order))).alias("end_"))
+    # Written, it is known to be small, and joined without dealing out the rows again.
+    carried = cut(carried.withColumn("carry_", F.last("end_", ignorenulls=True).over(Window.partitionBy(slot).orderBy("p_").rowsBetween(Window.unboundedPreceding, -1))).select(F.col(slot).alias("s_"), F.col("p_").alias("c_"), "carry_"))
     within = F.last("v_", ignorenulls=True).over(Window.partitionBy("p_", slot).orderBy(order))
     # A slot may be null; its rows are kept, too.
     here = F.col(slot).eqNullSafe(F.col("s_")) & (F.col("p_") == F.col("c_"))
@@ -275,14 +275,18 @@ RELATIONS = 100_000
 def changes(messages: DataFrame, internal: tuple[str, ...] = ()) -> DataFrame:
     """Row messages (see :data:`MESSAGE`) with names instead of numbers, from decoded messages.
 
-    Each is held against the description of its relation that was the last one before it.  A row of an unknown relation, or with another number of
-    columns than it has, is an error.  Relations named in ``internal`` (the engine's own) are left out.
+    Each is held against the description of its relation that was the last one before it.  Where that one stands is found in order, range by range, so the
+    number of descriptions does not multiply with that of rows.  A row of an unknown relation, or with another number of columns than it has, is an error.  Relations named in ``internal`` (the engine's own) are left out.
     """
     known = relations(messages)
-    known = F.broadcast(known) if known.limit(RELATIONS + 1).count() <= RELATIONS else known
     rows = messages.where(F.col("kind").isin("insert", "update", "delete", "truncate")).select("slot", "seq", "kind", "xid", "sub_xid", "old", "new", F.explode("relations").alias("oid"))
-    k = known.select(F.col("slot").alias("s_"), F.col("oid").alias("o_"), "name", "columns", "since", "until", "version")
-    held = rows.join(k, (F.col("slot") == F.col("s_")) & (F.col("oid") == F.col("o_")) & (F.col("seq") > F.col("since")) & (F.col("until").isNull() | (F.col("seq") < F.col("until"))), "left")
+    key = F.struct("slot", "oid").alias("key_")
+    marks = known.select(key, F.col("since").alias("seq"), "since")
+    both = rows.select(key, "seq", F.struct(*(c for c in rows.columns if c != "seq")).alias("row_")).unionByName(marks, allowMissingColumns=True)
+    placed = running_last(both, "key_", "seq", F.col("since"), "at_").where("row_ is not null").select("seq", "row_.*", "at_")
+    known = F.broadcast(known) if known.limit(RELATIONS + 1).count() <= RELATIONS else known
+    k = known.select(F.col("slot").alias("s_"), F.col("oid").alias("o_"), "name", "columns", "since", "version")
+    held = placed.join(k, (F.col("slot") == F.col("s_")) & (F.col("oid") == F.col("o_")) & (F.col("at_") == F.col("since")), "left")
     names = F.transform("columns", lambda c: c["name"])
     wide = lambda image: F.col(image).isNotNull() & (F.size(image) != F.size("columns"))
     held = held.withColumn("name", F.when(F.col("name").isNull(), F.raise_error(F.concat(F.lit("row of an unknown relation "), F.col("oid").cast("string")))).when(wide("old") | wide("new"), F.raise_error(F.concat(F.lit("another number of columns than "), F.col("name")))).otherwise(F.col("name")))
